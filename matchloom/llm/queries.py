@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_texts
 from .common import table
+from .quality import score_quality
 from .source_mix import mix_sources
 from .token_counts import count_tokens
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -26,7 +31,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op7_bpe_codec, op10_source_mix)}
+    return {f.__name__: f for f in (op3_quality, op4_token_counts, op7_bpe_codec, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
