@@ -11,6 +11,7 @@ from .bpe_codec import encode_texts
 from .common import table
 from .quality import score_quality
 from .source_mix import mix_sources
+from .substring_dedup import drop_repeats
 from .token_counts import count_tokens
 
 
@@ -26,12 +27,16 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("draws")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality, op4_token_counts, op7_bpe_codec, op10_source_mix)}
+    return {f.__name__: f for f in (op3_quality, op4_token_counts, op7_bpe_codec, op9_substring_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
