@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_texts
 from .common import table
 from .jaccard_join import near_duplicates
+from .pitman_yor import score_documents
 from .quality import score_quality
 from .source_mix import mix_sources
 from .substring_dedup import drop_repeats
 from .token_counts import count_tokens
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_quality, op4_token_counts, op7_bpe_codec, op9_substring_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_jaccard_join, op3_quality, op4_token_counts, op7_bpe_codec, op9_substring_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
