@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_texts
+from .chat_tree import formatted_digest
 from .common import table
+from .hash_forest import nearest_neighbours
 from .jaccard_join import near_duplicates
+from .maxscore import top_products
 from .pitman_yor import score_documents
 from .quality import score_quality
 from .source_mix import mix_sources
@@ -33,10 +36,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return formatted_digest(table(spark, sf_dir, "conversations").select(*added.columns).unionByName(added))
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -46,7 +63,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_jaccard_join, op3_quality, op4_token_counts, op7_bpe_codec, op9_substring_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_jaccard_join, op3_quality, op4_token_counts, op5_chat_tree, op6_maxscore, op7_bpe_codec, op8_hash_forest, op9_substring_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
