@@ -24,10 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = parent
         else:
-            step = parent.withColumnsRenamed({"node": "label", "label": "_next"})
+            step = parent.toDF("label", "_next")
             labels = checkpointed(labels.join(step, "label", "left").select("node", F.coalesce("_next", "label").alias("label")), "labels")
-        a = parent.withColumnsRenamed({"node": "a", "label": "_a"})
-        b = parent.withColumnsRenamed({"node": "b", "label": "_b"})
+        a = parent.toDF("a", "_a")
+        b = parent.toDF("b", "_b")
         joined = links.join(a, "a").join(b, "b").where("_a <> _b")
         links = checkpointed(joined.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
