@@ -38,7 +38,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches):
@@ -49,6 +49,15 @@ def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+#: Rows that may be broadcast, once they have been counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """`df`, marked for a broadcast if it has at most BROADCAST_ROWS rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

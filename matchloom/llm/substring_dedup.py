@@ -5,16 +5,19 @@ words.  Each window's first place (smallest id, then earliest start) is kept, an
 later occurrence goes.
 
 1. Anchors: each window has the least-hashed run of ANCHOR words in it as its anchor, so equal windows
-   have equal anchors.  Only about one place in nine starts an anchor; a count of anchors over all
-   documents tells which windows can repeat at all.  Nothing that repeats is lost.
-2. Edges: the windows with repeated anchors, under two independent 64-bit hashes, are summed to
-   edges with their first source coordinate; a join gives every later occurrence its source.
+   have equal anchors.  Only about one place in seven starts an anchor; anchors that stand at several
+   places tell which windows can repeat at all.  Nothing that repeats is lost.  An anchor that
+   repeats within a batch of documents is known to at once, and the batch sends it on only once, so
+   that even an anchor of all documents is a few rows.
+2. Edges: the windows with repeated anchors, once for each document, under two independent 64-bit
+   hashes, are summed to edges with their first source coordinate; a join gives every later
+   occurrence its source.  Repeats within a document are found where its text is.
 3. Compaction: later occurrences whose places and source places both advance by one form a
    nonbranching path; such paths become spans (place, source place, length), and their union is cut.
 
 Whole copies of an earlier document lose all their windows by definition, and so skip steps 1 to 3.
 Sums combine before each shuffle, joins on hot keys are split by AQE, and ids are broadcast only up
-to BROADCAST_IDS of them, counted first; beyond that the join shuffles.
+to a bound, counted first; beyond that the join shuffles.
 
 Defined results: null or empty texts have no words; a null id stands before all others; rows that
 share an id are versions of one document, whose equal places are not earlier than each other; further
@@ -27,16 +30,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, in_arrow, texts
+from .common import batch, checkpointed, counted, in_arrow, texts
 from .words import Words, mix, rolling, signed, split_words, window_rows
 
 WINDOW = 20
-ANCHOR = 5
-#: Ids that may be broadcast.
-BROADCAST_IDS = 1_000_000
+ANCHOR = 8
 _NULL_ID = -(1 << 63)
 
 
@@ -65,32 +66,41 @@ def text_key(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """A row for each document: _id, n_words, _key, whole_sha256 and its anchors with whether each stands at several places."""
+    """A row for each document: _id, n_words, _key, whole_sha256 and its anchors; `known`: to repeat, `send`: to the other batches."""
 
     def task(rows: pa.RecordBatch):
-        ids = rows.column("_id")
+        counts, keys, shas, doc, value, times = [], [], [], [], [], []
         for words in split_words(rows.column("text")):
             hashes = words.hashes(lower=False)
             _, docs, at = anchors(words, hashes, window, anchor)
             runs = rolling(hashes, anchor)
             fresh = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (docs[1:] != docs[:-1]))) if len(at) else np.zeros(0, np.int64)
-            doc, value = docs[fresh], runs[at[fresh]] if len(fresh) else np.zeros(0, np.uint64)
-            order = np.lexsort((value, doc))
-            doc, value = doc[order], value[order]
-            heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))) if len(doc) else np.zeros(0, np.int64)
-            times = np.diff(np.append(heads, len(doc)))
-            bounds = np.searchsorted(doc[heads], np.arange(len(words.counts) + 1))
-            found = pa.StructArray.from_arrays([pa.array(signed(value[heads])), pa.array(times > 1)], ["run", "again"])
-            text = [b" ".join(words.data[a:b].tobytes().split()) for a, b in _bounds(words)]
-            yield batch(
-                _id=ids.slice(words.first_row, len(words.counts)),
-                n_words=words.counts,
-                _key=signed(text_key(words, hashes)),
-                whole_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in text], pa.string()),
-                anchors=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found),
-            )
-
-    return in_arrow(docs, task, "_id long, n_words long, _key long, whole_sha256 string, anchors array<struct<run: long, again: boolean>>")
+            own, run = docs[fresh], runs[at[fresh]] if len(fresh) else np.zeros(0, np.uint64)
+            order = np.lexsort((run, own))
+            own, run = own[order], run[order]
+            heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (run[1:] != run[:-1]))) if len(own) else np.zeros(0, np.int64)
+            doc.append(own[heads] + words.first_row)
+            value.append(run[heads])
+            times.append(np.diff(np.append(heads, len(own))))
+            counts.append(words.counts)
+            keys.append(text_key(words, hashes))
+            shas += [hashlib.sha256(b" ".join(words.data[a:b].tobytes().split())).hexdigest() for a, b in _bounds(words)]
+        if not counts:
+            return
+        doc, value, times = (np.concatenate(x) for x in (doc, value, times))
+        _, first, place, here = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+        send = np.zeros(len(value), bool)
+        send[first] = True
+        found = pa.StructArray.from_arrays([pa.array(signed(value)), pa.array((times > 1) | (here[place] > 1)), pa.array(send)], ["run", "known", "send"])
+        yield batch(
+            _id=rows.column("_id"),
+            n_words=np.concatenate(counts),
+            _key=signed(np.concatenate(keys)),
+            whole_sha256=pa.array(shas, pa.string()),
+            anchors=pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)), pa.int32()), found),
+        )
+
+    return in_arrow(docs, task, "_id long, n_words long, _key long, whole_sha256 string, anchors array<struct<run: long, known: boolean, send: boolean>>")
 
 
 def _bounds(words: Words) -> list[tuple[int, int]]:
@@ -99,8 +109,11 @@ def _bounds(words: Words) -> list[tuple[int, int]]:
     return [(int(words.starts[a]), int(words.ends[b - 1])) if b > a else (0, 0) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+def _firsts(docs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where each value of each document stands first."""
+    order = np.lexsort((np.arange(len(values)), values, docs))
+    docs, values = docs[order], values[order]
+    return order[np.append(True, (docs[1:] != docs[:-1]) | (values[1:] != values[:-1]))] if len(order) else order
 
 
 def later_windows(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text"):
@@ -109,11 +122,14 @@ def later_windows(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     seen = checkpointed(profile(docs, window, anchor), "dedup-profile")
     keyed = seen.where(F.col("n_words") >= window).groupBy("_key", "n_words").agg(F.min("_id").alias("_first"))
     copies = checkpointed(seen.select("_id", "_key", "n_words").join(keyed, ["_key", "n_words"]).where("_id > _first").select("_id", "_key").distinct(), "dedup-copies")
-    copied = small_or_shuffled(copies, copies.count())
+    copied = counted(copies)
     runs = seen.select("_id", "_key", "anchors").join(copied, ["_id", "_key"], "left_anti").select("_id", F.inline("anchors"))
-    repeated = runs.groupBy("run").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times")).where("times > 1").select("run")
-    maybe = checkpointed(runs.select("_id", "run").join(repeated, "run").groupBy("_id").agg(F.collect_list("run").alias("runs")), "dedup-candidates")
-    held = checkpointed(docs.join(small_or_shuffled(maybe.select("_id"), maybe.count()), "_id", "left_semi").join(maybe, "_id"), "dedup-texts")
+    by_run = Window.partitionBy("run").orderBy("_id")
+    again = F.lag("run").over(by_run).isNotNull() | F.lead("run").over(by_run).isNotNull()
+    told = runs.where("send").select("run", "_id", "known").withColumn("again", again).where("again AND NOT known").select("_id", "run")
+    maybe = runs.where("known").select("_id", "run").union(told).groupBy("_id").agg(F.collect_list("run").alias("runs"))
+    maybe = checkpointed(maybe, "dedup-candidates")
+    held = checkpointed(docs.join(counted(maybe.select("_id")), "_id", "left_semi").join(maybe, "_id"), "dedup-texts")
 
     def edges(rows: pa.RecordBatch):
         ids, lists = rows.column("_id").to_numpy(), rows.column("runs")
@@ -127,16 +143,19 @@ def later_windows(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
             for doc, (a, b) in enumerate(zip(*(np.searchsorted(docs, np.arange(len(words.counts)) + k) for k in (0, 1)), strict=True)):
                 if b > a:
                     keep[a:b] = np.isin(value[a:b], lists[words.first_row + doc].values.to_numpy())
+            keep = np.flatnonzero(keep)
             one, two = rolling(hashes, window)[first[keep]], rolling(hashes, window, seed=7)[first[keep]]
+            once = np.sort(_firsts(docs[keep], one))
+            keep, one, two = keep[once], one[once], two[once]
             docs = docs[keep]
             version = (text_key(words, hashes) & np.uint64(0x7FFFFFFF)).astype(np.int64)[docs]
             place = (first[keep] - words.offsets[docs]) << 32 | version
             yield batch(one=signed(one), two=signed(two), _id=ids[words.first_row + docs], place=place)
 
     found = in_arrow(held, edges, "one long, two long, _id long, place long")
-    first = found.groupBy("one", "two").agg(F.count("*").alias("times"), F.min(F.struct("_id", "place")).alias("source")).where("times > 1").drop("times")
-    later = found.join(first, ["one", "two"]).where((F.col("_id") != F.col("source._id")) | (F.shiftright("place", 32) != F.shiftright("source.place", 32)))
-    later = later.groupBy("_id").agg(F.collect_list(F.struct("place", F.col("source._id").alias("source_id"), F.shiftright("source.place", 32).alias("source_place"))).alias("later"))
+    first = found.groupBy("one", "two").agg(F.count("*").alias("times"), F.min("_id").alias("source_id"), F.shiftright(F.min_by("place", "_id"), 32).alias("source_place")).where("times > 1").drop("times")
+    later = found.join(first, ["one", "two"]).where("_id > source_id")
+    later = later.groupBy("_id").agg(F.collect_list(F.struct("place", "source_id", "source_place")).alias("later"))
     return seen, copies, held.drop("runs"), later
 
 
@@ -158,12 +177,23 @@ def cut_texts(held: DataFrame, later: DataFrame, window: int) -> DataFrame:
         ids, lists = rows.column("_id"), rows.column("later")
         out = {"_id": [], "_key": [], "kept_text": [], "n_kept": [], "spans": []}
         for words in split_words(rows.column("text")):
-            keys = text_key(words, words.hashes(lower=False))
+            hashes = words.hashes(lower=False)
+            keys, edges = text_key(words, hashes), rolling(hashes, window)
             for doc, (a, b) in enumerate(_bounds(words)):
-                found = lists[words.first_row + doc].values
-                place = found.field("place").to_numpy()
-                own = (place & 0x7FFFFFFF) == int(keys[doc] & np.uint64(0x7FFFFFFF))
-                spans = compact(place[own] >> 32, found.field("source_id").to_numpy()[own], found.field("source_place").to_numpy()[own], window)
+                place = source_id = source_place = np.zeros(0, np.int64)
+                if lists[words.first_row + doc].is_valid:
+                    found = lists[words.first_row + doc].values
+                    place = found.field("place").to_numpy()
+                    own = (place & 0x7FFFFFFF) == int(keys[doc] & np.uint64(0x7FFFFFFF))
+                    place, source_id, source_place = place[own] >> 32, found.field("source_id").to_numpy()[own], found.field("source_place").to_numpy()[own]
+                start, stop = int(words.offsets[doc]), int(words.offsets[doc + 1]) - window + 1
+                if stop > start:
+                    _, first, inverse = np.unique(edges[start:stop], return_index=True, return_inverse=True)
+                    self_place = np.setdiff1d(np.flatnonzero(first[inverse] != np.arange(stop - start)), place)
+                    place = np.concatenate([place, self_place])
+                    source_id = np.concatenate([source_id, np.full(len(self_place), ids[words.first_row + doc].as_py())])
+                    source_place = np.concatenate([source_place, first[inverse][self_place]])
+                spans = compact(place, source_id, source_place, window)
                 if not len(spans):
                     continue
                 listed = words.data[a:b].tobytes().split()
@@ -181,7 +211,7 @@ def cut_texts(held: DataFrame, later: DataFrame, window: int) -> DataFrame:
         yield batch(**{n: pa.array(v, types[n]) for n, v in out.items()})
 
     schema = "_id long, _key long, kept_text string, n_kept long, spans array<struct<start: long, n_words: long, source_id: long, source_start: long>>"
-    return in_arrow(held.join(later, "_id"), task, schema)
+    return in_arrow(held.join(later, "_id", "left"), task, schema)
 
 
 def drop_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,3 +231,16 @@ def drop_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_c
         "spans",
         "_key",
     )
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` with repeated runs cut from their texts, and `n_chars`, where there is one, counted anew.
+
+    A text that loses words becomes the kept words, joined by single spaces; others stay as they are.
+    Rows that share an id must have one text (`one_of_each` sees to that).
+    """
+    cut = drop_repeats(df, id_col=id_col, text_col=text_col).where("n_removed > 0").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.min("kept_text").alias("_kept"))
+    rows = df.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("_cut_id")), "left").withColumn(text_col, F.coalesce("_kept", text_col))
+    if "n_chars" in df.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(df.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
