@@ -52,24 +52,36 @@ def number_is_unreadable(raw: Column) -> Column:
     return raw.isNotNull() & ~bare.isin("", "-") & parse_arg_number(raw).isNull()
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, which keeps generated code small where a text is used many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_arg_number(raw: Column) -> Column:
     """es-AR text to double; null for null, blank, `-` and unreadable text.
 
     Of both separators the last is the decimal one.  A comma alone is decimal (of several the
     last); dots alone are thousands if there are several or if three digits follow.
     """
-    bare = _bare_number(raw)
-    digits = F.regexp_replace(bare, "^[-+]", "")
-    last_dot, last_comma = (F.length(digits) - F.locate(c, F.reverse(digits)) for c in (".", ","))
-    dots, commas = F.contains(digits, F.lit(".")), F.contains(digits, F.lit(","))
-    comma_decimal = F.replace(F.regexp_replace(F.replace(digits, F.lit(".")), ",(?=.*,)", ""), F.lit(","), F.lit("."))
-    many_commas = F.length(F.regexp_replace(digits, "[^,]", "")) > 1
-    many_dots = F.length(F.regexp_replace(digits, "[^.]", "")) > 1
-    both = F.when(last_comma > last_dot, F.when(~many_commas, comma_decimal)).otherwise(F.when(~many_dots, F.replace(digits, F.lit(","))))
-    dot_only = F.when(many_dots | (F.length(digits) - last_dot == 4), F.replace(digits, F.lit("."))).otherwise(digits)
-    plain = F.when(dots & commas, both).when(commas, comma_decimal).when(dots, dot_only).otherwise(digits)
-    value = F.when(F.regexp_like(digits, F.lit("^[0-9.,]+$")), plain.try_cast("double"))
-    return F.when(bare.startswith("-"), -value).otherwise(value)
+    return let(_bare_number(raw), lambda bare: let(F.regexp_replace(bare, "^[-+]", ""), lambda digits: _signed(bare, _plain_number(digits))))
+
+
+def _signed(bare: Column, plain: Column) -> Column:
+    return let(plain.try_cast("double"), lambda value: F.when(bare.startswith("-"), -value).otherwise(value))
+
+
+def _plain_number(digits: Column) -> Column:
+    """Digits with at most one decimal point, from digits, dots and commas; null for other text."""
+    without_dots = F.replace(digits, F.lit("."))
+    comma_decimal = F.replace(F.regexp_replace(without_dots, ",(?=.*,)", ""), F.lit(","), F.lit("."))
+    return (
+        F.when(~F.regexp_like(digits, F.lit("^[0-9.,]+$")), F.lit(None))
+        .when(F.regexp_like(digits, F.lit(r"\..*,[^.]*$")), F.when(~F.regexp_like(digits, F.lit(",.*,")), comma_decimal))
+        .when(F.regexp_like(digits, F.lit(r",.*\.[^,]*$")), F.when(~F.regexp_like(digits, F.lit(r"\..*\.")), F.replace(digits, F.lit(","))))
+        .when(F.contains(digits, F.lit(",")), comma_decimal)
+        .when(F.regexp_like(digits, F.lit(r"\..*\.|\.[0-9]{3}$")), without_dots)
+        .otherwise(digits)
+    )
 
 
 def require_arg_number(raw: Column) -> Column:
@@ -139,12 +151,19 @@ def parse_notes(raw: Column) -> Column:
 
 def parse_description(raw: Column) -> Column:
     """Struct of the description without its markers, and the flags they stand for."""
-    text = collapsed(raw)
-    head = F.length(F.regexp_extract(folded(text), _PREFIX, 0))
-    cut = F.trim(F.substring(text, head + 1, F.length(text)))
-    tail = F.length(F.regexp_extract(folded(cut), _SUFFIX, 0))
-    flags = F.filter(F.array(F.when(head > 0, "technical_equivalent"), F.when(tail > 0, "alternative_line")), lambda x: x.isNotNull())
-    return F.struct(F.trim(F.substring(cut, F.lit(1), F.length(cut) - tail)).alias("description"), flags.alias("flags"))
+
+    def cut(text: Column) -> Column:
+        head = F.length(F.regexp_extract(folded(text), _PREFIX, 0))
+        return F.struct((head > 0).alias("head"), F.trim(F.substring(text, head + 1, F.length(text))).alias("rest"))
+
+    def ended(c: Column) -> Column:
+        return let(F.length(F.regexp_extract(folded(c["rest"]), _SUFFIX, 0)), lambda tail: parsed(c, tail))
+
+    def parsed(c: Column, tail: Column) -> Column:
+        flags = F.filter(F.array(F.when(c["head"], "technical_equivalent"), F.when(tail > 0, "alternative_line")), lambda x: x.isNotNull())
+        return F.struct(F.trim(F.substring(c["rest"], F.lit(1), F.length(c["rest"]) - tail)).alias("description"), flags.alias("flags"))
+
+    return let(let(collapsed(raw), cut), ended)
 
 
 def embedding_text(description: Column, unit: Column) -> Column:
