@@ -255,3 +255,15 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     scored = in_arrow(docs, task, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 4) -> DataFrame:
+    """The rows of `df`, with all their columns, that score_quality predicts to be good."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    model = df.sparkSession.sparkContext.broadcast(fit(texts(df, id_col, text_col), labels.where(fold("doc_id", folds) != held_out)))
+    at = df.columns.index(text_col)
+
+    def task(rows: pa.RecordBatch):
+        yield rows.filter(pa.array(model.value.scores(rows.column(at).cast(pa.string())) >= THRESHOLD))
+
+    return in_arrow(df, task, df.schema)
