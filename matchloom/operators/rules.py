@@ -85,7 +85,7 @@ def status_priority(status: Column) -> Column:
 
 
 def extra_confidence(best_score: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.round(best_score, 4)), F.lit(0.5))
+    return F.when(best_score.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.round(best_score, 4)))
 
 
 def resolve_conflicts(claims: DataFrame) -> DataFrame:

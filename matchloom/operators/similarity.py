@@ -31,7 +31,7 @@ def top_k_dense(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> DataF
     else:
         blocks = -(-count // BROADCAST_ITEMS)
         dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_no"), F.lit(blocks)))
-        pairs = lines.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(dealt, "_block")
+        pairs = lines.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block")
     scored = pairs.select("line_no", "item_no", cosine(F.col("line_vector"), F.col("item_vector")).alias("score"))
     return ranked(scored, "line_no", "item_no", k)
 

@@ -1,6 +1,6 @@
 """Keyed tables as versioned parquet folders: upserts, replacement of partitions, resets.
 
-A table's folder has one folder for each version and a `_current` text file that names one; a reader
+A table's folder has one folder for each version and a `current.txt` file that names one; a reader
 never sees a half-written version.  Old versions go with `prune`.
 """
 
@@ -30,10 +30,10 @@ class Store:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def version(self, table: str) -> str | None:
-        fs, at = self._fs(f"{self.root}/{table}/_current")
+        fs, at = self._fs(f"{self.root}/{table}/current.txt")
         if not fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.root}/{table}/_current").first()[0]
+        return self.spark.read.text(f"{self.root}/{table}/current.txt").first()[0]
 
     def read(self, table: str) -> DataFrame:
         version, schema = self.version(table), TABLES[table]
@@ -46,7 +46,7 @@ class Store:
         version = f"v-{uuid.uuid4().hex}"
         typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table]])
         typed.write.parquet(f"{self.root}/{table}/{version}")
-        fs, at = self._fs(f"{self.root}/{table}/_current")
+        fs, at = self._fs(f"{self.root}/{table}/current.txt")
         out = fs.create(at, True)
         out.write(bytearray(version.encode()))
         out.close()
