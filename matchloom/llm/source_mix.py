@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, fresh
 
 MAX_SOURCES = 100_000
 MAX_BLOCKS = 1 << 16
@@ -146,6 +146,7 @@ def mix_sources(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
     """The rows of `df` as the mix draws them, once for each draw.  Ids that repeat keep the draws of one of their rows."""
     id_col = options.get("id_col", "doc_id")
-    draws = mix_sources(df, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("draws", F.size("draws")).alias("_draws"))
-    rows = df.join(draws, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).withColumn("_draw", F.explode("_draws"))
+    key, drawn, draw = (fresh(df, n) for n in ("drawn_id", "draws", "draw"))
+    draws = mix_sources(df, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max_by("draws", F.size("draws")).alias(drawn))
+    rows = df.join(draws, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))).withColumn(draw, F.explode(drawn))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, counted, in_arrow, texts
+from .common import batch, checkpointed, counted, fresh, in_arrow, texts
 from .words import Words, mix, rolling, signed, split_words, window_rows
 
 WINDOW = 20
@@ -239,8 +239,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text that loses words becomes the kept words, joined by single spaces; others stay as they are.
     Rows that share an id must have one text (`one_of_each` sees to that).
     """
-    cut = drop_repeats(df, id_col=id_col, text_col=text_col).where("n_removed > 0").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.min("kept_text").alias("_kept"))
-    rows = df.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("_cut_id")), "left").withColumn(text_col, F.coalesce("_kept", text_col))
+    key, kept = fresh(df, "cut_id"), fresh(df, "kept_text")
+    cut = drop_repeats(df, id_col=id_col, text_col=text_col).where("n_removed > 0").groupBy(F.col("doc_id").alias(key)).agg(F.min("kept_text").alias(kept))
+    rows = df.join(cut, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)), "left").withColumn(text_col, F.coalesce(kept, F.col(f"`{text_col}`")))
     if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(df.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(df.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns])

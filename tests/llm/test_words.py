@@ -1,11 +1,12 @@
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from matchloom.llm.words import lowered_words, rolling, split_words, window_rows
 
 
+@settings(deadline=None)
 @given(st.lists(st.none() | st.text(alphabet="aB \t\n\x0b\x0c\r\x1cé中", max_size=40), max_size=20), st.integers(1, 30))
 def test_words_by_definition(texts, limit):
     seen = {}
