@@ -107,4 +107,4 @@ def test_sparse_embedding_is_a_unit_vector(spark):
     rows = features.sparse_embedding(spark.createDataFrame([(1, "cable rojo"), (2, ""), (3, None)], "k long, s string"), ["k"], F.col("s")).collect()
     for k in (1, 2, 3):
         assert abs(sum(r.weight**2 for r in rows if r.k == k) - 1) < 1e-9
-    assert [(r.index, r.weight) for r in rows if r.k == 2] == [(0, 1.0)]
+    assert [(r["index"], r.weight) for r in rows if r.k == 2] == [(0, 1.0)]
