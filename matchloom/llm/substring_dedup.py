@@ -15,7 +15,8 @@ later occurrence goes.
 3. Compaction: later occurrences whose places and source places both advance by one form a
    nonbranching path; such paths become spans (place, source place, length), and their union is cut.
 
-Whole copies of an earlier document lose all their windows by definition, and so skip steps 1 to 3.
+Whole copies of an earlier document lose all their windows by definition, and so skip steps 1 to 3,
+but for the anchors that they send for others of their batch.
 Sums combine before each shuffle, joins on hot keys are split by AQE, and ids are broadcast only up
 to a bound, counted first; beyond that the join shuffles.
 
@@ -123,10 +124,13 @@ def later_windows(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     keyed = seen.where(F.col("n_words") >= window).groupBy("_key", "n_words").agg(F.min("_id").alias("_first"))
     copies = checkpointed(seen.select("_id", "_key", "n_words").join(keyed, ["_key", "n_words"]).where("_id > _first").select("_id", "_key").distinct(), "dedup-copies")
     copied = counted(copies)
-    runs = seen.select("_id", "_key", "anchors").join(copied, ["_id", "_key"], "left_anti").select("_id", F.inline("anchors"))
+    runs = seen.select("_id", "_key", "anchors").join(copied.withColumn("_copy", F.lit(True)), ["_id", "_key"], "left").select("_id", "_copy", F.inline("anchors"))
+    # A copy may have sent an anchor in place of others of its batch, which are known through it.
+    sent = runs.where("send AND (_copy IS NULL OR known)")
     by_run = Window.partitionBy("run").orderBy("_id")
     again = F.lag("run").over(by_run).isNotNull() | F.lead("run").over(by_run).isNotNull()
-    told = runs.where("send").select("run", "_id", "known").withColumn("again", again).where("again AND NOT known").select("_id", "run")
+    told = sent.select("run", "_id", "known").withColumn("again", again).where("again AND NOT known").select("_id", "run")
+    runs = runs.where("_copy IS NULL")
     maybe = runs.where("known").select("_id", "run").union(told).groupBy("_id").agg(F.collect_list("run").alias("runs"))
     maybe = checkpointed(maybe, "dedup-candidates")
     held = checkpointed(docs.join(counted(maybe.select("_id")), "_id", "left_semi").join(maybe, "_id"), "dedup-texts")
