@@ -1,20 +1,20 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each of the CONTEXTS most frequent words, and the begin of a text, has a restaurant of its own; all of
+Each word, and the begin of a text, has a restaurant of its own, for what follows it; all of
 them share one parent, the root, whose base gives half to the one unknown word and half evenly to the known
-ones.  A token whose predecessor has no restaurant is a customer of the root itself.  Every table of
-a context restaurant sends one customer to the root.
+ones.  Every table of a context restaurant sends one customer to the root.
 
 Seating.  Counts by word and context cover all training documents.  They are dealt by word, so that a
 word's seats in all restaurants lie together, and each deal runs its own Gibbs chain: a sweep takes
 customers of each word and context from their tables at random and seats them anew, under the shares
 that the rest of the seating gives; the root's seats of a word are then drawn anew in sequence.  Of the
-restaurants' totals a deal knows the counts of word types of all deals, scaled by its own state.
+restaurants' totals a deal knows the customers and word types of all deals; their tables follow from its own state.
 Of a word with more than SEATS tables in a context, the customers of SEATS tables move.
 Predictive probabilities are averaged over SAMPLES states of the chains with the true totals.
 
-Scoring.  The FREQUENT most frequent words (a bounded table) are broadcast and scored within the scan;
-all other tokens are joined with the model by word, and summed by document.  Discounts follow from
+Scoring.  A token's score depends on its word and the word before it, so that each pair of the corpus is scored once.
+The 8 * FREQUENT most frequent pairs (a bounded table) are broadcast and summed within the scan; all
+other tokens are joined with the scores by pair, and summed by document.  Discounts follow from
 the counts of counts.
 
 Defined results: null or empty text is its end token alone; rows that share an id are scored each, all in
@@ -24,7 +24,7 @@ score 0; further columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, fold, in_arrow, texts
+from .common import batch, checkpointed, counted, fold, in_arrow, texts
 from .words import mix, signed, split_words
 
-CONTEXTS = 62
-BEGIN, ROOT = 0, 63
-RESTAURANTS = 64
+#: In a chain's rows, the mark of a word's whole count; restaurants have the other numbers.
+ROOT = 63
 FREQUENT = 1 << 17
 SAMPLES, BURN_IN, STEPS = 4, 4, 6
 SEATS = 48
@@ -45,7 +44,9 @@ SEATS = 48
 DEAL = 150_000
 STRENGTH = 1.0
 END = int(mix(np.array([0x454E44], np.uint64))[0])
-_SLOTS = 20
+BEGIN = int(mix(np.array([0x424547], np.uint64))[0])
+#: With so many customers a restaurant's own tables count as much as those of its whole deal.
+POOLED = 10
 #: Distinct keys that a task sums before it hands them on.
 PENDING = 1_000_000
 
@@ -62,17 +63,18 @@ def tokens(column: pa.Array):
         yield words.first_row, out, offsets
 
 
-def contexts_of(table: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The restaurant of each token; `table`: the context words' hashes in order."""
-    order = np.argsort(table)
-    at = np.minimum(np.searchsorted(table[order], hashes), max(len(table) - 1, 0))
-    own = np.where(table[order][at] == hashes, order[at] + 1, ROOT) if len(table) else np.full(len(hashes), ROOT)
-    out = np.full(len(hashes), BEGIN)
-    out[1:] = own[:-1]
+def contexts_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The word before each token, or BEGIN."""
+    out = np.full(len(hashes), BEGIN, np.uint64)
+    out[1:] = hashes[:-1]
     out[offsets[:-1]] = BEGIN
     return out
 
 
+def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mix(words ^ mix(contexts + np.uint64(0x9E3779B97F4A7C15)))
+
+
 def summed(df: DataFrame, keys, schema: str) -> DataFrame:
     """Counts of the key columns that `keys(rows)` yields, summed in each task in bounded portions."""
 
@@ -158,7 +160,7 @@ class Seats:
 
 @dataclass
 class Totals:
-    """What a chain knows of all deals: by context the word types and tokens; all tokens and types; the discounts."""
+    """What a chain knows of all deals: by context the word types and tokens; all tokens and types; the discounts; types and tokens of contexts without rows here."""
 
     types: np.ndarray
     customers: np.ndarray
@@ -166,6 +168,7 @@ class Totals:
     v: int
     discount: float
     root_discount: float
+    elsewhere: tuple[int, int] = (0, 0)
 
     @property
     def base(self) -> float:
@@ -184,18 +187,21 @@ def chain(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Tota
     words = len(whole)
     direct = whole - np.bincount(word, count, words).astype(np.int64)
     d, d0 = totals.discount, totals.root_discount
-    own_types = np.bincount(context, minlength=RESTAURANTS)
+    restaurants = len(totals.types)
+    own_more = np.bincount(context, count - 1, restaurants)
     tables = np.ones(len(word), np.int64)
-    direct_all = totals.n - int(totals.customers.sum())
+    direct_all = totals.n - int(totals.customers.sum()) - totals.elsewhere[1]
     root_tables = np.ones(words, np.int64)
     many = count > 1
 
     def shares() -> tuple[np.ndarray, np.ndarray]:
         """Each pair's weight of a new table, and each word's root customers."""
-        scale = np.bincount(context, tables, RESTAURANTS) / np.maximum(own_types, 1)
-        all_tables = totals.types * np.where(own_types > 0, scale, 1)
+        more = np.bincount(context, tables - 1, restaurants)
+        pooled = more.sum() / max(own_more.sum(), 1)
+        all_tables = totals.types + (totals.customers - totals.types) * (more + POOLED * pooled) / (own_more + POOLED)
+        elsewhere = totals.elsewhere[0] + (totals.elsewhere[1] - totals.elsewhere[0]) * pooled
         root = direct + np.bincount(word, tables, words).astype(np.int64)
-        root_all = direct_all + all_tables.sum()
+        root_all = direct_all + all_tables.sum() + elsewhere
         root_share = (root - d0 * root_tables + (STRENGTH + d0 * totals.v * root_tables.mean() if words else 0) * totals.base) / (root_all + STRENGTH)
         return (STRENGTH + d * all_tables)[context] * root_share[word], root
 
@@ -238,16 +244,20 @@ class Predictive:
     """Averages over the samples: by restaurant and sample the share that goes to the root, and the root's own shares."""
 
     totals: Totals
-    tables: np.ndarray  # RESTAURANTS x SAMPLES; that of ROOT holds the root's own tables
+    tables: np.ndarray  # restaurants x samples
+    root_customers: np.ndarray | None = None  # by sample; without them and the root's tables, `tables` are those of all, and has the root's in ROOT
+    root_tables: np.ndarray | None = None
 
     def __post_init__(self):
-        t, self.samples = self.totals, self.tables.shape[1]
-        inner = self.tables.copy()
-        inner[ROOT] = 0
-        self.root_customers = t.n - t.customers.sum() + inner.sum(0)
+        t, self.samples, inner = self.totals, self.tables.shape[1], self.tables
+        if self.root_customers is None:
+            inner, self.root_tables = inner.copy(), inner[ROOT]
+            inner[ROOT] = 0
+            self.root_customers = t.n - t.customers.sum() + inner.sum(0)
         self.beta = (STRENGTH + t.discount * inner) / (t.customers + STRENGTH)[:, None]
-        self.beta[ROOT] = 1
-        self.new = (STRENGTH + t.root_discount * self.tables[ROOT]) / (self.root_customers + STRENGTH)
+        if inner is not self.tables:
+            self.beta[ROOT] = 1
+        self.new = (STRENGTH + t.root_discount * self.root_tables) / (self.root_customers + STRENGTH)
         self.unknown = self.new * (0.5 if t.v else 1.0)
 
     def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -262,28 +272,6 @@ class Predictive:
         return np.log10((count + 0.5) / (self.totals.n + 0.5 * (self.totals.v + 1)))
 
 
-@dataclass
-class Frequent:
-    """The broadcast part of the model: a table of words by hash prefix, root shares, and seats by word and context."""
-
-    hashes: np.ndarray
-    numbers: np.ndarray
-    root: np.ndarray
-    base: np.ndarray
-    keys: np.ndarray
-    seats: np.ndarray
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
-
-
-def one_per_slot(words: np.ndarray) -> np.ndarray:
-    """Of words, most frequent first, those that are the first with their hash prefix."""
-    _, first = np.unique(words >> np.uint64(64 - _SLOTS), return_index=True)
-    return words[np.sort(first)]
-
-
 def count_unigrams(train: DataFrame) -> DataFrame:
     def words(rows):
         for _, hashes, _ in tokens(rows.column("text")):
@@ -292,185 +280,155 @@ def count_unigrams(train: DataFrame) -> DataFrame:
     return summed(train, words, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def count_pairs(train: DataFrame, context_words: np.ndarray) -> DataFrame:
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """word, context, count (in rows with `train`) and uses (in all rows) of every pair."""
+
     def pairs(rows):
-        for _, hashes, offsets in tokens(rows.column("text")):
-            context = contexts_of(context_words, hashes, offsets)
-            at = context != ROOT
-            yield signed(hashes[at]), context[at].astype(np.int32)
+        train = rows.column("train").to_numpy(zero_copy_only=False)
+        for first, hashes, offsets in tokens(rows.column("text")):
+            own = np.repeat(train[first : first + len(offsets) - 1], np.diff(offsets))
+            yield own, signed(hashes), signed(contexts_of(hashes, offsets))
 
-    return summed(train, pairs, "word long, context int, count long").groupBy("word", "context").agg(F.sum("count").alias("count"))
+    found = summed(docs, pairs, "train boolean, word long, context long, count long")
+    return found.groupBy("word", "context").agg(F.sum(F.when(F.col("train"), F.col("count")).otherwise(0)).alias("count"), F.sum("count").alias("uses"))
 
 
-_MODEL = "deal long, word long, count long, root array<int>, root_tables array<int>, contexts array<int>, counts array<long>, tables array<int>, totals array<long>"
+_MODEL = "word long, context long, count long, tables array<int>, root_tables array<int>"
 
 
-def seat_all(counts: DataFrame, totals: Totals, seed: int) -> DataFrame:
-    """A row for each word, with its seats in each sample, and one without a word for each deal, with the tables by restaurant and sample."""
+def seat_all(counts: DataFrame, totals: Totals, all_types: int, seed: int) -> DataFrame:
+    """A row for each pair, with its tables in each sample, and one without a context for each word, with its customers and tables in the root."""
 
     def run(rows: pa.Table):
-        word, context, count = (rows.column(c).to_numpy() for c in ("word", "context", "count"))
+        word, count = rows.column("word").to_numpy(), rows.column("count").to_numpy()
+        whole = rows.column("context").is_null().to_numpy()
+        names, context = np.unique(rows.column("context").fill_null(0).to_numpy(), return_inverse=True)
+        names, context = np.insert(names, min(ROOT, len(names)), 0), context + (context >= ROOT)
+        context[whole] = ROOT
+        names = np.pad(names, (0, max(0, ROOT + 1 - len(names))))
+        types, customers = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        types[context[~whole]], customers[context[~whole]] = (rows.column(c).fill_null(0).to_numpy()[~whole] for c in ("types", "customers"))
         order = np.lexsort((context, word))
-        word, context, count, deal = word[order], context[order].astype(np.int64), count[order], rows.column("deal")[0].as_py()
-        names, number = np.unique(word, return_inverse=True)
-        got = chain(number, context, count, totals, [seed, deal])
-        bounds = np.searchsorted(got["word"], np.arange(len(names) + 1))
-        sums = np.stack([np.bincount(got["context"], got["tables"][:, s], RESTAURANTS) for s in range(SAMPLES)], 1).astype(np.int64)
-        sums[ROOT] = got["root_tables"].sum(0)
-
-        def lists(values, sizes, kind):
-            values = np.ascontiguousarray(values).reshape(-1)
-            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, kind))
-
-        steady = np.arange(len(names) + 1) * SAMPLES
-        empty = pa.array([None], pa.list_(pa.int32()))
-        yield batch(
-            deal=np.full(len(names), deal), word=names, count=got["whole"],
-            root=lists(got["root"], steady, pa.int32()), root_tables=lists(got["root_tables"], steady, pa.int32()),
-            contexts=lists(got["context"], bounds, pa.int32()), counts=lists(got["count"], bounds, pa.int64()), tables=lists(got["tables"], bounds * SAMPLES, pa.int32()),
-            totals=pa.nulls(len(names), pa.list_(pa.int64())),
-        )
-        yield batch(
-            deal=pa.array([deal]), word=pa.nulls(1, pa.int64()), count=pa.nulls(1, pa.int64()), root=empty, root_tables=empty, contexts=empty,
-            counts=pa.array([None], pa.list_(pa.int64())), tables=empty, totals=pa.array([sums.reshape(-1).tolist()], pa.list_(pa.int64())),
-        )
+        words, number = np.unique(word[order], return_inverse=True)
+        elsewhere = all_types - int(types.sum()), totals.n - int(customers.sum())
+        got = chain(number, context[order], count[order], replace(totals, types=types, customers=customers, elsewhere=elsewhere), [seed, rows.column("deal")[0].as_py()])
+
+        def lists(values):
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * SAMPLES, pa.int32()), pa.array(np.ascontiguousarray(values).reshape(-1), pa.int32()))
+
+        yield batch(word=words, context=pa.nulls(len(words), pa.int64()), count=got["whole"], tables=lists(got["root"]), root_tables=lists(got["root_tables"]))
+        pairs = len(got["word"])
+        yield batch(word=words[got["word"]], context=names[got["context"]], count=got["count"], tables=lists(got["tables"]), root_tables=pa.nulls(pairs, pa.list_(pa.int32())))
 
     def table(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(rows)))
+        return pa.Table.from_batches(list(run(rows.combine_chunks())))
 
     return counts.groupBy("deal").applyInArrow(table, _MODEL)
 
 
-def flat(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy()
+def score_pairs(pairs: DataFrame, model: DataFrame, contexts: DataFrame, totals: Totals) -> DataFrame:
+    """word, context, uses, score, base and known (1 or 0) of every pair of the corpus."""
+    sums = [F.coalesce(F.sum(F.col("tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]
+    seats, words = model.where("context IS NOT NULL").drop("root_tables"), model.where("context IS NULL")
+    root = words.agg(*[F.coalesce(F.sum(F.col("root_tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
+    sent = seats.groupBy("context").agg(F.array(*sums).alias("sent"))
+    sent = checkpointed(contexts.select("context", "customers").join(sent, "context"), "lm-restaurants")
+    every = sent.agg(*[F.coalesce(F.sum(F.col("sent")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
+    root_customers, root_tables = np.array([float(x) for x in every]), np.array([float(x) for x in root])
+    own = pairs.select("word", "context", "uses").join(seats.select("word", "context", "count", "tables"), ["word", "context"], "left")
+    own = own.join(words.select("word", F.col("count").alias("word_count"), F.col("tables").alias("root"), "root_tables"), "word", "left").join(counted(sent), "context", "left")
+    none = F.array(*[F.lit(0)] * SAMPLES)
+    own = own.select(
+        "word", "context", "uses", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("tables", none).alias("tables"), F.coalesce("word_count", F.lit(0)).alias("word_count"),
+        F.coalesce("root", none).alias("root"), F.coalesce("root_tables", none).alias("root_tables"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("sent", none.cast("array<bigint>")).alias("sent"),
+    )
 
+    def task(rows: pa.RecordBatch):
+        tables, root, root_seated, sent = (rows.column(c).flatten().to_numpy().reshape(-1, SAMPLES) for c in ("tables", "root", "root_tables", "sent"))
+        count, word_count, customers = (rows.column(c).to_numpy() for c in ("count", "word_count", "customers"))
+        here = Predictive(replace(totals, customers=customers), sent, root_customers, root_tables)
+        known = word_count > 0
+        share = np.where(known[:, None], here.root(root, root_seated), here.unknown)
+        share = (share * here.beta).mean(1) + np.where(count > 0, here.seats(np.arange(len(count)), count, tables), 0)
+        yield batch(word=rows.column("word"), context=rows.column("context"), uses=rows.column("uses"), score=np.log10(share), base=here.base_score(word_count), known=known.astype(np.int64))
 
-def word_shares(model: pa.RecordBatch, predictive: Predictive):
-    """Numbers of the words, their root shares, and for their pairs the word's place, the context and the seats."""
-    root = predictive.root(flat(model.column("root")).reshape(-1, SAMPLES), flat(model.column("root_tables")).reshape(-1, SAMPLES))
-    context = flat(model.column("contexts")).astype(np.int64)
-    seats = predictive.seats(context, flat(model.column("counts")), flat(model.column("tables")).reshape(-1, SAMPLES))
-    sizes = model.column("contexts").value_lengths().to_numpy()
-    return root, np.repeat(np.arange(len(sizes)), sizes), context, seats
+    return in_arrow(own, task, "word long, context long, uses long, score double, base double, known long")
 
 
-def frequent_part(model: DataFrame, words: np.ndarray, predictive: Predictive) -> Frequent:
-    """Collects the model of at most FREQUENT words."""
-    spark = model.sparkSession
-    wanted = spark.createDataFrame(pa.table({"word": signed(words)}))
+@dataclass
+class Frequent:
+    """The broadcast scores of pairs, by ascending key."""
+
+    keys: np.ndarray
+    values: np.ndarray  # pairs x (score, base, known)
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys it has, and the values, zeros where it has none."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros((len(keys), 3))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        has = self.keys[at] == keys
+        return has, np.where(has[:, None], self.values[at], 0)
 
-    def task(rows: pa.RecordBatch):
-        root, place, context, seats = word_shares(rows, predictive)
-        bounds = np.append(0, np.cumsum(np.bincount(place, minlength=len(root)))) if len(root) else np.zeros(1, np.int64)
-        yield batch(
-            word=rows.column("word"), base=predictive.base_score(rows.column("count").to_numpy()),
-            root=pa.array([r.astype(np.float64).tobytes() for r in root], pa.binary()),
-            contexts=pa.array([context[a:b].astype(np.uint8).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-            seats=pa.array([seats[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-        )
-
-    got = in_arrow(model.join(F.broadcast(wanted), "word"), task, "word long, base double, root binary, contexts binary, seats binary").toArrow()
-    got = got.combine_chunks().sort_by("word")
-    hashes = got.column("word").to_numpy().astype(np.int64).view(np.uint64)
-
-    def joined(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(x.as_py() for x in got.column(name)), kind)
-
-    sizes = np.array([len(x.as_py()) for x in got.column("contexts")], np.int64)
-    keys = np.repeat(np.arange(len(sizes)), sizes) * RESTAURANTS + joined("contexts", np.uint8)
-    table, numbers = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-    at = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-    table[at], numbers[at] = hashes, np.arange(len(hashes))
-    return Frequent(table, numbers, joined("root", np.float64).reshape(-1, SAMPLES), got.column("base").to_numpy(), keys.astype(np.int32), joined("seats", np.float32))
+
+def frequent_part(scores: DataFrame) -> Frequent:
+    got = scores.orderBy(F.desc("uses"), "word", "context").limit(8 * FREQUENT).drop("uses").toArrow().combine_chunks()
+    word, context = (got.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "context"))
+    keys = pair_keys(word, context)
+    order = np.argsort(keys)
+    return Frequent(keys[order], np.stack([got.column(c).to_numpy().astype(float) for c in ("score", "base", "known")], 1)[order])
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, folds: int = 5, seed: int = 23) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = df.sparkSession
-    docs = texts(df, id_col, text_col)
-    train = docs.where(fold("doc_id", folds) != held_out)
-    unigrams = checkpointed(count_unigrams(train), "lm-unigrams")
-    all_ = unigrams.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.count_if(F.col("count") == 1).alias("one"), F.count_if(F.col("count") == 2).alias("two")).first()
-    top = unigrams.orderBy(F.desc("count"), "word").limit(FREQUENT).toArrow()
-    top = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    context_words = top[top != np.uint64(END)][:CONTEXTS]
-    pairs = checkpointed(count_pairs(train, context_words), "lm-pairs")
-    by_context = {r.context: r for r in pairs.groupBy("context").agg(F.count("*").alias("types"), F.sum("count").alias("customers"), F.count_if(F.col("count") == 1).alias("one"), F.count_if(F.col("count") == 2).alias("two")).collect()}
-    one, two = sum(r.one for r in by_context.values()), sum(r.two for r in by_context.values())
+    docs = texts(df, id_col, text_col).withColumn("train", fold("doc_id", folds) != held_out)
+    unigrams = checkpointed(count_unigrams(docs.where("train")), "lm-unigrams")
+    sizes = [F.sum("count").alias("n"), F.count("*").alias("v"), F.count_if(F.col("count") == 1).alias("one"), F.count_if(F.col("count") == 2).alias("two")]
+    all_ = unigrams.agg(*sizes).first()
+    pairs = checkpointed(count_pairs(docs), "lm-pairs")
+    trained = pairs.where("count > 0").drop("uses")
+    of_pairs = trained.agg(*sizes).first()
 
     def discount(ones: int, twos: int) -> float:
         return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
-    totals = Totals(
-        np.array([by_context[k].types if k in by_context else 0 for k in range(RESTAURANTS)], np.int64),
-        np.array([by_context[k].customers if k in by_context else 0 for k in range(RESTAURANTS)], np.int64),
-        all_.n or 0, all_.v, discount(one, two), discount(all_.one, all_.two),
-    )
-    deals = max(1, -(-(all_.v + int(totals.types.sum())) // DEAL))
-    counts = unigrams.select("word", F.lit(ROOT).alias("context"), "count").unionByName(pairs)
+    totals = Totals(np.zeros(0, np.int64), np.zeros(0, np.int64), all_.n or 0, all_.v, discount(of_pairs.one, of_pairs.two), discount(all_.one, all_.two))
+    contexts = checkpointed(trained.groupBy("context").agg(F.count("*").alias("types"), F.sum("count").alias("customers")), "lm-contexts")
+    deals = max(1, -(-(all_.v + of_pairs.v) // DEAL))
+    none = F.lit(None).cast("long")
+    counts = unigrams.select("word", none.alias("context"), "count", none.alias("types"), none.alias("customers")).unionByName(trained.join(counted(contexts), "context"))
     counts = counts.withColumn("deal", F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(deals)))
-    model = checkpointed(seat_all(counts, totals, seed), "lm-seats")
-    sums = model.where("word IS NULL").select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("tables")).collect()
-    tables = np.zeros(RESTAURANTS * SAMPLES)
-    for r in sums:
-        tables[r.pos] = r.tables
-    predictive = Predictive(totals, tables.reshape(RESTAURANTS, SAMPLES))
-    model = model.where("word IS NOT NULL")
-    frequent = spark.sparkContext.broadcast(frequent_part(model, one_per_slot(top), predictive))
+    model = checkpointed(seat_all(counts, totals, of_pairs.v, seed), "lm-seats")
+    scores = checkpointed(score_pairs(pairs, model, contexts, totals), "lm-scores")
+    frequent = spark.sparkContext.broadcast(frequent_part(scores))
 
     def scan(batches):
         seen, part = 0, TaskContext.get().partitionId() << 36
         for rows in batches:
             for first, hashes, offsets in tokens(rows.column("text")):
-                part_model, docs_here = frequent.value, len(offsets) - 1
-                context, number = contexts_of(context_words, hashes, offsets), part_model.lookup(hashes)
-                known = number >= 0
-                share = (part_model.root[number] * predictive.beta[context]).mean(1)
-                key = number * RESTAURANTS + context
-                inner = np.flatnonzero(known & (context != ROOT))
-                if len(part_model.keys) and len(inner):
-                    at = np.minimum(np.searchsorted(part_model.keys, key[inner].astype(np.int32)), len(part_model.keys) - 1)
-                    hit = part_model.keys[at] == key[inner]
-                    share[inner[hit]] += part_model.seats[at[hit]]
-                score = np.where(known, np.log10(np.where(known, share, 1)), 0)
-                base = np.where(known, part_model.base[number], 0) if len(part_model.base) else np.zeros(len(hashes))
-                rare = np.flatnonzero(~known)
+                docs_here = len(offsets) - 1
+                context = contexts_of(hashes, offsets)
+                has, values = frequent.value.lookup(pair_keys(hashes, context))
+                sums = np.add.reduceat(values, offsets[:-1]) if docs_here else np.zeros((0, 3))
+                rare = np.flatnonzero(~has)
                 bounds = np.searchsorted(rare, offsets)
-                others = pa.StructArray.from_arrays([pa.array(signed(hashes[rare])), pa.array(context[rare].astype(np.int32))], ["word", "context"])
+                others = pa.StructArray.from_arrays([pa.array(signed(hashes[rare])), pa.array(signed(context[rare]))], ["word", "context"])
                 yield batch(
                     _row=part + seen + first + np.arange(docs_here),
                     doc_id=rows.column("doc_id").slice(first, docs_here),
                     n_tokens=np.diff(offsets),
-                    known=np.add.reduceat(known.astype(np.int64), offsets[:-1]) if docs_here else np.zeros(0, np.int64),
-                    score=np.add.reduceat(score, offsets[:-1]) if docs_here else np.zeros(0),
-                    base=np.add.reduceat(base, offsets[:-1]) if docs_here else np.zeros(0),
+                    known=sums[:, 2].astype(np.int64),
+                    score=np.ascontiguousarray(sums[:, 0]),
+                    base=np.ascontiguousarray(sums[:, 1]),
                     rare=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), others),
                 )
             seen += rows.num_rows
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    scored = docs.mapInArrow(scan, "_row long, doc_id long, n_tokens long, known long, score double, base double, rare array<struct<word: long, context: int>>")
+    scored = docs.select("doc_id", "text").mapInArrow(scan, "_row long, doc_id long, n_tokens long, known long, score double, base double, rare array<struct<word: long, context: long>>")
     scored = checkpointed(scored, "lm-scan")
-
-    def shares(rows: pa.RecordBatch):
-        root, place, context, seats = word_shares(rows, predictive)
-        bounds = np.searchsorted(place, np.arange(len(root) + 1))
-        yield batch(
-            word=rows.column("word"), base=predictive.base_score(rows.column("count").to_numpy()),
-            root=pa.ListArray.from_arrays(pa.array(np.arange(len(root) + 1) * SAMPLES, pa.int32()), pa.array(root.reshape(-1))),
-            contexts=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(context.astype(np.int32))),
-            seats=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(seats)),
-        )
-
-    rare_model = in_arrow(model, shares, "word long, base double, root array<double>, contexts array<int>, seats array<double>")
-    beta = F.array(*[F.array(*[F.lit(float(b)) for b in row]) for row in predictive.beta])
-    rare = scored.select("_row", F.inline("rare")).join(rare_model, "word", "left")
-    of_context = beta[F.col("context")]
-    known = F.col("root").isNotNull()
-    unknown = [F.lit(float(u)) for u in predictive.unknown]
-    share = sum((F.when(known, F.col("root")[s]).otherwise(unknown[s]) * of_context[s] for s in range(SAMPLES)), F.lit(0.0)) / SAMPLES
-    seat = F.when(F.array_contains("contexts", F.col("context")), F.element_at("seats", F.greatest(F.array_position("contexts", F.col("context")).cast("int"), F.lit(1)))).otherwise(0.0)
-    rare = rare.select("_row", F.log10(share + F.coalesce(seat, F.lit(0.0))).alias("score"), F.coalesce("base", F.lit(float(predictive.base_score(np.zeros(1))[0]))).alias("base"), known.cast("int").alias("known"))
+    rare = scored.select("_row", F.inline("rare")).join(scores.drop("uses"), ["word", "context"])
     rare = rare.groupBy("_row").agg(F.sum("score").alias("_score"), F.sum("base").alias("_base"), F.sum("known").alias("_known"))
     zero = F.lit(0.0)
     return scored.drop("rare").join(rare, "_row", "left").select(

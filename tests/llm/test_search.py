@@ -120,6 +120,18 @@ def test_rare_and_frequent_words_score_alike(spark, data, monkeypatch):
     assert all(abs(whole[i] - part[i]) < 1e-4 for i in whole)
 
 
+def test_every_word_is_a_context(documents):
+    """After each of 150 words one other always follows, so that a text in that order is likelier than one out of order."""
+    pairs = [f"a{k} b{k}" for k in range(150)]
+    texts = [" ".join(pairs[k:] + pairs[:k]) for k in range(0, 150, 3)]
+    mixed = " ".join(f"a{k} b{(k * 7 + 3) % 150}" for k in range(150))
+    rows = [(k, t) for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    held = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    got = {r.doc_id: r for r in pitman_yor.score_documents(documents(rows + [(held[0], texts[0]), (held[1], mixed)])).collect()}
+    one, other = got[held[0]], got[held[1]]
+    assert abs(one.base_score - other.base_score) < 1e-6 and one.score > -0.2 * one.n_tokens and other.score < one.score - 100
+
+
 def test_language_model_of_awkward_rows(awkward, empty):
     rows = pitman_yor.score_documents(awkward).collect()
     assert len(rows) == 10 and all(r.n_tokens == 1 for r in rows if r.doc_id in (1, 2, 3)) and all(math.isfinite(r.score) and r.score <= 0 for r in rows)
