@@ -5,11 +5,11 @@ them share one parent, the root, whose base gives half to the one unknown word a
 ones.  Every table of a context restaurant sends one customer to the root.
 
 Seating.  Counts by word and context cover all training documents.  They are dealt by word, so that a
-word's seats in all restaurants lie together, and each deal runs its own Gibbs chain: a sweep takes
-customers of each word and context from their tables at random and seats them anew, under the shares
-that the rest of the seating gives; the root's seats of a word are then drawn anew in sequence.  Of the
+word's seats in all restaurants lie together, and each deal runs its own Gibbs chain: a sweep seats all
+customers of each word and context anew at once, under the shares that the rest of the seating gives: with
+weight w of a new table, c customers have k tables with odds w^k S(c, k), S being generalised Stirling
+numbers of the discount; the root's seats of a word are then drawn anew in sequence.  Of the
 restaurants' totals a deal knows the customers and word types of all deals; their tables follow from its own state.
-Of a word with more than SEATS tables in a context, the customers of SEATS tables move.
 Predictive probabilities are averaged over SAMPLES states of the chains with the true totals.
 
 Scoring.  A token's score depends on its word and the word before it, so that each pair of the corpus is scored once.
@@ -38,8 +38,7 @@ from .words import mix, signed, split_words
 #: In a chain's rows, the mark of a word's whole count; restaurants have the other numbers.
 ROOT = 63
 FREQUENT = 1 << 17
-SAMPLES, BURN_IN, STEPS = 4, 4, 6
-SEATS = 48
+SAMPLES, BURN_IN = 4, 4
 #: Counts dealt to one chain, about.
 DEAL = 150_000
 STRENGTH = 1.0
@@ -121,7 +120,10 @@ def table_estimate(customers: np.ndarray, weight: np.ndarray, discount: float) -
 
 
 class Seats:
-    """Table sizes of dishes with at least 2 customers: up to `width` tables each, and the rest, which stay, as sums."""
+    """Table sizes of dishes with at least 2 customers, moved one customer at a time: what the tests hold `Tables` against.
+
+    Up to `width` tables each, and the rest, which stay, as sums.
+    """
 
     def __init__(self, customers: np.ndarray, tables: np.ndarray, width: int):
         n = len(customers)
@@ -158,6 +160,53 @@ class Seats:
         self.rest_tables += to_rest & new
 
 
+class Tables:
+    """Draws of how many tables the customers of each dish take, all of them seated anew."""
+
+    def __init__(self, customers: np.ndarray, discount: float, tables: np.ndarray):
+        self.n, self.discount, self.groups = len(customers), discount, []
+        bits = np.ceil(np.log2(customers)).astype(np.int64) if self.n else customers
+        for b in np.unique(bits):
+            rows = np.flatnonzero(bits == b)
+            sizes, at = np.unique(customers[rows], return_inverse=True)
+            width = min(int(sizes[-1]), 2 * int(tables[rows].max()) + 32)
+            self.groups.append([rows, sizes, at, self.stirling(sizes, width)])
+
+    def stirling(self, sizes: np.ndarray, width: int) -> np.ndarray:
+        """Logarithms of the generalised Stirling numbers of each of the ascending sizes and 1 to `width` tables."""
+        out, k = np.empty((len(sizes), width)), np.arange(1, width + 1)
+        row, done = np.full(width, -np.inf), 0
+        row[0] = 0
+        for c in range(1, int(sizes[-1]) + 1):
+            if c == sizes[done]:
+                out[done] = row
+                done += 1
+            up = min(c, width - 1)
+            stay = row[: up + 1] + np.log(np.maximum(c - self.discount * k[: up + 1], 1e-300))
+            stay[1:] = np.logaddexp(stay[1:], row[:up])
+            row[: up + 1] = stay
+        return out
+
+    def draw(self, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of each dish; `weight`: of a new table."""
+        out, log_weight = np.ones(self.n, np.int64), np.log(weight)
+        for group in self.groups:
+            rows, sizes, at, _ = group
+            step = max(1, (1 << 21) // group[3].shape[1])
+            first = 0
+            while first < len(rows):
+                own = slice(first, first + step)
+                odds = group[3][at[own]] + log_weight[rows[own], None] * np.arange(1, group[3].shape[1] + 1)
+                # Where more tables than the width have a share that doubles can tell, it is doubled.
+                if group[3].shape[1] < sizes[-1] and (odds[:, -1] > odds.max(axis=1) - 40).any():
+                    group[3] = self.stirling(sizes, min(int(sizes[-1]), 2 * group[3].shape[1]))
+                    step = max(1, (1 << 21) // group[3].shape[1])
+                    continue
+                out[rows[own]] = np.argmax(odds + rng.gumbel(size=odds.shape), axis=1) + 1
+                first += step
+        return out
+
+
 @dataclass
 class Totals:
     """What a chain knows of all deals: by context the word types and tokens; all tokens and types; the discounts; types and tokens of contexts without rows here."""
@@ -207,15 +256,11 @@ def chain(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Tota
 
     weight, _ = shares()
     tables[many] = table_estimate(count[many].astype(float), weight[many], d)
-    groups = [(np.flatnonzero(many & (count <= 8)), 8), (np.flatnonzero(count > 8), SEATS)]
-    groups = [(rows, Seats(count[rows], tables[rows], width)) for rows, width in groups if len(rows)]
+    seats = Tables(count[many], d, tables[many])
     kept_tables, kept_root, kept_root_tables = [], [], []
     for sweep in range(BURN_IN + SAMPLES):
         weight, root = shares()
-        for rows, seats in groups:
-            for _ in range(STEPS):
-                seats.step(weight[rows], d, rng)
-            tables[rows] = seats.tables()
+        tables[many] = seats.draw(weight[many], rng)
         root = direct + np.bincount(word, tables, words).astype(np.int64)
         root_tables = root_seats(root, (STRENGTH + d0 * totals.v * root_tables.mean() if words else 0) * totals.base, d0, rng)
         if sweep >= BURN_IN:

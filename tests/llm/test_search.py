@@ -186,6 +186,28 @@ def test_two_customers_share_a_table_as_often_as_they_should():
     assert abs((seats.tables() == 1).mean() - 0.5 / 2.0) < 0.03
 
 
+def test_tables_drawn_at_once_are_those_of_single_moves():
+    rng, n = np.random.default_rng(5), 1000
+    customers, weight = np.repeat([2, 5, 40], n), np.repeat([1.5, 0.7, 3.0], n)
+    seats = pitman_yor.Seats(customers, np.ones(3 * n, np.int64), 40)
+    for _ in range(3000):
+        seats.step(weight, 0.5, rng)
+    drawn = pitman_yor.Tables(customers, 0.5, np.ones(3 * n, np.int64)).draw(weight, rng)
+    for own in (slice(0, n), slice(n, 2 * n), slice(2 * n, None)):
+        assert abs(drawn[own].mean() - seats.tables()[own].mean()) < 0.4 and abs(drawn[own].std() - seats.tables()[own].std()) < 0.3
+    assert (pitman_yor.Tables(np.array([3, 500]), 0.5, np.array([1, 1])).draw(np.array([1e9, 1e9]), rng) == [3, 500]).all()
+
+
+def test_a_sweep_moves_all_customers_of_frequent_pairs():
+    """Seats of pairs with thousands of customers don't depend on those of an earlier sweep."""
+    n = 400
+    word, context, count = np.repeat(np.arange(n), 2), np.tile([0, 63], n), np.tile([2000, 102_000], n)
+    totals = pitman_yor.Totals(np.bincount([0], [n], 64).astype(np.int64), np.bincount([0], [2000 * n], 64).astype(np.int64), 102_000 * n, n, 0.6, 0.7)
+    tables = pitman_yor.chain(word, context, count, totals, [1])["tables"]
+    own = (tables - tables.mean(0)).astype(float)
+    assert (own.std(0) > 0.5).all() and abs((own[:, 0] * own[:, -1]).mean()) / (own[:, 0].std() * own[:, -1].std()) < 0.25
+
+
 # --- chat tree ---------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
