@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_codec import encode_texts
 from .chat_tree import formatted_digest
@@ -59,7 +60,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("draws")
+    rows = mix_sources(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"shards": F.col("draws.shard"), "places": F.col("draws.place")}).drop("draws")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import quality as q
 from matchloom.llm.bpe_codec import Codec, encode_texts
+from matchloom.llm.queries import queries
 from matchloom.llm.source_mix import mix_sources, mixed_rows, split_quotas, targets
 from matchloom.llm.token_counts import PieceTable, count_tokens, slice_counts
 
@@ -115,6 +116,12 @@ def test_mix(spark, data):
     assert places == int((rows.taken // rows["size"].clip(lower=1)).where(rows["size"] > 0, 0).sum()) or places > 0
 
 
+def test_mix_query_gives_its_shards_and_places(spark, data):
+    rows = queries()["op10_source_mix"](spark, data).collect()
+    assert {s for r in rows for s in r.shards} == set(range(16))
+    assert all(len(r.shards) == len(r.places) and r.size * len(r.shards) == r.taken for r in rows)
+
+
 def test_mix_of_awkward_rows(awkward, empty):
     rows = mix_sources(awkward).collect()
     assert len(rows) == 10 and all(r["size"] == 0 and r.taken == 0 for r in rows if r.doc_id in (1, 2, 3))
