@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a priority queue over a linked symbol list.
 
 The vocabulary is a `tokenizers` JSON file of a BPE model with word ends, over byte-level characters,
-after NFC, joining of white space and lower case.  White space never lies within a token, so each
-distinct stretch without it is encoded once in a process (a bounded memory) and texts are put
-together from those.  One scan, no shuffle.
+after NFC, joining of white space and lower case.  White space never lies within a token, so texts are
+put together from stretches without it, and those from pre-tokens.  A process remembers both, each in two generations
+of bounded size, so that what stands often stays known and what stands once goes.  One scan, no shuffle.
 
 Defined results: null or empty text has no ids and decodes to empty text; repeated rows are encoded
 each; further columns are ignored; an empty table gives an empty result.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -25,8 +26,26 @@ from .common import batch, in_arrow, texts
 #: White space of the vocabulary's normaliser (the Unicode property), where Python's differs by the separators below.
 _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
-#: Stretches that a process remembers.
-KNOWN = 250_000
+#: Stretches, and pre-tokens, that a generation of a process's memory holds.
+KNOWN = 1 << 17
+#: Bits of an id, and of a place in a pre-token, within one number.
+_ID, _PLACE = 24, 32
+#: Letters and numbers that Unicode has since version 17 and planned ones, as ranges.  The library's classes are
+#: those of version 16, where they are neither.
+_NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Capitals since version 16, and how far their small letters are from them.
+_NEWER_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC, **dict.fromkeys(range(0x10D50, 0x10D66), 32), **dict.fromkeys(range(0x16EA0, 0x16EB9), 27)}
+_LOWERED = {c: c + d for c, d in _NEWER_CAPITALS.items()}
+_NEWER_CLASS = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _NEWER) + "]"
+_CAPITALS = regex.compile("[" + "".join(map(chr, _LOWERED)) + "]")
+_HAS_NEWER = regex.compile(_NEWER_CLASS)
 
 
 def byte_characters() -> list[str]:
@@ -36,55 +55,113 @@ def byte_characters() -> list[str]:
     return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
+class Memory:
+    """Remembers what was asked for lately: two generations, of which the older one goes when the younger one is full."""
+
+    def __init__(self, make, size: int = KNOWN):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def one(self, key: str):
+        found = self.young.get(key)
+        if found is None:
+            if len(self.young) >= self.size:
+                self.young, self.old = {}, self.young
+            found = self.young[key] = self.old.get(key) or self.make(key)
+        return found
+
+    def all(self, keys: list[str]) -> list:
+        young = self.young
+        try:
+            return [young[k] for k in keys]
+        except KeyError:
+            old, make = self.old, self.make
+            missing = {*keys}.difference(young)
+            if len(young) + len(missing) > self.size:
+                self.old = young
+                self.young = young = {k: young[k] for k in {*keys}.intersection(young)}
+            for k in missing:
+                young[k] = old.get(k) or make(k)
+            return [young[k] for k in keys]
+
+
 class Codec:
     """Encodes and decodes with one vocabulary."""
 
     def __init__(self, text: str):
         given = json.loads(text)
         model = given["model"]
-        self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.byte_chars = byte_characters()
-        self.cut = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        #: By left and right id, as one number: rank and merged id, as one number.
+        self.merges = {self.ids[a] << _ID | self.ids[b]: rank << _ID | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        characters = byte_characters()
+        self.inner = [self.ids[c] for c in characters]
+        self.last = [self.ids[c + model["end_of_word_suffix"]] for c in characters]
+        pattern = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern)
+        self.cut_newer = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER_CLASS}]", pattern), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[str, str]] = {}
+        self.pieces = Memory(lambda piece: self.shown(self.encode_piece(piece)))
+        self.known = Memory(self.encode_stretch)
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token: the queue holds (rank, place, left, right, merged); an entry whose symbols changed is stale."""
-        chars = [self.byte_chars[b] for b in piece.encode()]
-        chars[-1] += self.end
-        symbols = [self.ids[c] for c in chars]
-        n = len(symbols)
-        merges = self.merges
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(*found, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
-        queue = [(rank, i, left, right, merged) for rank, merged, i, left, right in queue]
+        """Ids of one pre-token.
+
+        The queue holds rank, merged id and place of pairs, as one number; `at` has the present pair of
+        each place, or -1, so that an entry that differs from it is stale.
+        """
+        data = piece.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        n, find = len(symbols), self.merges.get
+        at = [find(left << _ID | right, -1) for left, right in zip(symbols, symbols[1:], strict=False)]
+        queue = [found << _PLACE | i for i, found in enumerate(at) if found >= 0]
+        if not queue:
+            return symbols
+        at.append(-1)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            entry = pop(queue)
+            i = entry & ((1 << _PLACE) - 1)
+            if at[i] != entry >> _PLACE:
                 continue
-            symbols[i], symbols[j] = merged, -1
+            j = after[i]
             k = after[i] = after[j]
-            if k >= 0:
+            merged = symbols[i] = at[i] & ((1 << _ID) - 1)
+            symbols[j] = at[j] = -1
+            if k < n:
                 before[k] = i
-                if found := merges.get((merged, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, merged, symbols[k], found[1]))
+                found = at[i] = find(merged << _ID | symbols[k], -1)
+                if found >= 0:
+                    push(queue, found << _PLACE | i)
+            else:
+                at[i] = -1
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], merged))):
-                heapq.heappush(queue, (found[0], h, symbols[h], merged, found[1]))
+            if h >= 0:
+                found = at[h] = find(symbols[h] << _ID | merged, -1)
+                if found >= 0:
+                    push(queue, found << _PLACE | h)
         return [s for s in symbols if s >= 0]
 
-    def encode_stretch(self, stretch: str) -> tuple[str, str]:
-        """Ids of normalised text without white space, in decimal, and their strings; each joined by spaces."""
-        ids = [i for piece in self.cut.findall(stretch) for i in self.encode_piece(piece)]
+    def shown(self, ids: list[int]) -> tuple[str, str]:
+        """Ids in decimal, and their strings; each joined by spaces."""
         return " ".join(map(str, ids)), self.decode(ids)
 
+    def encode_stretch(self, stretch: str) -> tuple[str, str]:
+        """Ids of normalised text without white space, in decimal, and their strings; a space in front marks a special token."""
+        if stretch[0] == " ":
+            return str(self.special[stretch[1:]]), stretch[1:]
+        cut = self.cut_newer if not stretch.isascii() and _HAS_NEWER.search(stretch) else self.cut
+        pieces, one = cut.findall(stretch), self.pieces.one
+        if len(pieces) == 1:
+            return one(pieces[0])
+        found = [one(p) for p in pieces]
+        return (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings, joined by spaces as the file names no decoder."""
         return " ".join([self.strings[i] for i in ids])
@@ -104,21 +181,15 @@ class Codec:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case is taken one character at a time, without final forms
+            if _CAPITALS.search(text):
+                text = text.translate(_LOWERED)
         if _SEPARATORS.search(text):
             return [s.lower() for s in _SPACES.split(text) if s]
         return text.lower().split()
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids of a text in decimal, and its decoded text."""
-        stretches, known = self.stretches(text), self.known
-        try:
-            found = [known[s] for s in stretches]
-        except KeyError:
-            if len(known) > KNOWN:
-                known.clear()
-            for s in {*stretches}.difference(known):
-                known[s] = (str(self.special[s[1:]]), s[1:]) if s[0] == " " else self.encode_stretch(s)
-            found = [known[s] for s in stretches]
+        found = self.known.all(self.stretches(text))
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
 
