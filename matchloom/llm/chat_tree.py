@@ -96,7 +96,6 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _walked(nodes: DataFrame, paths: DataFrame, walk, schema: str) -> DataFrame:
     """Runs `walk` over all turns of whole conversations, in the order of turns."""
     rows = paths.join(nodes.drop("depth"), "node").repartition("place").sortWithinPartitions("place", "depth")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return rows.mapInArrow(walk, schema)
 
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space of the word rule; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of text handed to Python at a time.
-TEXT_ROWS = "2000"
+#: Rows handed to Python at a time while a step is written; each operator works in slices of bounded bytes, so any number is right.
+BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir; a folder of our own where that is unset."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir; only in local mode, where that is unset, a folder of our own."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or (context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else None)
-    return at or "/tmp/checkpoints"
+    if at is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or os.path.join(tempfile.gettempdir(), "matchloom-checkpoints")
+
+
+@contextmanager
+def batches_of(spark: SparkSession):
+    """The session hands Python so many rows at a time within; its own setting comes back after."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def checkpointed(df: DataFrame, what: str) -> DataFrame:
     """`df`, written to the shared folder and read back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,17 +65,21 @@ def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         for batch in batches:
             yield from task(batch)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return df.mapInArrow(run, schema)
 
 
-#: Rows that may be broadcast, once they have been counted.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast, once rows have been counted.
+BROADCAST_BYTES = 16_000_000
+
+
+def row_bytes(df: DataFrame) -> int:
+    """About what a row takes in a broadcast: 16, and for each column 8, or 64 where it has no fixed width."""
+    return 16 + sum(8 if isinstance(f.dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) else 64 for f in df.schema.fields)
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """`df`, marked for a broadcast if it has at most BROADCAST_ROWS rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """`df`, marked for a broadcast if its counted rows take at most BROADCAST_BYTES; else joins shuffle it."""
+    return F.broadcast(df) if df.count() * row_bytes(df) <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

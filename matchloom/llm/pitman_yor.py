@@ -105,7 +105,6 @@ def summed(df: DataFrame, keys, schema: str) -> DataFrame:
         if parts:
             yield batch(**dict(zip(names, add(parts), strict=True)))
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return df.mapInArrow(run, schema)
 
 
@@ -470,7 +469,6 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 )
             seen += rows.num_rows
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scored = docs.select("doc_id", "text").mapInArrow(scan, "_row long, doc_id long, n_tokens long, known long, score double, base double, rare array<struct<word: long, context: long>>")
     scored = checkpointed(scored, "lm-scan")
     rare = scored.select("_row", F.inline("rare")).join(scores.drop("uses"), ["word", "context"])

@@ -28,8 +28,8 @@ def brute(ids, scores, queries, top):
 
 
 def test_exact_search(vectors, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", 120)
-    monkeypatch.setattr(maxscore, "RUN_ROWS", 32)
+    monkeypatch.setattr(vector_blocks, "SHARD_ROWS", 120)
+    monkeypatch.setattr(vector_blocks, "QUERY_ROWS", 10)
     table = vectors.toPandas().sort_values("vec_id")
     ids, x = table.vec_id.tolist(), np.floor(64 * np.stack(table.embedding).astype(float))
     at = [k for k, i in enumerate(ids) if i % 20 == 0]
@@ -37,14 +37,31 @@ def test_exact_search(vectors, monkeypatch):
     assert got == brute(ids, (x[at] @ x.T).astype(int).tolist(), [ids[k] for k in at], 20)
 
 
-def test_maxscore_with_ties_and_sparse_rows():
+@pytest.mark.parametrize("dims, high", [(12, 3), (40, 200), (3, 10_000_000)])
+def test_maxscore_with_ties_and_sparse_rows(dims, high):
     rng = np.random.default_rng(0)
-    rows = Block(np.arange(500), rng.integers(-2, 3, (500, 12)) * (rng.random((500, 12)) < 0.3).astype(float))
+    rows = Block(np.arange(500), rng.integers(-2, high, (500, dims)) * (rng.random((500, dims)) < 0.3).astype(float))
     asked = Block(np.arange(0, 500, 50), rows.vectors[::50])
-    place, ids, scores = maxscore.maxscore(rows, asked, 7, run_rows=40).triples()
-    got = sorted((int(asked.ids[p]), -s, int(i)) for p, i, s in zip(place, ids, scores, strict=True))
     want = sorted((q, -s, i) for q, _, i, s in brute(rows.ids.tolist(), (asked.vectors @ rows.vectors.T).tolist(), asked.ids.tolist(), 7))
-    assert got == want
+    postings = maxscore.Postings(rows)
+    first = maxscore.maxscore(postings, asked, np.full(10, -np.inf), 7)
+    for found in (first, maxscore.maxscore(postings, asked, first.thresholds(), 7)):
+        place, ids, scores = found.triples()
+        assert sorted((int(asked.ids[p]), -s, int(i)) for p, i, s in zip(place, ids, scores, strict=True)) == want
+
+
+def unit_rows(n, dims=64, seed=3):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_maxscore_skips_postings_and_rows():
+    x = np.floor(64 * unit_rows(8000))
+    rows, counts = Block(np.arange(8000), x), {}
+    asked = Block(rows.ids[::200], x[::200])
+    floors = maxscore.maxscore(maxscore.Postings(Block(rows.ids[::4], x[::4])), asked, np.full(40, -np.inf), 20).thresholds()
+    maxscore.maxscore(maxscore.Postings(rows), asked, floors, 20, counts)
+    assert counts["traversed"] + counts["probed"] < 0.6 * counts["all"] and counts["scored"] < 0.05 * 40 * 8000
 
 
 def odd_vectors(spark):
@@ -81,12 +98,33 @@ def test_forest_recall_and_scores(spark, data):
     assert hits / len(got) >= 0.9
 
 
+def test_forest_recall_and_work_over_full_shards():
+    n, hits, found = 24_000, 0, []
+    x, ids, counts = unit_rows(n), np.arange(n), {}
+    asked = Block(ids[::200], x[::200])
+    for k in range(3):
+        forest = hash_forest.Forest(Block(ids[k::3], x[k::3]))
+        found.append(hash_forest.nearest_in(forest, asked, np.full(len(asked.ids), -np.inf), 5, counts=counts).triples())
+    place, near, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+    for k, q in enumerate(asked.ids):
+        cosine = x @ x[q]
+        cosine[q] = -2
+        own = near[place == k][np.argsort(-scores[place == k])[:5]]
+        hits += len({*own} & {*np.argsort(-cosine)[:5]})
+    assert hits >= 0.9 * 5 * len(asked.ids) and counts["scored"] < 0.4 * n * len(asked.ids)
+
+
 def test_forest_reaches_the_longest_prefixes_first():
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(4000, 16))
-    forest = hash_forest.Forest(x, trees=4)
-    reached = forest.candidates(x[:3], 20)
-    assert (reached.sum(1) >= 20).all() and reached[0, 0] and reached[1, 1] and reached.sum(1).max() < 4000
+    x = np.random.default_rng(2).normal(size=(4000, 16))
+    reached = hash_forest.Forest(Block(np.arange(4000), x), trees=4).reached(x[:3].astype(np.float32), 20)
+    assert all(k in rows and 20 <= len(rows) < 4000 for k, rows in enumerate(reached))
+
+
+def test_tiny_and_repeated_vectors_reach_all():
+    x = np.repeat(unit_rows(2, 8), 3, axis=0)
+    forest, asked = hash_forest.Forest(Block(np.arange(6), x)), Block(np.arange(6), x)
+    place, ids, _ = hash_forest.nearest_in(forest, asked, np.full(6, -np.inf), 5).triples()
+    assert [sorted(ids[place == k].tolist()) for k in range(6)] == [sorted({*range(6)} - {k}) for k in range(6)]
 
 
 def test_blocks_hold_every_row(spark, vectors):
