@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .vector_blocks import Best, Block, resized, searched, usable
 
-TREES = 160
+TREES = 208
 BITS = 32
-SHARE = 0.2
+SHARE = 0.25
 
 
 def planes(dims: int, tree: int) -> np.ndarray:
