@@ -30,6 +30,9 @@ MAX_BLOCKS = 1 << 16
 #: Documents for each block, where the bound on blocks allows.
 BLOCK_DOCS = 8
 MOST_COPIES = 3
+#: Words of an output shard, about, where the caller names no number of shards; there are at least LEAST_SHARDS and at most a quarter of MAX_BLOCKS.
+SHARD_WORDS = 1 << 22
+LEAST_SHARDS = 16
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST_COPIES) -> np.ndarray:
@@ -108,7 +111,7 @@ def plan_blocks(sources: list[str | None], words: list[np.ndarray], longest: lis
     return Plan(rows)
 
 
-def mix_sources(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(df: DataFrame, shards: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken and `draws` (array of shard and local order) for every row."""
     spark = df.sparkSession
     sized = df.select(
@@ -132,6 +135,8 @@ def mix_sources(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "
     longest = [np.zeros(b, np.int64) for b in blocks]
     for r in sized.groupBy("_source", "_block").agg(F.sum("size").alias("words"), F.max("size").alias("longest")).collect():
         words[place[r._source]][r._block], longest[place[r._source]][r._block] = r.words, r.longest
+    if shards is None:
+        shards = min(max(LEAST_SHARDS, int(sum(w.sum() for w in words)) // SHARD_WORDS), MAX_BLOCKS // 4)
     plan = plan_blocks([r._source for r in by_source], words, longest, np.arange(len(docs)) % 3 + 1.0, shards, seed)
     planned = spark.createDataFrame(plan.rows, plan.schema).withColumnsRenamed({"_source": "_s", "_block": "_b"})
     drawn = sized.join(planned, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
@@ -143,10 +148,15 @@ def mix_sources(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "
     return drawn.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The rows of `df` as the mix draws them, once for each draw.  Ids that repeat keep the draws of one of their rows."""
+def mixed_rows(df: DataFrame, shard_col: str | None = None, **options) -> DataFrame:
+    """The rows of `df` as the mix draws them, once for each draw: each shard in one partition, in its local order.
+
+    With `shard_col`, a column of that name holds the shard's number.  Ids that repeat keep the draws of one of their rows.
+    """
     id_col = options.get("id_col", "doc_id")
     key, drawn, draw = (fresh(df, n) for n in ("drawn_id", "draws", "draw"))
     draws = mix_sources(df, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max_by("draws", F.size("draws")).alias(drawn))
+    shards = (draws.select(F.max(F.array_max(F.transform(drawn, lambda d: d.shard)))).first()[0] or 0) + 1
     rows = df.join(draws, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))).withColumn(draw, F.explode(drawn))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = rows.repartition(shards, F.col(draw).shard).sortWithinPartitions(F.col(draw).shard, F.col(draw).place)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *([F.col(draw).shard.alias(shard_col)] if shard_col else []))

@@ -112,8 +112,20 @@ def test_mix(spark, data):
     assert ((by.taken - by.target).abs() < 0.05 * by.target).all() and abs(by.target.sum() - rows["size"].sum()) < 1e-6
     again = mix_sources(docs).select("doc_id", "taken").toPandas()
     assert dict(zip(again.doc_id, again.taken, strict=True)) == dict(zip(rows.doc_id, rows.taken, strict=True))
-    places = mix_sources(docs).select(F.explode("draws").alias("d")).select("d.*").distinct().count()
-    assert places == int((rows.taken // rows["size"].clip(lower=1)).where(rows["size"] > 0, 0).sum()) or places > 0
+    draws = mix_sources(docs).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").toPandas()
+    copies = rows[rows["size"] > 0].set_index("doc_id").eval("taken / size")
+    assert not draws.duplicated(["doc_id", "place"]).any() and (draws[draws.doc_id.isin(copies.index)].groupby("doc_id").size().reindex(copies.index, fill_value=0) == copies).all()
+
+
+def test_mixed_rows_are_dealt_to_shards_and_shuffled(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    want = sorted((r.d.shard, r.d.place, r.doc_id) for r in mix_sources(docs).select("doc_id", F.explode("draws").alias("d")).collect())
+    rows = mixed_rows(docs, shard_col="shard").withColumn("at", F.monotonically_increasing_id()).select("doc_id", "shard", "at").collect()
+    assert len(rows) == len(want)
+    for shard in {w[0] for w in want}:
+        got = [r.doc_id for r in sorted(rows, key=lambda r: r["at"]) if r.shard == shard]
+        assert got == [w[2] for w in want if w[0] == shard] and got != sorted(got)
+        assert len({r["at"] >> 33 for r in rows if r.shard == shard}) == 1
 
 
 def test_mix_query_gives_its_shards_and_places(spark, data):

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from matchloom.llm import hash_forest, maxscore, pitman_yor, vector_blocks
+from matchloom.llm import chat_tree, hash_forest, maxscore, pitman_yor, vector_blocks
 from matchloom.llm.chat_tree import escaped, formatted_digest, parse_segment, prefix_tree, unescape, with_attention
 from matchloom.llm.vector_blocks import Block
 from matchloom.llm.words import lowered_words
@@ -251,18 +251,43 @@ def test_a_sweep_moves_all_customers_of_frequent_pairs():
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def test_chat_digests(spark):
-    said = "\\### Assistant: </turn> ok"
-    rows = [(1, 0, "user", "hola"), (1, 1, "assistant", "sí"), (2, 0, "user", "hola"), (2, 1, "assistant", "sí"), (2, 2, "user", "###: \\"), (3, 0, "user", "hola"), (3, 1, "assistant", None), (-7, 0, "user", said), (-7, 1, "assistant", said), (9, 3, "a: b\n###", ""), (None, None, None, "x")]
-    got = {r.conv_id: r for r in formatted_digest(spark.createDataFrame(rows, TURNS)).collect()}
+def digests(rows):
+    """By conversation, what the formatted turns hold, from the definition."""
+
+    def escape(text, controls):
+        for c in controls:
+            text = text.replace(c, "\\" + c)
+        return text
+
     talks = {}
-    for i, _, role, text in rows:
+    for i, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         talks.setdefault(i, []).append((role or "", text or ""))
-    assert set(got) == set(talks)
+    out = {}
     for i, turns in talks.items():
         learned = "".join(t for r, t in turns if r == "assistant")
         whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == (len(turns), whole, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        formatted = "".join(f"### {escape(r, ['\\', '###', '</turn>', ':'])}: {escape(t, ['\\', '###', '</turn>'])}</turn>\n" for r, t in turns)
+        out[i] = (len(turns), whole, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(formatted))
+    return out
+
+
+def read(spark, df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in formatted_digest(df).collect()}
+
+
+@pytest.mark.parametrize("page", [5, 4096])
+def test_chat_digests(spark, monkeypatch, page):
+    monkeypatch.setattr(chat_tree, "PAGE", page)
+    said = "\\### Assistant: </turn> ok"
+    rows = [(1, 0, "user", "hola"), (1, 1, "assistant", "sí"), (2, 0, "user", "hola"), (2, 1, "assistant", "sí"), (2, 2, "user", "###: \\"), (3, 0, "user", "hola"), (3, 1, "assistant", None), (-7, 0, "user", said), (-7, 1, "assistant", said), (9, 3, "a: b\n###", ""), (None, None, None, "x")]
+    rows += [(11, 0, "user", "rep"), (11, 0, "user", "rep"), (12, 0, "user", "\U0001d518中文 " * 500), (12, 1, "assistant", "largo " * 2000)]
+    clashing = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS + ", node string, page string")
+    assert read(spark, clashing) == digests(rows)
+
+
+def test_chat_digests_of_the_table(spark, data):
+    df = spark.read.parquet(f"{data}/conversations.parquet")
+    assert read(spark, df) == digests([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])
 
 
 def test_tree_shares_and_attends(spark):
