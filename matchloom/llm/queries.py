@@ -68,5 +68,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pitman_yor, op2_jaccard_join, op3_quality, op4_token_counts, op5_chat_tree, op6_maxscore, op7_bpe_codec, op8_hash_forest, op9_substring_dedup, op10_source_mix)}
 
 
+_OP2 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS node, s FROM sets WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT node, len(s) AS size, unnest(s) AS shingle FROM classes),
+shared AS (SELECT a.node AS a, b.node AS b, any_value(a.size) AS m, any_value(b.size) AS n, count(*) AS common FROM members a JOIN members b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (m + n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node, node AS other FROM classes UNION SELECT r.node, l.b FROM reach r JOIN ways l ON r.other = l.a),
+least AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN least USING (node)"""
+
+_OP5 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+shown AS (
+  SELECT *, 4 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:')) + 2
+    + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 8 AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars FROM shown GROUP BY conv_id"""
+
+_OP6 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+_OP9 = r"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS place, w FROM words),
+keyed AS (SELECT doc_id, place, sha256(array_to_string(w[place:place + 19], ' ')) AS k FROM windows),
+later AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY k ORDER BY doc_id, place) AS copy FROM keyed) WHERE copy > 1),
+removed AS (SELECT DISTINCT doc_id, place + step AS place FROM later, range(20) AS r(step)),
+gone AS (SELECT doc_id, list(place) AS g FROM removed GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w) AS n, CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END AS k FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the tests hold the others against brute force, the libraries, or held-out rows."""
+    return {"op2_jaccard_join": _OP2, "op5_chat_tree": _OP5, "op6_maxscore": _OP6, "op9_substring_dedup": _OP9}
