@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import cosine
+from ..functions.features import cosine, dot
 
 DEFAULT_K = 5
 #: Items that a dense search may broadcast; more are searched by shuffled blocks.
@@ -24,15 +24,17 @@ def top_k_dense(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> DataF
     Null vectors take no part, and a line without candidates has no row.  The items are broadcast up to
     BROADCAST_ITEMS; beyond that lines are dealt to every block of items, so that no task holds all of them.
     """
-    lines, items = (df.where(F.col(v).isNotNull()) for df, v in ((lines, "line_vector"), (items, "item_vector")))
+    # Each vector's length is taken once, not for every pair.
+    lines, items = (df.where(F.col(v).isNotNull()).withColumn(n, F.sqrt(dot(F.col(v), F.col(v)))) for df, v, n in ((lines, "line_vector", "_length"), (items, "item_vector", "_size")))
     count = items.count()
     if count <= BROADCAST_ITEMS:
-        pairs = lines.crossJoin(F.broadcast(items))
+        pairs = lines.crossJoin(F.broadcast(items))  # of a counted size
     else:
         blocks = -(-count // BROADCAST_ITEMS)
         dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_no"), F.lit(blocks)))
         pairs = lines.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block")
-    scored = pairs.select("line_no", "item_no", cosine(F.col("line_vector"), F.col("item_vector")).alias("score"))
+    lengths = F.col("_length") * F.col("_size")
+    scored = pairs.select("line_no", "item_no", F.when(lengths > 0, dot(F.col("line_vector"), F.col("item_vector")) / lengths).otherwise(0.0).alias("score"))
     return ranked(scored, "line_no", "item_no", k)
 
 
@@ -46,8 +48,9 @@ def top_k_sparse(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> Data
     positive = shared.where("score > 0").groupBy("line_no").agg(F.count("*").alias("n"))
     short = lines.select("line_no").distinct().join(positive, "line_no", "left").where(F.coalesce("n", F.lit(0)) < k).select("line_no")
     met = shared.join(short, "line_no", "left_semi").groupBy("line_no").agg(F.count("*").alias("met"))
-    # A line that met m items misses at most m of the first m + k item numbers.
-    numbered = items.select("item_no").distinct().withColumn("_n", F.row_number().over(Window.orderBy("item_no")))
+    # A line that met m items misses at most m of the first m + k item numbers: no more than those are numbered.
+    most = met.agg(F.max("met")).first()[0] or 0
+    numbered = items.select("item_no").distinct().orderBy("item_no").limit(most + k).withColumn("_n", F.row_number().over(Window.orderBy("item_no")))
     pads = short.join(met, "line_no", "left").withColumn("_n", F.explode(F.sequence(F.lit(1), F.coalesce("met", F.lit(0)).cast("int") + k))).join(numbered, "_n")
     pads = pads.select("line_no", "item_no").join(shared, ["line_no", "item_no"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(shared.unionByName(pads), "line_no", "item_no", k)

@@ -1,7 +1,7 @@
 """Queries over the driver's tables, and SQL that gives the same rows.
 
-The tables stand in for the model's: `embeddings` for vectors of offer lines (vec_id below 50) and items, `part` for
-requested items, `lineitem` of one supplier for offer lines, texts built from rows for what documents say.
+The tables stand in for the model's: `embeddings` for vectors of offer lines (the rows whose vec_id is a multiple of 20) and of
+items (all others), `part` for requested items, `lineitem` for offer lines, texts built from rows for what documents say.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..operators.cascade import alias_matches, reconcile
 from ..operators.models import ModelDecider, embeddings_with_cache, stand_in_match
 from ..schemas import EMBEDDINGS
 from ..sources import offers
+from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,18 +39,20 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # --- similarity -------------------------------------------------------------------------------
 
-LINES_BELOW = 50
+#: Rows of `embeddings` with such multiples as ids are the lines; all others are the items.
+LINE_EVERY = 20
 
 
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     e = t(spark, d, "embeddings")
-    own = e.where(F.col("vec_id") < LINES_BELOW).select(F.col("vec_id").alias("line_no"), F.col("embedding").alias("line_vector"))
-    return own, e.where(F.col("vec_id") >= LINES_BELOW).select(F.col("vec_id").alias("item_no"), F.col("embedding").alias("item_vector"))
+    asks = F.col("vec_id") % LINE_EVERY == 0
+    own = e.where(asks).select(F.col("vec_id").alias("line_no"), F.col("embedding").alias("line_vector"))
+    return own, e.where(~asks).select(F.col("vec_id").alias("item_no"), F.col("embedding").alias("item_vector"))
 
 
 _PAIRS = """pairs AS (SELECT q.vec_id AS line_no, i.vec_id AS item_no, q.label AS line_label, i.label AS item_label,
     list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score
-  FROM embeddings q CROSS JOIN embeddings i WHERE q.vec_id < 50 AND i.vec_id >= 50),
+  FROM embeddings q CROSS JOIN embeddings i WHERE q.vec_id % 20 = 0 AND i.vec_id % 20 <> 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY score DESC, item_no) AS rank FROM pairs)"""
 
 
@@ -59,12 +62,12 @@ def topk_cosine(spark, d):
 
 
 @query("""SELECT i.vec_id AS item_no, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 4) AS score
-  FROM embeddings q, embeddings i WHERE q.vec_id = 7 AND i.vec_id >= 50 ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, item_no LIMIT 5""")
+  FROM embeddings q, embeddings i WHERE q.vec_id = 7 AND i.vec_id <> 7 ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, item_no LIMIT 5""")
 def topk_single(spark, d):
-    line, items = _vectors(spark, d)
-    vector = line.where("line_no = 7").select("line_vector")
-    found = items.crossJoin(F.broadcast(vector)).select("item_no", features.cosine(F.col("line_vector"), F.col("item_vector")).alias("score"))
-    return found.orderBy(F.desc("score"), "item_no").limit(5).select("item_no", F.round("score", 4).alias("score"))
+    e = t(spark, d, "embeddings")
+    vector = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 7").first().embedding])
+    items = e.where("vec_id <> 7").select(F.col("vec_id").alias("item_no"), F.col("embedding").alias("item_vector"))
+    return similarity.top_k_for(items, vector).select("item_no", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH {_PAIRS}, best AS (SELECT line_no, min(CASE WHEN item_label = line_label THEN rank END) AS place FROM ranked WHERE rank <= 5 GROUP BY line_no)
@@ -83,14 +86,14 @@ def recall_at_k(spark, d):
 _FLAGS = """(CASE WHEN {0} % 11 = 3 THEN ['extra_suggested'] WHEN {0} % 7 = 2 THEN ['technical_equivalent'] WHEN {0} % 5 = 1 THEN ['alternative_line'] ELSE []::VARCHAR[] END)"""
 
 
-def _flags(n):
-    none = F.array().cast("array<string>")
+def _flags(line_no):
+    n, none = F.expr(f"{line_no} div {LINE_EVERY}"), F.array().cast("array<string>")
     return F.when(n % 11 == 3, F.array(F.lit("extra_suggested"))).when(n % 7 == 2, F.array(F.lit("technical_equivalent"))).when(n % 5 == 1, F.array(F.lit("alternative_line"))).otherwise(none)
 
 
 _BEST = f"""{_PAIRS}, best AS (SELECT line_no, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, max(CASE WHEN rank = 1 THEN item_no END) AS top
-  FROM ranked WHERE rank <= 5 GROUP BY line_no), lexical AS (SELECT line_no, top, s1, {_FLAGS.format("line_no")} AS flags,
-  CASE WHEN list_contains({_FLAGS.format("line_no")}, 'extra_suggested') AND s1 < 0.6 THEN 'extra' WHEN s1 < 0.25 THEN 'extra' ELSE 'match' END AS kind,
+  FROM ranked WHERE rank <= 5 GROUP BY line_no), lexical AS (SELECT line_no, top, s1, {_FLAGS.format("(line_no // 20)")} AS flags,
+  CASE WHEN list_contains({_FLAGS.format("(line_no // 20)")}, 'extra_suggested') AND s1 < 0.6 THEN 'extra' WHEN s1 < 0.25 THEN 'extra' ELSE 'match' END AS kind,
   round(least(0.95::DOUBLE, s1 + least(CASE WHEN s2 IS NULL THEN s1 ELSE s1 - s2 END, 0.15::DOUBLE)), 2) AS confidence FROM best)"""
 
 
@@ -98,24 +101,25 @@ _BEST = f"""{_PAIRS}, best AS (SELECT line_no, max(CASE WHEN rank = 1 THEN score
 def lexical_decide(spark, d):
     ranked = similarity.top_k_dense(*_vectors(spark, d))
     best = ranked.groupBy("line_no").agg(*[F.max(F.when(F.col("rank") == k, F.col(c))).alias(n) for k, c, n in ((1, "score", "s1"), (2, "score", "s2"), (1, "item_no", "top"))])
-    kind = rules.lexical_kind(F.col("s1"), _flags(F.col("line_no")))
+    kind = rules.lexical_kind(F.col("s1"), _flags("line_no"))
     match = kind == "match"
     return best.select("line_no", kind.alias("kind"), F.when(match, F.col("top")).alias("item_no"), F.when(match, rules.lexical_confidence(F.col("s1"), F.col("s2"))).alias("confidence"))
 
 
 # --- conflicts, status, joins ------------------------------------------------------------------
 
-_ONE_SUPPLIER = """claims AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS line_no,
-    l_partkey AS item_no, round(0.5 + l_discount * 4, 2) AS confidence, l_quantity % 2 = 0 AS is_alternative FROM lineitem WHERE l_suppkey = 1)"""
+_CLAIMS = """claims AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS line_no,
+    l_partkey AS item_no, round(0.5 + l_discount * 4, 2) AS confidence, l_quantity % 2 = 0 AS is_alternative FROM lineitem)"""
 
 
 def _claims(spark, d) -> DataFrame:
-    own = t(spark, d, "lineitem").where("l_suppkey = 1")
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    return own.select(F.row_number().over(order).cast("long").alias("line_no"), F.col("l_partkey").alias("item_no"), F.round(0.5 + F.col("l_discount") * 4, 2).alias("confidence"), (F.col("l_quantity") % 2 == 0).alias("is_alternative"))
+    own = t(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    line = (F.col("l_orderkey") * 1000 + F.row_number().over(order)).cast("long")
+    return own.select(line.alias("line_no"), F.col("l_partkey").alias("item_no"), F.round(0.5 + F.col("l_discount") * 4, 2).alias("confidence"), (F.col("l_quantity") % 2 == 0).alias("is_alternative"))
 
 
-@query(f"""WITH {_ONE_SUPPLIER}, placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY item_no) AS n, first_value(confidence) OVER w AS best, first_value(line_no) OVER w AS winner
+@query(f"""WITH {_CLAIMS}, placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY item_no) AS n, first_value(confidence) OVER w AS best, first_value(line_no) OVER w AS winner
     FROM claims WINDOW w AS (PARTITION BY item_no ORDER BY confidence DESC, line_no))
   SELECT line_no, item_no, CASE WHEN n > 1 THEN CASE WHEN place = 1 THEN 'winner' ELSE 'loser' END END AS conflict_role,
     CASE WHEN n > 1 AND place > 1 THEN CASE WHEN is_alternative AND best - confidence <= 0.15::DOUBLE THEN 'alternative' ELSE 'ambiguous' END END AS conflict_status,
@@ -124,7 +128,7 @@ def conflict_resolve(spark, d):
     return rules.resolve_conflicts(_claims(spark, d)).select("line_no", "item_no", "conflict_role", "conflict_status", "winner_line")
 
 
-@query(f"""WITH {_ONE_SUPPLIER} SELECT item_no, count(*) AS claimants, string_agg('#' || line_no, ', ' ORDER BY confidence DESC, line_no) AS claims FROM claims GROUP BY item_no HAVING count(*) > 1""")
+@query(f"""WITH {_CLAIMS} SELECT item_no, count(*) AS claimants, string_agg('#' || line_no, ', ' ORDER BY confidence DESC, line_no) AS claims FROM claims GROUP BY item_no HAVING count(*) > 1""")
 def claimant_lists(spark, d):
     listed = _claims(spark, d).groupBy("item_no").agg(F.count("*").alias("claimants"), F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "line_no"))).alias("l"))
     return listed.where("claimants > 1").select("item_no", "claimants", F.array_join(F.transform("l", lambda x: F.concat(F.lit("#"), x["line_no"].cast("string"))), ", ").alias("claims"))
@@ -148,36 +152,37 @@ def status_rules(spark, d):
     )
 
 
-@query("SELECT p_partkey AS item_no, p_name AS description FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = 1)")
+@query("SELECT p_partkey AS item_no, p_name AS description FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50)")
 def missing_sweep(spark, d):
-    claimed = t(spark, d, "lineitem").where("l_suppkey = 1").select(F.col("l_partkey").alias("item_no"))
+    claimed = t(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("item_no"))
     return t(spark, d, "part").select(F.col("p_partkey").alias("item_no"), F.col("p_name").alias("description")).join(claimed, "item_no", "left_anti")
 
 
-@query("""SELECT l_orderkey AS line_no, min(p_partkey) AS item_no FROM lineitem JOIN part ON ('S' || l_suppkey || '-' || (l_partkey % 50)) = ('S1-' || (p_partkey % 50)) WHERE l_suppkey = 1 AND p_partkey % 3 = 0 GROUP BY ALL""")
+@query("""SELECT l_orderkey AS line_no, min(p_partkey) AS item_no FROM lineitem JOIN part ON l_suppkey = p_partkey % 10 + 1 AND l_partkey = p_partkey GROUP BY ALL""")
 def alias_join(spark, d):
-    offer = t(spark, d, "lineitem").where("l_suppkey = 1").select(F.col("l_orderkey").alias("line_no"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-"), (F.col("l_partkey") % 50).cast("string")).alias("supplier_code"))
-    aliases = t(spark, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("S1-"), (F.col("p_partkey") % 50).cast("string")).alias("supplier_code"), F.col("p_partkey").alias("item_no"))
+    code = lambda supplier, part: F.concat(F.lit("S"), supplier.cast("string"), F.lit("-"), F.col(part).cast("string"))
+    offer = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("line_no"), code(F.col("l_suppkey"), "l_partkey").alias("supplier_code"))
+    aliases = t(spark, d, "part").select(code(F.col("p_partkey") % 10 + 1, "p_partkey").alias("supplier_code"), F.col("p_partkey").alias("item_no"))
     return alias_matches(offer, aliases).groupBy("line_no").agg(F.min("item_no").alias("item_no"))
 
 
 def _cascade(spark, d, decider=None) -> tuple[DataFrame, DataFrame]:
     """(cascade rows, requisition) over embeddings: quantities, prices, flags and aliases follow from ids."""
     own, items = _vectors(spark, d)
-    n = F.col("line_no")
+    n, m = F.col("line_no"), F.expr(f"line_no div {LINE_EVERY}")
     offer = own.select(
-        "line_no", F.when(n % 10 == 0, F.concat(F.lit("C"), n.cast("string"))).alias("supplier_code"), F.concat(F.lit("line "), n.cast("string")).alias("description"),
-        (n % 4 + 1).cast("decimal(14,3)").alias("quantity"), F.when(n % 9 != 4, (n * 3 + 1) / 4).cast("decimal(14,4)").alias("unit_price"), _flags(n).alias("flags"),
+        "line_no", F.when(m % 2 == 0, F.concat(F.lit("C"), n.cast("string"))).alias("supplier_code"), F.concat(F.lit("line "), n.cast("string")).alias("description"),
+        (m % 4 + 1).cast("decimal(14,3)").alias("quantity"), F.when(m % 9 != 4, (m * 3 + 1) / 4).cast("decimal(14,4)").alias("unit_price"), _flags("line_no").alias("flags"),
     )
     requisition = items.select("item_no", F.concat(F.lit("item "), F.col("item_no").cast("string")).alias("description"), (F.col("item_no") % 4 + 1).cast("decimal(14,3)").alias("quantity"))
     ranked = similarity.top_k_dense(own, items).select("line_no", "rank", "item_no", F.concat(F.lit("item "), F.col("item_no").cast("string")).alias("description"), "score")
-    aliases = own.where("line_no % 20 = 0").select(F.concat(F.lit("C"), n.cast("string")).alias("supplier_code"), (n + 60).alias("item_no"))
+    aliases = own.where(m % 4 == 0).select(F.concat(F.lit("C"), n.cast("string")).alias("supplier_code"), (n + 1).alias("item_no"))
     return reconcile(offer, requisition, ranked, aliases, decider), requisition
 
 
-_FLAGSHIP = f"""{_BEST}, decided AS (SELECT line_no, flags, s1, CASE WHEN line_no % 20 = 0 THEN line_no + 60 WHEN kind = 'match' THEN top END AS item_no,
-    CASE WHEN line_no % 20 = 0 THEN 1.0::DOUBLE WHEN kind = 'match' THEN confidence END AS confidence, CASE WHEN line_no % 20 = 0 THEN 'alias' WHEN kind = 'match' THEN 'lexical' ELSE 'unmatched' END AS decided_by,
-    (line_no % 4 + 1) AS quantity, CASE WHEN line_no % 9 <> 4 THEN ((line_no * 3 + 1) / 4)::DECIMAL(14, 4) END AS unit_price FROM lexical),
+_FLAGSHIP = f"""{_BEST}, decided AS (SELECT line_no, flags, s1, CASE WHEN line_no % 80 = 0 THEN line_no + 1 WHEN kind = 'match' THEN top END AS item_no,
+    CASE WHEN line_no % 80 = 0 THEN 1.0::DOUBLE WHEN kind = 'match' THEN confidence END AS confidence, CASE WHEN line_no % 80 = 0 THEN 'alias' WHEN kind = 'match' THEN 'lexical' ELSE 'unmatched' END AS decided_by,
+    (line_no // 20 % 4 + 1) AS quantity, CASE WHEN line_no // 20 % 9 <> 4 THEN ((line_no // 20 * 3 + 1) / 4)::DECIMAL(14, 4) END AS unit_price FROM lexical),
   claims AS (SELECT d.*, (item_no % 4 + 1) AS requested, row_number() OVER w AS place, count(*) OVER (PARTITION BY item_no) AS n, first_value(confidence) OVER w AS best FROM decided d WHERE item_no IS NOT NULL
     WINDOW w AS (PARTITION BY item_no ORDER BY confidence DESC, line_no)),
   settled AS (SELECT line_no, item_no, confidence, (quantity - requested)::DECIMAL(14, 3) AS quantity_delta, (unit_price * quantity)::DECIMAL(16, 4) AS price_total, decided_by, n, place, CASE
@@ -185,7 +190,7 @@ _FLAGSHIP = f"""{_BEST}, decided AS (SELECT line_no, flags, s1, CASE WHEN line_n
     WHEN confidence < 0.6::DOUBLE THEN 'ambiguous' WHEN quantity <> requested THEN 'partial_quantity' WHEN list_contains(flags, 'technical_equivalent') THEN 'semantic_match' ELSE 'match' END AS status FROM claims),
   cascade AS (SELECT line_no, item_no, status, confidence, quantity_delta, price_total, status IN ('semantic_match', 'alternative', 'ambiguous', 'missing_from_offer') OR confidence < 0.6::DOUBLE OR n > 1 AS needs_review, decided_by FROM settled
     UNION ALL SELECT line_no, NULL, 'extra', greatest(0, 1 - round(s1, 4)), NULL, (unit_price * quantity)::DECIMAL(16, 4), false, 'unmatched' FROM decided WHERE item_no IS NULL
-    UNION ALL SELECT NULL, vec_id, 'missing_from_offer', 1.0, NULL, NULL, true, 'unmatched' FROM embeddings WHERE vec_id >= 50 AND vec_id NOT IN (SELECT item_no FROM settled WHERE place = 1))"""
+    UNION ALL SELECT NULL, vec_id, 'missing_from_offer', 1.0, NULL, NULL, true, 'unmatched' FROM embeddings WHERE vec_id % 20 <> 0 AND vec_id NOT IN (SELECT item_no FROM settled WHERE place = 1))"""
 
 
 @query(f"WITH {_FLAGSHIP} SELECT line_no, item_no, status, round(confidence, 4) AS confidence, quantity_delta::DOUBLE AS quantity_delta, price_total::DOUBLE AS price_total, needs_review, decided_by FROM cascade")
@@ -195,11 +200,11 @@ def cascade_flagship(spark, d):
 
 
 @query(f"""WITH {_FLAGSHIP}, by_item AS (SELECT item_no, bool_or(line_no IS NOT NULL AND status IN ('match', 'partial_quantity', 'semantic_match')) AS c, bool_or(status = 'ambiguous') AS a FROM cascade WHERE item_no IS NOT NULL GROUP BY item_no)
-  SELECT count(line_no) AS offer_lines, (SELECT count(*) FROM embeddings WHERE vec_id >= 50) AS requisition_items, (SELECT count(*) FROM by_item WHERE c) AS covered, (SELECT count(*) FROM by_item WHERE a AND NOT c) AS ambiguous_items,
+  SELECT count(line_no) AS offer_lines, (SELECT count(*) FROM embeddings WHERE vec_id % 20 <> 0) AS requisition_items, (SELECT count(*) FROM by_item WHERE c) AS covered, (SELECT count(*) FROM by_item WHERE a AND NOT c) AS ambiguous_items,
     count(*) FILTER (status = 'match') AS n_match, count(*) FILTER (status = 'extra') AS n_extra, count(*) FILTER (status = 'missing_from_offer') AS n_missing, count(*) FILTER (needs_review) AS needs_review,
     sum(coalesce(price_total, 0))::DOUBLE AS quoted_total, sum(CASE WHEN item_no IS NOT NULL AND status <> 'alternative' THEN coalesce(price_total, 0) ELSE 0 END)::DOUBLE AS comparable_total,
     sum(CASE WHEN status = 'extra' THEN coalesce(price_total, 0) ELSE 0 END)::DOUBLE AS extras_total, count(*) FILTER (quantity_delta < 0) AS shortfall_lines, count(*) FILTER (quantity_delta > 0) AS overage_lines,
-    round((SELECT count(*) FROM by_item WHERE c) / (SELECT count(*) FROM embeddings WHERE vec_id >= 50) * 100, 1) AS coverage_pct FROM cascade""")
+    round((SELECT count(*) FROM by_item WHERE c) / (SELECT count(*) FROM embeddings WHERE vec_id % 20 <> 0) * 100, 1) AS coverage_pct FROM cascade""")
 def summary_agg(spark, d):
     rows, requisition = _cascade(spark, d)
     s = summary.summarize(rows, requisition)
@@ -213,11 +218,12 @@ def cascade_status_counts(spark, d):
 
 
 @query(f"""WITH {_FLAGSHIP} SELECT count(*) AS rows, count(*) FILTER (item_no IS NOT DISTINCT FROM guide_item) AS item_ok, count(*) FILTER (item_no IS NOT DISTINCT FROM guide_item AND status = label) AS status_ok
-  FROM (SELECT c.line_no, c.item_no, c.status, r.item_no AS guide_item, CASE WHEN r.line_no % 6 = 5 THEN 'needs_review' WHEN r.line_no % 2 = 0 THEN 'match' ELSE 'partial_quantity' END AS label FROM cascade c JOIN ranked r ON c.line_no = r.line_no AND r.rank = 1)""")
+  FROM (SELECT c.line_no, c.item_no, c.status, r.item_no AS guide_item, CASE WHEN r.line_no // 20 % 6 = 5 THEN 'needs_review' WHEN r.line_no // 20 % 2 = 0 THEN 'match' ELSE 'partial_quantity' END AS label FROM cascade c JOIN ranked r ON c.line_no = r.line_no AND r.rank = 1)""")
 def guide_accuracy(spark, d):
     rows, _ = _cascade(spark, d)
     ranked = similarity.top_k_dense(*_vectors(spark, d), k=1)
-    label = F.when(F.col("line_no") % 6 == 5, "needs_review").when(F.col("line_no") % 2 == 0, "match").otherwise("partial_quantity")
+    m = F.expr(f"line_no div {LINE_EVERY}")
+    label = F.when(m % 6 == 5, "needs_review").when(m % 2 == 0, "match").otherwise("partial_quantity")
     return summary.accuracy(rows, ranked.select("line_no", "item_no", label.alias("label"))).select("rows", "item_ok", "status_ok")
 
 
@@ -273,26 +279,50 @@ def cross_check(spark, d):
     return lines.cross_check(read, reference).select("line_no", "code", "field")
 
 
-@query("""SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, 'Q' || s_suppkey AS quote_code, n_name AS provider_name, r_name AS requisition_title FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON l_partkey % 5 = r_regionkey""")
 def report_head(spark, d):
-    joined = t(spark, d, "supplier").join(F.broadcast(t(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select("s_suppkey", "s_name", "n_name", "r_name")
+    done = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("offer_id"), (F.col("l_partkey") % 5).alias("requisition_id"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("quote_date", "terms", "source_format", "source_filename")]
+    offered = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("provider_id"), F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("quote_code"), *none)
+    providers = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    requisitions = t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("code"), F.col("r_name").alias("title"))
+    return report.report_head(done, offered, providers, requisitions).select("l_orderkey", "l_linenumber", "l_partkey", "quote_code", "provider_name", "requisition_title")
+
+
+_REPORTED = """reported AS (SELECT o_orderkey AS line_no, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS item_no, CASE o_orderstatus WHEN 'O' THEN 'ambiguous' WHEN 'P' THEN 'partial_quantity' ELSE 'match' END AS status, (o_orderkey % 97)::DOUBLE AS confidence,
+    o_orderpriority AS offered_description, c_name AS requested_description, CASE WHEN o_orderkey % 3 = 0 THEN 'caja' ELSE 'unit' END AS offered_unit, CASE WHEN c_custkey IS NOT NULL THEN c_mktsegment END AS requested_unit, o_totalprice AS unit_price
+  FROM orders LEFT JOIN customer ON CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END = c_custkey)"""
+_SHOWN = ["line_no", "item_no", "status", "confidence", "offered_description", "requested_description", "offered_unit", "requested_unit", "unit_price"]
+
+
+def _reported(spark, d) -> DataFrame:
+    orders, n = t(spark, d, "orders"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "ambiguous").when(F.col("o_orderstatus") == "P", "partial_quantity").otherwise("match")
+    rows = orders.select(n.alias("line_no"), F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("item_no"), status.alias("status"), (n % 97).cast("double").alias("confidence"))
+    offer = orders.select(
+        n.alias("line_no"), F.col("o_orderpriority").alias("description"), F.lit(1.0).alias("quantity"), F.lit("x").alias("supplier_code"), F.col("o_totalprice").alias("unit_price"),
+        F.when(n % 3 == 0, "caja").alias("raw_unit"), F.lit("unit").alias("unit_of_measure"),
+    )
+    requisition = t(spark, d, "customer").select(F.col("c_custkey").alias("item_no"), F.col("c_name").alias("description"), F.lit(1.0).alias("quantity"), F.lit(None).cast("string").alias("raw_unit"), F.col("c_mktsegment").alias("unit_of_measure"))
+    return report.report_lines(rows, offer, requisition).select(_SHOWN)
 
 
-@query("""SELECT o_orderkey, c_name, coalesce(c_mktsegment, o_orderpriority) AS segment, (CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END)::INT AS priority FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
-  ORDER BY priority, o_totalprice, coalesce(o_orderkey, 0) LIMIT 500""")
+@query(f"WITH {_REPORTED} SELECT {', '.join(_SHOWN)} FROM reported")
 def report_lines(spark, d):
-    rich = t(spark, d, "customer").where("c_acctbal > 0")
-    rows = t(spark, d, "orders").join(rich, F.col("o_custkey") == F.col("c_custkey"), "left")
-    priority = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return rows.orderBy(priority, "o_totalprice", F.coalesce("o_orderkey", F.lit(0))).limit(500).select("o_orderkey", "c_name", F.coalesce("c_mktsegment", "o_orderpriority").alias("segment"), priority.alias("priority"))
+    return _reported(spark, d)
+
+
+@query(f"""WITH {_REPORTED} SELECT {', '.join(_SHOWN)} FROM reported ORDER BY CASE status WHEN 'ambiguous' THEN 0 WHEN 'partial_quantity' THEN 4 ELSE 6 END, confidence, coalesce(item_no, line_no, 0), coalesce(line_no, 0) LIMIT 40""")
+def report_details(spark, d):
+    """The first lines of a report, as many as its list of details shows."""
+    return _reported(spark, d).limit(report.SHOWN_DETAILS)
 
 
-@query("SELECT DISTINCT n_regionkey AS k, 'common' AS side FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) UNION ALL SELECT DISTINCT c_nationkey, 'customers only' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20) UNION ALL SELECT n_nationkey, 'all' FROM nation UNION ALL SELECT r_regionkey, 'all' FROM region")
+@query("SELECT DISTINCT n_regionkey AS k, 'common' AS side FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) UNION ALL SELECT DISTINCT c_nationkey, 'customers only' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT n_nationkey, 'all' FROM nation UNION ALL SELECT r_regionkey, 'all' FROM region")
 def set_ops(spark, d):
     nations, regions = t(spark, d, "nation"), t(spark, d, "region").select(F.col("r_regionkey").alias("k"))
     common = nations.select(F.col("n_regionkey").alias("k")).intersect(regions)
-    only = t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(spark, d, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    only = t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey"))
     both = nations.select(F.col("n_nationkey").alias("k")).unionByName(regions)
     return common.withColumn("side", F.lit("common")).unionByName(only.withColumn("side", F.lit("customers only"))).unionByName(both.withColumn("side", F.lit("all")))
 
@@ -421,8 +451,8 @@ def lexical_embedding(spark, d):
 @query()
 def lexical_topk(spark, d):
     part = t(spark, d, "part")
-    own = features.sparse_embedding(part.where("p_partkey <= 50"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "line_no")
-    items = features.sparse_embedding(part.where("p_partkey > 50"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "item_no")
+    own = features.sparse_embedding(part.where("p_partkey % 20 = 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "line_no")
+    items = features.sparse_embedding(part.where("p_partkey % 20 <> 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "item_no")
     return similarity.top_k_sparse(own, items).select("line_no", "rank", "item_no", F.round("score", 6).alias("score"))
 
 
@@ -434,21 +464,21 @@ def embedding_cache(spark, d):
 
 
 def _rows_as_text(spark, d) -> DataFrame:
-    """Text lines of offers, one page of 40 lines for each stretch of parts, with headings and page numbers."""
+    """Text lines of offers, one page of 40 lines for each stretch of parts, with headings and page numbers; line numbers have four digits at most."""
     part = t(spark, d, "part")
-    row = F.concat(F.col("p_partkey").cast("string"), F.lit(" ABC-"), F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), F.lit(" "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" metro "), text.es_number(F.round("p_retailprice", 2), 2))
+    row = F.concat((F.col("p_partkey") % 10000).cast("string"), F.lit(" ABC-"), F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), F.lit(" "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" metro "), text.es_number(F.round("p_retailprice", 2), 2))
     row = F.when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("nota "), row)).otherwise(row)
-    return part.where("p_partkey < 9000").select("p_partkey", row.alias("line"))
+    return part.select("p_partkey", row.alias("line"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey END AS line_no, CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS description, CASE WHEN p_partkey % 13 <> 0 THEN p_size::DOUBLE END AS quantity,
-  CASE WHEN p_partkey % 13 <> 0 THEN 'meter' END AS unit, CASE WHEN p_partkey % 13 <> 0 THEN round(p_retailprice, 2) END AS price FROM part WHERE p_partkey < 9000""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 10000 END AS line_no, CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS description, CASE WHEN p_partkey % 13 <> 0 THEN p_size::DOUBLE END AS quantity,
+  CASE WHEN p_partkey % 13 <> 0 THEN 'meter' END AS unit, CASE WHEN p_partkey % 13 <> 0 THEN round(p_retailprice, 2) END AS price FROM part""")
 def pdf_row_parse(spark, d):
     part = lambda k: F.nullif(F.regexp_extract("line", offers.ROW, k), F.lit(""))
     return _rows_as_text(spark, d).select("p_partkey", part(1).cast("long").alias("line_no"), part(3).alias("description"), text.parse_arg_number(part(4)).alias("quantity"), text.normalize_unit(part(5)).alias("unit"), text.parse_arg_number(part(6)).alias("price"))
 
 
-@query("""SELECT page, count(*) AS body FROM (SELECT p_partkey // 40 + 1 AS page FROM part WHERE p_partkey < 9000) GROUP BY page""")
+@query("""SELECT page, count(*) AS body FROM (SELECT p_partkey // 40 + 1 AS page FROM part) GROUP BY page""")
 def header_detect(spark, d):
     head = F.lit("Linea Codigo proveedor Descripción ofertada Cantidad Unidad Precio unit.")
     page = F.floor(F.col("p_partkey") / 40) + 1
@@ -490,10 +520,10 @@ def es_format(spark, d):
     return t(spark, d, "orders").select("o_orderkey", text.money(price).alias("money"), text.pct(F.round((F.col("o_orderkey") % 1000) / 10.0, 1)).alias("pct"), text.delta(F.col("o_custkey") % 7 - 3).alias("delta"))
 
 
-@query(r"""SELECT page_id, replace(replace(url, '|', '\|'), chr(10), ' ') AS md, replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS esc, lower(regexp_replace(url, '[^a-zA-Z0-9_.-]', '_', 'g')) AS slug FROM pages""")
+@query(r"""SELECT page_id, replace(replace(url, '|', '\|'), chr(10), ' ') AS md, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS esc, lower(regexp_replace(url, '[^a-zA-Z0-9_.-]', '_', 'g')) AS slug FROM pages""")
 def escapes(spark, d):
     name = F.lower(F.regexp_replace("url", "[^a-zA-Z0-9_.-]", "_"))
-    return t(spark, d, "pages").select("page_id", text.markdown_escaped(F.col("url")).alias("md"), text.html_escaped(F.substring("html", 1, 500)).alias("esc"), name.alias("slug"))
+    return t(spark, d, "pages").select("page_id", text.markdown_escaped(F.col("url")).alias("md"), text.html_escaped(F.col("html")).alias("esc"), name.alias("slug"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Coincidencia' WHEN 'F' THEN 'Sobrante' END AS label FROM orders""")

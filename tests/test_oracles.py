@@ -65,6 +65,6 @@ def test_lexical_top_k_against_plain_python(spark, data):
     part = spark.read.parquet(f"{data}/part.parquet").collect()
     vectors = {r.p_partkey: vector(f"{r.p_name} {r.p_brand}") for r in part}
     got = {(r.line_no, r["rank"]): r.score for r in catalog.QUERIES["lexical_topk"](spark, data).collect()}
-    for line in [k for k in vectors if k <= 50][:10]:
-        scores = sorted((sum(w * vectors[i].get(x, 0.0) for x, w in vectors[line].items()) for i in vectors if i > 50), reverse=True)[:5]
-        assert [round(s, 5) for s in scores] == [round(got[line, k], 5) for k in range(1, 6)]
+    for line in [k for k in vectors if k % 20 == 0][:10]:
+        scores = sorted((sum(w * vectors[i].get(x, 0.0) for x, w in vectors[line].items()) for i in vectors if i % 20), reverse=True)[:5]
+        assert scores == pytest.approx([got[line, k] for k in range(1, 6)], abs=2e-6)
