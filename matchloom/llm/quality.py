@@ -10,7 +10,7 @@ The fit is bounded: at most SAMPLE labelled documents, chosen by a hash of the i
 vectors and network.  Every document is then scored in one scan without a shuffle.
 
 Defined results: null or empty text pools to zeros and has that score; ids with contradicting or null
-labels teach nothing; without both labels in the sample every score is the share of label 1 (0.5
+labels teach nothing; of rows that share an id one teaches; without both labels in the sample every score is the share of label 1 (0.5
 without labels); repeated rows are scored each; further columns are ignored.
 """
 
@@ -36,7 +36,7 @@ HIDDEN = 32
 THRESHOLD = 0.7
 
 _ENDS = "!*$%&#|.,;:?)\"'"
-_SLOTS = 18
+_SLOTS = 20
 _SHAPES = 4 * 16 * 4 * 2
 
 
@@ -76,23 +76,27 @@ def index_vectors(units: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Units:
-    """Vocabulary words in a table with one place for each hash prefix; numbered from _SHAPES on, after the shapes."""
+    """Vocabulary words by ascending hash, and which hash prefixes they have; numbered from _SHAPES on, after the shapes."""
 
     hashes: np.ndarray
     numbers: np.ndarray
+    maybe: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray) -> Units:
-        """`words`: hashes, most frequent first; of two with one place the first stays."""
-        table, numbers = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int64)
-        at = (words >> np.uint64(64 - _SLOTS)).astype(np.int64)[::-1]
-        table[at], numbers[at] = words[::-1], np.arange(len(words))[::-1] + _SHAPES
-        return cls(table, numbers)
+        """`words`: distinct hashes, numbered in their order."""
+        maybe, order = np.zeros(1 << _SLOTS, bool), np.argsort(words)
+        maybe[(words >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
+        return cls(words[order], order + _SHAPES, maybe)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The unit of each word, -1 for unknown ones."""
-        at = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+        out = np.full(len(hashes), -1, np.int64)
+        own = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[own]), len(self.hashes) - 1)
+        if len(own):
+            out[own] = np.where(self.hashes[at] == hashes[own], self.numbers[at], -1)
+        return out
 
 
 def contexts(units: Units, column: pa.Array, count: int) -> np.ndarray:
@@ -209,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     known = known.where("quality = _most").drop("_most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    taught = checkpointed(docs.join(F.broadcast(known), "doc_id"), "quality-sample").coalesce(4)
+    # Of rows that share an id one teaches, so that the rows are no more than the labels.
+    taught = checkpointed(docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "quality-sample").coalesce(4)
 
     def counted(rows: pa.RecordBatch):
         for words in split_words(rows.column("text")):

@@ -67,10 +67,10 @@ def text_key(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """A row for each document: _id, n_words, _key, whole_sha256 and its anchors; `known`: to repeat, `send`: to the other batches."""
+    """A row for each document: _id, n_words, _key and _check (two hashes of its words), whole_sha256 and its anchors; `known`: to repeat, `send`: to the other batches."""
 
     def task(rows: pa.RecordBatch):
-        counts, keys, shas, doc, value, times = [], [], [], [], [], []
+        counts, keys, checks, shas, doc, value, times = [], [], [], [], [], [], []
         for words in split_words(rows.column("text")):
             hashes = words.hashes(lower=False)
             _, docs, at = anchors(words, hashes, window, anchor)
@@ -85,6 +85,7 @@ def profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             times.append(np.diff(np.append(heads, len(own))))
             counts.append(words.counts)
             keys.append(text_key(words, hashes))
+            checks.append(text_key(words, mix(hashes ^ np.uint64(0x94D049BB133111EB))))
             shas += [hashlib.sha256(b" ".join(words.data[a:b].tobytes().split())).hexdigest() for a, b in _bounds(words)]
         if not counts:
             return
@@ -97,11 +98,12 @@ def profile(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             _id=rows.column("_id"),
             n_words=np.concatenate(counts),
             _key=signed(np.concatenate(keys)),
+            _check=signed(np.concatenate(checks)),
             whole_sha256=pa.array(shas, pa.string()),
             anchors=pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)), pa.int32()), found),
         )
 
-    return in_arrow(docs, task, "_id long, n_words long, _key long, whole_sha256 string, anchors array<struct<run: long, known: boolean, send: boolean>>")
+    return in_arrow(docs, task, "_id long, n_words long, _key long, _check long, whole_sha256 string, anchors array<struct<run: long, known: boolean, send: boolean>>")
 
 
 def _bounds(words: Words) -> list[tuple[int, int]]:
@@ -121,8 +123,9 @@ def later_windows(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_
     """(profile of all documents; ids of whole copies; texts that may hold repeats; for each of those its later windows)."""
     docs = texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_id"), "text")
     seen = checkpointed(profile(docs, window, anchor), "dedup-profile")
-    keyed = seen.where(F.col("n_words") >= window).groupBy("_key", "n_words").agg(F.min("_id").alias("_first"))
-    copies = checkpointed(seen.select("_id", "_key", "n_words").join(keyed, ["_key", "n_words"]).where("_id > _first").select("_id", "_key").distinct(), "dedup-copies")
+    same = ["_key", "_check", "n_words"]
+    keyed = seen.where(F.col("n_words") >= window).groupBy(same).agg(F.min("_id").alias("_first"), F.count("*").alias("_times")).where("_times > 1").drop("_times")
+    copies = checkpointed(seen.select("_id", *same).join(counted(checkpointed(keyed, "dedup-firsts")), same).where("_id > _first").select("_id", "_key").distinct(), "dedup-copies")
     copied = counted(copies)
     runs = seen.select("_id", "_key", "anchors").join(copied.withColumn("_copy", F.lit(True)), ["_id", "_key"], "left").select("_id", "_copy", F.inline("anchors"))
     # A copy may have sent an anchor in place of others of its batch, which are known through it.
