@@ -55,34 +55,20 @@ def byte_characters() -> list[str]:
     return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
-class Memory:
+class Memory(dict):
     """Remembers what was asked for lately: two generations, of which the older one goes when the younger one is full."""
 
     def __init__(self, make, size: int = KNOWN):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
-
-    def one(self, key: str):
-        found = self.young.get(key)
-        if found is None:
-            if len(self.young) >= self.size:
-                self.young, self.old = {}, self.young
-            found = self.young[key] = self.old.get(key) or self.make(key)
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key) or self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
-    def all(self, keys: list[str]) -> list:
-        young = self.young
-        try:
-            return [young[k] for k in keys]
-        except KeyError:
-            old, make = self.old, self.make
-            missing = {*keys}.difference(young)
-            if len(young) + len(missing) > self.size:
-                self.old = young
-                self.young = young = {k: young[k] for k in {*keys}.intersection(young)}
-            for k in missing:
-                young[k] = old.get(k) or make(k)
-            return [young[k] for k in keys]
-
 
 class Codec:
     """Encodes and decodes with one vocabulary."""
@@ -156,10 +142,10 @@ class Codec:
         if stretch[0] == " ":
             return str(self.special[stretch[1:]]), stretch[1:]
         cut = self.cut_newer if not stretch.isascii() and _HAS_NEWER.search(stretch) else self.cut
-        pieces, one = cut.findall(stretch), self.pieces.one
+        pieces, known = cut.findall(stretch), self.pieces
         if len(pieces) == 1:
-            return one(pieces[0])
-        found = [one(p) for p in pieces]
+            return known[pieces[0]]
+        found = [known[p] for p in pieces]
         return (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
     def decode(self, ids: list[int]) -> str:
@@ -189,7 +175,8 @@ class Codec:
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids of a text in decimal, and its decoded text."""
-        found = self.known.all(self.stretches(text))
+        known = self.known
+        found = [known[s] for s in self.stretches(text)]
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
 
