@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to Python at a time while a step is written; each operator works in slices of bounded bytes, so any number is right.
 BATCH_ROWS = "2000"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Lets a step's shuffle files go when it is written; what it wrote is all that later steps read.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,20 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def batches_of(spark: SparkSession):
-    """The session hands Python so many rows at a time within; its own setting comes back after."""
-    before = spark.conf.get(_BATCH)
+    """The session hands Python so many rows at a time within, and drops a write's shuffle files after it; its own settings come back."""
+    before = {k: spark.conf.get(k) for k in (_BATCH, _CLEANUP)}
     spark.conf.set(_BATCH, BATCH_ROWS)
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def checkpointed(df: DataFrame, what: str) -> DataFrame:
     """`df`, written to the shared folder and read back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     with batches_of(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
