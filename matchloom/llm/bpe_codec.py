@@ -11,11 +11,13 @@ each; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
+from contextlib import contextmanager
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -28,8 +30,8 @@ _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u202
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
 #: Stretches, and pre-tokens, that a generation of a process's memory holds.
 KNOWN = 1 << 17
-#: Bits of an id, and of a place in a pre-token, within one number.
-_ID, _PLACE = 24, 32
+#: Bits of an id within one number.
+_ID = 24
 #: Letters and numbers that Unicode has since version 17 and planned ones, as ranges.  The library's classes are
 #: those of version 16, where they are neither.
 _NEWER = (
@@ -80,11 +82,15 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: By left and right id, as one number: rank and merged id, as one number.
-        self.merges = {self.ids[a] << _ID | self.ids[b]: rank << _ID | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        #: Rank by left and right id, as one number; and the merged id by rank.
+        self.merges = {self.ids[a] << _ID | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.ids[a + b] for a, b in pairs]
         characters = byte_characters()
         self.inner = [self.ids[c] for c in characters]
         self.last = [self.ids[c + model["end_of_word_suffix"]] for c in characters]
+        #: Rank by two bytes within a word, and at its end; -1 where they don't merge.
+        self.first_ranks, self.last_ranks = ([[self.merges.get(a << _ID | b, -1) for b in ends] for a in self.inner] for ends in (self.inner, self.last))
+        self.decimal = {i: str(i) for i in self.strings}
         pattern = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(pattern)
         self.cut_newer = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER_CLASS}]", pattern), regex.V1)
@@ -95,47 +101,56 @@ class Codec:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token.
 
-        The queue holds rank, merged id and place of pairs, as one number; `at` has the present pair of
+        The queue holds rank and place of pairs, as one number; `at` has the present pair's rank for
         each place, or -1, so that an entry that differs from it is stale.
         """
         data = piece.encode()
-        symbols = [self.inner[b] for b in data]
-        symbols[-1] = self.last[data[-1]]
-        n, find = len(symbols), self.merges.get
-        at = [find(left << _ID | right, -1) for left, right in zip(symbols, symbols[1:], strict=False)]
-        queue = [found << _PLACE | i for i, found in enumerate(at) if found >= 0]
+        n, final = len(data), data[-1]
+        inner, ranks = self.inner, self.first_ranks
+        symbols = [inner[b] for b in data]
+        symbols[-1] = self.last[final]
+        if n == 1:
+            return symbols
+        at = [ranks[a][b] for a, b in zip(data, data[1:], strict=False)]
+        at[-1] = self.last_ranks[data[-2]][final]
+        shift = n.bit_length()
+        queue = [rank << shift | i for i, rank in enumerate(at) if rank >= 0]
         if not queue:
             return symbols
         at.append(-1)
-        heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        heapify(queue)
+        find, merges, places = self.merges.get, self.merged, (1 << shift) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            entry = pop(queue)
-            i = entry & ((1 << _PLACE) - 1)
-            if at[i] != entry >> _PLACE:
+            entry = heappop(queue)
+            i = entry & places
+            rank = entry >> shift
+            if at[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            merged = symbols[i] = at[i] & ((1 << _ID) - 1)
+            merged = symbols[i] = merges[rank]
             symbols[j] = at[j] = -1
             if k < n:
                 before[k] = i
-                found = at[i] = find(merged << _ID | symbols[k], -1)
-                if found >= 0:
-                    push(queue, found << _PLACE | i)
+                at[i] = rank = find(merged << _ID | symbols[k], -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | i)
             else:
                 at[i] = -1
             h = before[i]
             if h >= 0:
-                found = at[h] = find(symbols[h] << _ID | merged, -1)
-                if found >= 0:
-                    push(queue, found << _PLACE | h)
+                at[h] = rank = find(symbols[h] << _ID | merged, -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | h)
         return [s for s in symbols if s >= 0]
 
     def shown(self, ids: list[int]) -> tuple[str, str]:
         """Ids in decimal, and their strings; each joined by spaces."""
-        return " ".join(map(str, ids)), self.decode(ids)
+        if len(ids) == 1:
+            return self.decimal[ids[0]], self.strings[ids[0]]
+        decimal, strings = self.decimal, self.strings
+        return " ".join([decimal[i] for i in ids]), " ".join([strings[i] for i in ids])
 
     def encode_stretch(self, stretch: str) -> tuple[str, str]:
         """Ids of normalised text without white space, in decimal, and their strings; a space in front marks a special token."""
@@ -183,6 +198,18 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
+@contextmanager
+def no_collection():
+    """Pauses the search for cycles: encoding makes none, and the search would walk all that the memories hold."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def codec_of(key: str, text) -> Codec:
     """The codec of this process for a vocabulary; a process reads each once."""
     if key not in _codecs:
@@ -199,14 +226,15 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def task(rows: pa.RecordBatch):
         codec = codec_of(key, lambda: shared.value)
         counts, of_ids, of_texts, all_ids, all_texts = [], [], [], [], []
-        for text in rows.column("text"):
-            ids, decoded = codec.encode(text.as_py() or "")
-            counts.append(ids.count(" ") + 1 if ids else 0)
-            of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-            of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            if keep:
-                all_ids.append(ids)
-                all_texts.append(decoded)
+        with no_collection():
+            for text in rows.column("text"):
+                ids, decoded = codec.encode(text.as_py() or "")
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if keep:
+                    all_ids.append(ids)
+                    all_texts.append(decoded)
         out = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())}
         yield batch(**out, **({"ids": pa.array(all_ids, pa.string()), "decoded": pa.array(all_texts, pa.string())} if keep else {}))
 
