@@ -101,13 +101,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         row = stop
 
 
-def split_words(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
+def split_words(column: pa.Array, limit: int = SLICE_BYTES, outside: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Words of slices of the column; `outside` says which bytes are not part of a word."""
     for row, at, data in slices(column, limit):
         n = len(data)
         if not n:
             yield Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64), row)
             continue
-        inside = ~_SPACE[data]
+        inside = ~outside[data]
         cut = np.zeros(n + 1, bool)  # a document starts here
         cut[at] = True
         before = np.empty(n, bool)
