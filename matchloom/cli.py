@@ -1,4 +1,4 @@
-"""Command line: seed, process, reconcile, report, list, sql, reset."""
+"""Command line: seed, process, reconcile, report, list, compare, sql, reset."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from . import config
 from .errors import EngineError, MatchingError
-from .functions.features import sparse_embedding
 from .functions.text import embedding_text, normalize_unit
-from .operators import similarity, summary
+from .operators import comparison, similarity, summary
 from .operators.cascade import reconcile
-from .operators.store import Store, stable_id, to_lines
+from .operators.models import ensure_embeddings, stored_vectors
+from .operators.store import Store, Transaction, stable_id, to_lines
 from .plans import report
 from .sources import offers
 from .sources.tables import read_requisition, run_sql
@@ -47,15 +47,20 @@ def process(store: Store, path: str, code: str) -> str:
     requisition = store.read("requisitions").where(F.col("code") == code).select(F.col("id").alias("requisition_id"))
     if requisition.isEmpty():
         raise MatchingError("no such request", code=code)
-    head = headers.crossJoin(requisition)
-    store.upsert("providers", head.select(stable_id("provider_name").alias("id"), F.col("provider_name").alias("name")))
+    head = headers.crossJoin(requisition)  # one offer and one request
+    providers = head.select(stable_id("provider_name").alias("id"), F.col("provider_name").alias("name"))
     offer = head.select(
         stable_id("requisition_id", "source_hash").alias("id"), "requisition_id", stable_id("provider_name").alias("provider_id"), "quote_code", "quote_date", "terms", F.lit(kind).alias("source_format"), F.lit(os.path.basename(path)).alias("source_filename"), "source_hash", F.lit("extracted").alias("status")
     )
-    store.upsert("offers", offer, update=["quote_code", "quote_date", "terms", "source_format", "status"])
     key = offer.first().id
     lines = items.withColumn("offer_id", F.lit(key))
-    store.replace_children("offer_items", lines.select(stable_id("offer_id", "line_no").alias("id"), *[c for c in lines.columns if c != "path"]), "offer_id")
+
+    def put(tx: Transaction) -> None:
+        tx.upsert("providers", providers)
+        tx.upsert("offers", offer, update=["quote_code", "quote_date", "terms", "source_format", "status"])
+        tx.replace_children("offer_items", lines.select(stable_id("offer_id", "line_no").alias("id"), *[c for c in lines.columns if c != "path"]), "offer_id")
+
+    store.transact(put)
     return key
 
 
@@ -64,30 +69,46 @@ def sides(store: Store, offer_id: str) -> tuple[DataFrame, DataFrame, DataFrame]
     offer = store.read("offers").where(F.col("id") == offer_id).first()
     if offer is None:
         raise MatchingError("no such offer", offer=offer_id)
-    lines = store.read("offer_items").where(F.col("offer_id") == offer_id).select(F.col("line_no").cast("long").alias("line_no"), "supplier_code", F.col("offered_description").alias("description"), F.col("offered_quantity").alias("quantity"), "unit_price", "flags", "raw_unit", "unit_of_measure", "raw_notes")
-    asked = store.read("requisition_items").where(F.col("requisition_id") == offer.requisition_id)
-    aliases = store.read("supplier_item_aliases").where(F.col("provider_id") == offer.provider_id).join(asked.select("item_id", F.col("line_no").cast("long").alias("item_no")), "item_id").select("supplier_code", "item_no")
+    lines = store.of("offer_items", offer_id).select(F.col("line_no").cast("long").alias("line_no"), "supplier_code", F.col("offered_description").alias("description"), F.col("offered_quantity").alias("quantity"), "unit_price", "flags", "raw_unit", "unit_of_measure", "raw_notes")
+    asked = store.of("requisition_items", offer.requisition_id)
+    aliases = store.of("supplier_item_aliases", offer.provider_id).join(asked.select("item_id", F.col("line_no").cast("long").alias("item_no")), "item_id").select("supplier_code", "item_no")
     items = asked.select(F.col("line_no").cast("long").alias("item_no"), F.col("raw_description").alias("description"), "quantity", "raw_unit", "unit_of_measure")
     return lines, items, aliases
 
 
-def candidates(lines: DataFrame, items: DataFrame, settings: config.Config) -> DataFrame:
-    own = sparse_embedding(lines, ["line_no"], embedding_text(F.col("description"), F.col("unit_of_measure")), settings.dims)
-    theirs = sparse_embedding(items, ["item_no"], embedding_text(F.col("description"), F.col("unit_of_measure")), settings.dims)
-    return similarity.top_k_sparse(own, theirs, settings.top_k).join(items.select("item_no", "description"), "item_no")
+def embedded_text(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, embedding_text(F.col("description"), F.col("unit_of_measure")).alias("text"))
+
+
+def ensure_requisition_embeddings(store: Store, requisition_id: str, settings: config.Config, force: bool = False) -> int:
+    """Makes the vectors of a request's items that are not stored yet; gives how many."""
+    items = store.of("requisition_items", requisition_id).select(F.col("raw_description").alias("description"), "unit_of_measure", "line_no")
+    return ensure_embeddings(store, embedded_text(items, "line_no"), dims=settings.dims, force=force)
+
+
+def candidates(store: Store, lines: DataFrame, items: DataFrame, settings: config.Config) -> DataFrame:
+    """Candidates from stored vectors; those of lines or items that lack one are made and stored first."""
+    own, theirs = embedded_text(lines, "line_no"), embedded_text(items, "item_no")
+    ensure_embeddings(store, own.select("text").unionByName(theirs.select("text")), dims=settings.dims)
+    found = similarity.top_k_sparse(stored_vectors(store, own, "line_no", dims=settings.dims), stored_vectors(store, theirs, "item_no", dims=settings.dims), settings.top_k)
+    return found.join(items.select("item_no", "description"), "item_no")
 
 
 def run_reconcile(store: Store, offer_id: str, settings: config.Config, decider=None) -> tuple[str, DataFrame]:
     """Stores a reconciliation of an offer; gives its id and summary."""
     lines, items, aliases = sides(store, offer_id)
-    rows = reconcile(lines, items, candidates(lines, items, settings), aliases, decider, settings.review_brands, check=True)
+    rows = reconcile(lines, items, candidates(store, lines, items, settings), aliases, decider, settings.review_brands, check=True)
     number = store.read("reconciliations").where(F.col("offer_id") == offer_id).count()
     key = f"{offer_id[:16]}-{number + 1}"
-    store.replace_children("reconciliation_lines", to_lines(rows, key), "reconciliation_id")
     found = summary.summarize(rows, items)
     offer = store.read("offers").where(F.col("id") == offer_id)
     head = offer.select(F.lit(key).alias("id"), F.col("id").alias("offer_id"), "requisition_id").crossJoin(found.select(F.to_json(F.struct("*")).alias("summary"))).withColumn("created_at", F.current_timestamp())
-    store.replace("reconciliations", store.read("reconciliations").unionByName(head, allowMissingColumns=True))
+
+    def put(tx: Transaction) -> None:
+        tx.replace_children("reconciliation_lines", to_lines(rows, key), "reconciliation_id")
+        tx.append("reconciliations", head)
+
+    store.transact(put)
     return key, found
 
 
@@ -97,7 +118,7 @@ def run_report(store: Store, reconciliation_id: str, form: str, folder: str) ->
     if row is None:
         raise MatchingError("no such reconciliation", id=reconciliation_id)
     lines, items, _ = sides(store, row.offer_id)
-    stored = store.read("reconciliation_lines").where(F.col("reconciliation_id") == reconciliation_id)
+    stored = store.of("reconciliation_lines", reconciliation_id)
     rows = stored.withColumns({"line_no": F.col("offer_item_id").cast("long"), "item_no": F.col("requisition_item_id").cast("long"), "confidence": F.col("confidence").cast("double")})
     loaded = report.load(head, summary.summarize(rows, items), lines, report.report_lines(rows, lines, items))
     path = os.path.join(folder, f"{report.report_name(row.requisition_code, row.source_filename)}.{form}")
@@ -107,6 +128,17 @@ def run_report(store: Store, reconciliation_id: str, form: str, folder: str) ->
     return path
 
 
+def compared(store: Store, code: str, what: str) -> DataFrame:
+    """The offers of a request side by side: prices by provider, the best ones, coverage, or the award at the best prices."""
+    requisition = store.read("requisitions").where(F.col("code") == code).first()
+    if requisition is None:
+        raise MatchingError("no such request", code=code)
+    quotes = comparison.quoted(store.read("reconciliation_lines"), store.of("offers", requisition.id), store.read("providers"), store.read("offer_items"), store.read("reconciliations"))
+    offered = comparison.offers_of(quotes)
+    asked = store.of("requisition_items", requisition.id).select(F.col("line_no").cast("long").alias("item_no"), "quantity")
+    return {"matrix": lambda: comparison.matrix(offered).orderBy("item_no"), "best": lambda: comparison.best_quotes(offered).orderBy("item_no"), "coverage": lambda: comparison.coverage(offered, asked).orderBy(F.desc("covered"), "total"), "award": lambda: comparison.award(offered, asked)}[what]()
+
+
 def listed(store: Store, what: str) -> DataFrame:
     if what == "requisitions":
         return summary.child_counts(store.read("requisitions"), store.read("requisition_items"), "id", "requisition_id")
@@ -120,10 +152,10 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="matchloom")
     parser.add_argument("--root")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in {"seed": ["folder"], "process": ["path", "code"], "reconcile": ["offer"], "report": ["reconciliation"], "list": ["what"], "sql": ["query"], "reset": []}.items():
+    for name, arguments in {"seed": ["folder"], "process": ["path", "code"], "reconcile": ["offer"], "report": ["reconciliation"], "list": ["what"], "compare": ["code", "view"], "sql": ["query"], "reset": []}.items():
         sub = commands.add_parser(name)
         for a in arguments:
-            sub.add_argument(a, choices=["requisitions", "offers", "reconciliations"] if a == "what" else None)
+            sub.add_argument(a, choices={"what": ["requisitions", "offers", "reconciliations"], "view": ["matrix", "best", "coverage", "award"]}.get(a))
         if name == "report":
             sub.add_argument("--format", choices=sorted(report.RENDERERS), default="md")
             sub.add_argument("--out", default="out")
@@ -142,6 +174,8 @@ def main(argv: list[str] | None = None) -> None:
         print(run_report(store, given.reconciliation, given.format, given.out))
     elif given.command == "list":
         listed(store, given.what).show(truncate=False)
+    elif given.command == "compare":
+        compared(store, given.code, given.view).show(1000, truncate=False)
     elif given.command == "reset":
         store.reset()
     else:

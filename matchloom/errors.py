@@ -19,3 +19,7 @@ class MatchingError(EngineError):
 
 class ConfigError(EngineError):
     """Settings that contradict each other."""
+
+
+class ConflictError(EngineError):
+    """A commit that another writer's commit makes impossible."""

@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ExtractionError
 from ..functions.features import DIMS, sparse_embedding, text_hash
+from ..observe import observed
 from .rules import lexical_confidence, lexical_kind
+from .store import Store
 
 MATCH_BATCH, LINE_BATCH, EMBED_BATCH = 10, 40, 100
 
@@ -93,17 +96,65 @@ def extract_lines(lines: DataFrame, client: Callable[[list[str]], list[dict]], b
     return lines.where("part = 'body'").select("path", "line").mapInPandas(run, "path string, " + ", ".join(f"{f} string" for f in fields) + ", failed boolean")
 
 
-def embeddings_with_cache(texts: DataFrame, cache: DataFrame, model: str = "hashed", dims: int = DIMS) -> tuple[DataFrame, DataFrame]:
+def hashed_vectors(misses: DataFrame, dims: int) -> DataFrame:
+    """text_hash and vector of texts (text_hash, text): the hashed features, which need no client."""
+    made = sparse_embedding(misses, ["text_hash"], F.col("text"), dims).groupBy("text_hash")
+    return made.agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("vector"))
+
+
+def client_vectors(client: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> Callable[[DataFrame, int], DataFrame]:
+    """An embedder that asks `client` for the vectors of `batch` texts at a time; each must be of the width asked for."""
+
+    def embed(misses: DataFrame, dims: int) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), batch):
+                    part = frame.iloc[at : at + batch]
+                    vectors = client(part["text"].tolist())
+                    if len(vectors) != len(part) or any(len(v) != dims for v in vectors):
+                        raise ExtractionError("the model gave vectors of another number or width", expected=f"{len(part)} x {dims}", widths=sorted({len(v) for v in vectors}))
+                    sparse = [[{"index": k, "weight": float(x)} for k, x in enumerate(v) if x] for v in vectors]
+                    yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": sparse})
+
+        return misses.select("text_hash", "text").mapInPandas(run, "text_hash string, vector array<struct<index: int, weight: double>>")
+
+    return embed
+
+
+def embeddings_with_cache(texts: DataFrame, cache: DataFrame, model: str = "hashed", dims: int = DIMS, embed: Callable[[DataFrame, int], DataFrame] = hashed_vectors, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(text_hash and vector of all `texts` (text), the rows to add to the cache).
 
-    Keys hold model and width, so vectors of different models never meet.
+    Keys hold model and width, so vectors of different models never meet.  `force`: makes all vectors anew.  Of
+    rows of the cache with one key, which writers at the same time can leave, the least counts.
     """
     keyed = texts.where(F.col("text").isNotNull()).select("text", text_hash(F.col("text")).alias("text_hash")).distinct()
-    own = cache.where((F.col("model") == model) & (F.col("dims") == dims))
-    misses = keyed.join(own.select("text_hash"), "text_hash", "left_anti")
-    made = sparse_embedding(misses, ["text_hash"], F.col("text"), dims).groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("vector"))
-    made = made.select("text_hash", F.lit(model).alias("model"), F.lit(dims).alias("dims"), "vector")
-    return own.join(keyed.select("text_hash"), "text_hash", "left_semi").unionByName(made).select("text_hash", "vector"), made
+    own = cache.where((F.col("model") == model) & (F.col("dims") == dims)).select("text_hash", "vector").join(keyed.select("text_hash"), "text_hash", "left_semi")
+    misses = keyed if force else keyed.join(own.select("text_hash"), "text_hash", "left_anti")
+    made = embed(misses, dims).select("text_hash", F.lit(model).alias("model"), F.lit(dims).alias("dims"), "vector")
+    known = own.where("false") if force else own.groupBy("text_hash").agg(F.min("vector").alias("vector"))
+    return known.unionByName(made.select("text_hash", "vector")), made
+
+
+def ensure_embeddings(store: Store, texts: DataFrame, model: str = "hashed", dims: int = DIMS, embed: Callable[[DataFrame, int], DataFrame] = hashed_vectors, force: bool = False) -> int:
+    """Makes and stores the vectors that `texts` (text) lack, all with `force`; gives how many were made.
+
+    The rows are appended, so writers at the same time don't conflict; each vector's indexes must lie within the width.
+    """
+    _, made = embeddings_with_cache(texts, store.read("text_embeddings"), model, dims, embed, force)
+    fits = F.forall("vector", lambda x: (x["index"] >= 0) & (x["index"] < dims))
+    made = made.withColumn("vector", F.when(fits, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector is wider than {dims}"))))
+    rows, seen = observed(made, "vectors made")
+    if force:
+        store.upsert("text_embeddings", rows)
+    else:
+        store.append("text_embeddings", rows)
+    return seen.get["rows"]
+
+
+def stored_vectors(store: Store, texts: DataFrame, key: str, model: str = "hashed", dims: int = DIMS) -> DataFrame:
+    """`key`, index, weight of each row of `texts` (key, text), from the store; texts without a stored vector have no rows."""
+    own = store.read("text_embeddings").where((F.col("model") == model) & (F.col("dims") == dims)).groupBy("text_hash").agg(F.min("vector").alias("vector"))
+    return texts.select(key, text_hash(F.col("text")).alias("text_hash")).join(own, "text_hash").select(key, F.inline("vector"))
 
 
 def lexical_columns(candidates: Column, flags: Column) -> tuple[Column, Column]:

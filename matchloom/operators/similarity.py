@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import cosine, dot
+from ..written import written
 
 DEFAULT_K = 5
 #: Items that a dense search may broadcast; more are searched by shuffled blocks.
@@ -38,22 +41,93 @@ def top_k_dense(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> DataF
     return ranked(scored, "line_no", "item_no", k)
 
 
+#: Features of a line, its rarest, whose items give the score that all others must reach.
+PILOT = 3
+#: What sums of products in another order may differ by.
+_MARGIN = 1e-9
+
+
+def _classes(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(`key` and class of each row's vector, class and its sorted entries); equal vectors, as equal texts give them, are one class."""
+    rows = vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", F.round("weight", 14).alias("weight")))).alias("entries"))  # as many as a text has features
+    named = written(rows.withColumn("class", F.sha2(F.to_json("entries"), 256)), "sparse-vectors")
+    return named.select(key, "class"), written(named.groupBy("class").agg(F.min("entries").alias("entries")), "sparse-classes")
+
+
+def _dots(pairs: DataFrame) -> DataFrame:
+    """line_class, item_class, score of pairs with the `entries` of both (_a, _b), by sorting each batch's entries together."""
+
+    def run(batches):
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            places, weights = [], []
+            for c in ("_a", "_b"):
+                lists = rows.column(c)
+                flat = lists.flatten()
+                pair = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                places.append(pair << 32 | flat.field("index").to_numpy().astype(np.int64))
+                weights.append(flat.field("weight").to_numpy())
+            _, at, other = np.intersect1d(*places, assume_unique=True, return_indices=True)
+            score = np.round(np.bincount(places[0][at] >> 32, weights[0][at] * weights[1][other], rows.num_rows), 12)  # equal scores tie, whatever the order of sums
+            yield pa.RecordBatch.from_arrays([rows.column("line_class"), rows.column("item_class"), pa.array(score)], names=["line_class", "item_class", "score"])
+
+    return pairs.mapInArrow(run, "line_class string, item_class string, score double")
+
+
 def top_k_sparse(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """As top_k_dense over sparse unit vectors (line_no or item_no, index, weight), by a hash join on the index.
+    """As top_k_dense over sparse unit vectors (line_no or item_no, index, weight).
 
-    Pairs without a common index have score 0; they are put back for lines with fewer than k positive
-    scores: the first k item numbers that have no pair suffice.
+    Equal vectors are searched once.  A line's features are taken from the rarest among items on.  The items of its PILOT rarest
+    give a score that k items reach; what an item can score by the features from some place on is at most the length of the line's
+    vector there, so once that is below the score, items without an earlier feature can't be among the best and are never met.
+    Lines for which the pilot finds no k items of a positive score meet all items with a common feature.
     """
-    shared = lines.join(items.withColumnRenamed("weight", "_w"), "index").groupBy("line_no", "item_no").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
-    positive = shared.where("score > 0").groupBy("line_no").agg(F.count("*").alias("n"))
-    short = lines.select("line_no").distinct().join(positive, "line_no", "left").where(F.coalesce("n", F.lit(0)) < k).select("line_no")
-    met = shared.join(short, "line_no", "left_semi").groupBy("line_no").agg(F.count("*").alias("met"))
+    line_of, asked = _classes(lines, "line_no")
+    item_of, held = _classes(items, "item_no")
+    members = item_of.withColumn("_place", F.row_number().over(Window.partitionBy("class").orderBy("item_no"))).where(F.col("_place") <= k).select(F.col("class").alias("item_class"), "item_no")
+    firsts = members.groupBy("item_class").agg(F.min("item_no").alias("first"), F.count("*").alias("times"))
+    held = written(held.select(F.col("class").alias("item_class"), "entries").join(firsts, "item_class"), "sparse-items")
+    postings = held.select("item_class", F.inline("entries"))
+    often = F.broadcast(postings.groupBy("index").agg(F.count("*").alias("_often")))  # a row for each index, as many as vectors are wide
+    order = Window.partitionBy("class").orderBy("_often", "index")
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    features = written(asked.select("class", F.inline("entries")).join(often, "index").select(F.col("class").alias("line_class"), "index", F.row_number().over(order).alias("_rank"), rest.alias("_rest")), "sparse-features")
+
+    def scored(wanted: DataFrame, name: str) -> DataFrame:
+        met = wanted.select("line_class", "index").join(postings.select("item_class", "index"), "index").select("line_class", "item_class").distinct()
+        both = met.join(asked.select(F.col("class").alias("line_class"), F.col("entries").alias("_a")), "line_class").join(held.select("item_class", F.col("entries").alias("_b")), "item_class")
+        return written(_dots(both), name)
+
+    pilot = scored(features.where(F.col("_rank") <= PILOT), "sparse-pilot").join(firsts, "item_class")
+    so_far = F.sum("times").over(Window.partitionBy("line_class").orderBy(F.desc("score"), "item_class"))
+    reached = pilot.withColumn("_so_far", so_far).where(F.col("_so_far") >= k).groupBy("line_class").agg(F.max("score").alias("_floor")).where(F.col("_floor") > _MARGIN)
+    bound = features.join(reached, "line_class", "left")
+    needed = bound.where(F.col("_floor").isNull() | (F.col("_rest") >= F.col("_floor") - _MARGIN))
+    found = scored(needed, "sparse-scores").join(firsts, "item_class")
+    # Lines of fewer than k items with a positive score: items without a common feature have score 0, and the first numbers suffice.
+    positive = found.where("score > 0").groupBy("line_class").agg(F.sum("times").alias("_n"))
+    short = asked.select(F.col("class").alias("line_class")).join(positive, "line_class", "left").where(F.coalesce("_n", F.lit(0)) < k).select("line_class")
+    best = found.withColumn("_place", F.row_number().over(Window.partitionBy("line_class").orderBy(F.desc("score"), "first"))).where(F.col("_place") <= k)
+    top = ranked(best.select("line_class", "item_class", "score").join(members, "item_class").select("line_class", "item_no", "score"), "line_class", "item_no", k)
+    top = top.select("line_class", "item_no", "score")
+    top = ranked(top.unionByName(_padded(short, found, item_of, k)).groupBy("line_class", "item_no").agg(F.max("score").alias("score")), "line_class", "item_no", k)
+    return line_of.withColumnRenamed("class", "line_class").join(top, "line_class").select("line_no", "item_no", "score", "rank")
+
+
+def _padded(short: DataFrame, found: DataFrame, item_of: DataFrame, k: int) -> DataFrame:
+    """line_class, item_no, score 0: the first k items that a line of `short` has no common feature with."""
+    met = found.join(short, "line_class", "left_semi").select("line_class", "item_class")
+    sizes = item_of.groupBy(F.col("class").alias("item_class")).agg(F.count("*").alias("_size"))
+    counts = short.join(met.join(sizes, "item_class").groupBy("line_class").agg(F.sum("_size").alias("_met")), "line_class", "left").select("line_class", F.coalesce("_met", F.lit(0)).alias("_met"))
     # A line that met m items misses at most m of the first m + k item numbers: no more than those are numbered.
-    most = met.agg(F.max("met")).first()[0] or 0
-    numbered = items.select("item_no").distinct().orderBy("item_no").limit(most + k).withColumn("_n", F.row_number().over(Window.orderBy("item_no")))
-    pads = short.join(met, "line_no", "left").withColumn("_n", F.explode(F.sequence(F.lit(1), F.coalesce("met", F.lit(0)).cast("int") + k))).join(numbered, "_n")
-    pads = pads.select("line_no", "item_no").join(shared, ["line_no", "item_no"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(shared.unionByName(pads), "line_no", "item_no", k)
+    most = counts.agg(F.max("_met")).first()[0]
+    if most is None:
+        return short.select("line_class", F.lit(None).cast(item_of.schema["item_no"].dataType).alias("item_no"), F.lit(0.0).alias("score")).where("false")
+    numbered = item_of.select("item_no", "class").orderBy("item_no").limit(most + k).withColumn("_n", F.row_number().over(Window.orderBy("item_no")))
+    pads = counts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_met").cast("int") + k))).join(numbered, "_n").withColumnRenamed("class", "item_class")
+    pads = pads.join(met, ["line_class", "item_class"], "left_anti")
+    return pads.select("line_class", "item_no", F.lit(0.0).alias("score"))
 
 
 def top_k_for(items: DataFrame, vector: Column, k: int = DEFAULT_K) -> DataFrame:

@@ -6,9 +6,7 @@ items (all others), `part` for requested items, `lineitem` for offer lines, text
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features, text
@@ -18,24 +16,7 @@ from ..operators.models import ModelDecider, embeddings_with_cache, stand_in_mat
 from ..schemas import EMBEDDINGS
 from ..sources import offers
 from . import report
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from .registry import ORACLE_SQL, QUERIES, query, t  # noqa: F401
 
 # --- similarity -------------------------------------------------------------------------------
 
@@ -443,12 +424,28 @@ def fnv_hash(spark, d):
     return words.select("item_id", "word", features.fnv1a(F.col("word"), 0).alias("h"))
 
 
-@query()
+def _embedded(rows: str) -> str:
+    """CTEs that end in `embedded` (key, index, weight) of the rows (key, text) of a query."""
+    fnv = "list_reduce(list_prepend({0}::UBIGINT, list_transform(string_split(f, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::UBIGINT)"
+    return f"""texts AS ({rows}),
+  tokens AS (SELECT text, unnest(regexp_extract_all(replace(lower(strip_accents(text)), ',', '.'), '\\d+(?:[.,]\\d+)?|[a-z]+')) AS tok FROM (SELECT DISTINCT text FROM texts)),
+  feats AS (SELECT text, 't:' || tok AS f, 1.0::DOUBLE AS w FROM tokens UNION ALL SELECT text, 'g:' || unnest(list_transform(range(1, len(tok) - 1), lambda i: tok[i:i + 2])), 0.35::DOUBLE FROM tokens WHERE len(tok) >= 4),
+  hashed AS (SELECT f, {fnv.format(0x811C9DC5)} % 1536 AS index, {fnv.format(0x811C9DC5 ^ 0x9E3779B9)} % 2 = 1 AS plus FROM (SELECT DISTINCT f FROM feats)),
+  sums AS (SELECT text, index::INT AS index, sum(CASE WHEN plus THEN w ELSE -w END) AS w FROM feats JOIN hashed USING (f) GROUP BY text, index),
+  units AS (SELECT text, index, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS weight FROM sums WHERE abs(w) > 1e-12),
+  embedded AS (SELECT key, coalesce(index, 0) AS index, coalesce(weight, 1) AS weight FROM texts LEFT JOIN units USING (text))"""
+
+
+@query(f"WITH {_embedded('SELECT p_partkey AS key, p_name AS text FROM part')} SELECT key AS p_partkey, index, round(weight, 6) AS weight FROM embedded")
 def lexical_embedding(spark, d):
     return features.sparse_embedding(t(spark, d, "part"), ["p_partkey"], F.col("p_name")).select("p_partkey", "index", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(f"""WITH {_embedded("SELECT p_partkey AS key, p_name || ' ' || p_brand AS text FROM part")}, named AS (SELECT DISTINCT text, index, weight FROM embedded JOIN texts USING (key)),
+  dots AS (SELECT a.text AS line_text, b.text AS item_text, round(sum(a.weight * b.weight), 12) AS score FROM named a JOIN named b USING (index) GROUP BY ALL),
+  pairs AS (SELECT l.key AS line_no, i.key AS item_no, coalesce(score, 0) AS score FROM texts l JOIN texts i ON l.key % 20 = 0 AND i.key % 20 <> 0 LEFT JOIN dots ON line_text = l.text AND item_text = i.text),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY score DESC, item_no)::INT AS rank FROM pairs)
+  SELECT line_no, rank, item_no, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
 def lexical_topk(spark, d):
     part = t(spark, d, "part")
     own = features.sparse_embedding(part.where("p_partkey % 20 = 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "line_no")

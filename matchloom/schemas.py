@@ -48,6 +48,23 @@ KEYS: dict[str, tuple[str, ...]] = {
     "supplier_item_aliases": ("provider_id", "supplier_code"),
 }
 
+#: The column whose hash says in which bucket of its table a row lies; part of the key where there is one.
+BUCKET_BY: dict[str, str] = {
+    "providers": "name",
+    "requisitions": "code",
+    "requisition_groups": "requisition_id",
+    "items": "code",
+    "requisition_items": "requisition_id",
+    "offers": "requisition_id",
+    "offer_items": "offer_id",
+    "reconciliations": "offer_id",
+    "reconciliation_lines": "reconciliation_id",
+    "supplier_item_aliases": "provider_id",
+    "text_embeddings": "text_hash",
+}
+
 REQUESTS = _struct(request_id=S, title=S)
 REQUEST_ITEMS = _struct(request_id=S, item_id=S, description=S, quantity=S, unit=S)
 EMBEDDINGS = _struct(text_hash=S, model=S, dims=I, vector=T.ArrayType(_struct(index=I, weight=T.DoubleType())))
+TABLES["text_embeddings"] = EMBEDDINGS
+KEYS["text_embeddings"] = ("text_hash", "model", "dims")

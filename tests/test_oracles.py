@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from matchloom.plans import catalog
+from matchloom.plans import catalog, kept, market  # noqa: F401
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:

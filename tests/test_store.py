@@ -1,15 +1,17 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom import config
-from matchloom.errors import ConfigError, EngineError
+from matchloom.errors import ConfigError, ConflictError, EngineError
+from matchloom.functions.features import sparse_embedding
 from matchloom.observe import STAGES, observed, stage
-from matchloom.operators.models import embeddings_with_cache, extract_lines
-from matchloom.operators.store import Store, merged, reconciled_offers, stable_id
+from matchloom.operators.models import client_vectors, embeddings_with_cache, ensure_embeddings, extract_lines, stored_vectors
+from matchloom.operators.store import CHECKPOINT, Migration, Store, merged, migrate, reconciled_offers, stable_id
 from matchloom.plans import report
-from matchloom.schemas import EMBEDDINGS
+from matchloom.schemas import EMBEDDINGS, TABLES
 from matchloom.streaming.ingest import ingest_lines
 
 
@@ -22,7 +24,7 @@ def test_upsert_is_idempotent(spark, tmp_path):
     before = store.version("requisitions")
     store.upsert("requisitions", rows.where("false"))
     assert store.read("requisitions").count() == 2 and store.version("requisitions") != before
-    store.prune("requisitions")
+    assert store.prune("requisitions", older_than=0) >= 2 and store.prune("requisitions") == 0
     assert store.read("requisitions").count() == 2
     store.reset(["requisitions"])
     assert store.read("requisitions").count() == 0
@@ -39,6 +41,135 @@ def test_children_are_replaced(spark, tmp_path):
     assert store.orphans("offer_items", "offer_id", "offers").count() == 2
 
 
+def files(root):
+    return {str(p) for p in root.rglob("*.parquet")}
+
+
+def test_one_offer_costs_one_bucket(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=16)
+    rows = spark.range(4000).select(F.concat(F.lit("o"), (F.col("id") % 1000).cast("string")).alias("offer_id"), (F.col("id") / 1000).cast("int").alias("line_no"))
+    store.replace("offer_items", rows)
+    before = store.state().tables["offer_items"]
+    old = files(tmp_path / "offer_items")
+    assert len(before) == 16
+    store.replace_children("offer_items", rows.where("offer_id = 'o7' AND line_no = 0"), "offer_id")
+    after = store.state().tables["offer_items"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len([f for f in files(tmp_path / "offer_items") - old if "/c-" in f]) == 1
+    assert store.read("offer_items").count() == 3997 and store.of("offer_items", "o7").count() == 1 and store.of("offer_items", "o8").count() == 4
+    assert "_bucket=" in store.of("offer_items", "o8").inputFiles()[0] and len(store.of("offer_items", "o8").inputFiles()) == 1
+    assert store.at(1).read("offer_items").count() == 4000  # as it was
+
+
+def test_update_from_touches_only_rows_with_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=16)
+    items = spark.range(200).select(F.concat(F.lit("i"), "id").alias("id"), F.concat(F.lit("c"), "id").alias("code"), F.array(F.lit(1.0)).alias("embedding"))
+    store.replace("items", items)
+    before = store.state().tables["items"]
+    given = spark.createDataFrame([("i3", [5.0]), ("i3", [7.0]), ("i9", None), ("nobody", [1.0]), (None, [2.0])], "id string, embedding array<float>")
+    store.update_from("items", given, "id", ["embedding"])
+    got = {r.id: r.embedding for r in store.read("items").collect()}
+    assert len(got) == 200 and got["i3"] == [7.0] and got["i9"] is None and got["i4"] == [1.0]
+    assert sum(before[b] != f for b, f in store.state().tables["items"].items()) <= 2
+    version = store.state().version
+    store.update_from("items", given.where("id = 'nobody'"), "id", ["embedding"])
+    assert store.state().version == version  # nothing to change, no commit
+
+
+def test_two_writers_of_one_bucket_conflict(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    rows = spark.createDataFrame([("a", 1)], "offer_id string, line_no int")
+    store.replace("offer_items", rows)
+    one, two = store.begin(), store.begin()
+    one.replace_children("offer_items", rows.withColumn("line_no", F.lit(5)), "offer_id")
+    two.replace_children("offer_items", rows.withColumn("line_no", F.lit(6)), "offer_id")
+    one.commit()
+    with pytest.raises(ConflictError):
+        two.commit()
+    assert [r.line_no for r in store.read("offer_items").collect()] == [5]
+    reader, writer = store.begin(), store.begin()
+    reader.read("offer_items")
+    reader.append("providers", spark.createDataFrame([("p",)], "name string"))
+    writer.append("offer_items", rows)
+    writer.commit()
+    with pytest.raises(ConflictError):  # what it read has changed
+        reader.commit()
+    first, second = store.begin(), store.begin()
+    for k, tx in enumerate((first, second)):
+        tx.append("providers", spark.createDataFrame([(f"p{k}",)], "name string"))
+    assert second.commit() == first.commit() - 1 and store.read("providers").count() == 2  # appends don't meet
+
+
+def test_readers_never_see_half_a_commit(spark, tmp_path):
+    """Two writers keep an offer's count of lines and its lines in step; a reader checks every snapshot that it gets."""
+    store, seen, failed, done = Store(spark, str(tmp_path), buckets=4), [], [], threading.Event()
+
+    def write(who):
+        try:
+            for k in range(1, 5):
+                head = spark.createDataFrame([("r", who, who, str(k))], "requisition_id string, source_hash string, id string, terms string")
+                rows = spark.range(k).select(F.lit(who).alias("offer_id"), F.col("id").cast("int").alias("line_no"))
+                store.transact(lambda tx, head=head, rows=rows: (tx.upsert("offers", head), tx.replace_children("offer_items", rows, "offer_id")), attempts=40)
+        except Exception as e:
+            failed.append(e)
+
+    def read():
+        while not done.is_set():
+            tx = Store(spark, str(tmp_path)).begin()
+            counts = {r.offer_id: r["count"] for r in tx.read("offer_items").groupBy("offer_id").count().collect()}
+            heads = {r.id: int(r.terms) for r in tx.read("offers").collect()}
+            seen.append(counts == heads)
+
+    writers, reader = [threading.Thread(target=write, args=(w,)) for w in ("a", "b")], threading.Thread(target=read)
+    for thread in [reader, *writers]:
+        thread.start()
+    for thread in writers:
+        thread.join(240)
+    done.set()
+    reader.join(60)
+    assert not failed and len(seen) > 3 and all(seen)
+    assert store.state().version == 8 and store.read("offer_items").count() == 8
+
+
+def test_what_was_not_committed_is_not_there(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    rows = spark.createDataFrame([("a", 1)], "offer_id string, line_no int")
+    tx = store.begin()
+    tx.append("offer_items", rows)
+    assert tx.read("offer_items").count() == 1 and store.read("offer_items").count() == 0
+    assert store.begin().commit() == 0 and store.version("offer_items") is None
+    for k in range(CHECKPOINT + 2):
+        store.append("offer_items", rows.withColumn("line_no", F.lit(k)))
+    assert any(p.name.startswith("state-") for p in (tmp_path / "log").iterdir())
+    assert store.read("offer_items").count() == CHECKPOINT + 2 and store.at(3).read("offer_items").count() == 3
+    assert Store(spark, str(tmp_path), buckets=99).state_buckets == 4
+    store.reset(hard=True)
+    assert store.read("offer_items").count() == 0
+
+
+def test_a_file_is_made_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for link in (True, False):
+        path = f"{tmp_path}/x{link}/1.json"
+        assert store._put_new(path, "one", link) and not store._put_new(path, "two", link)
+        assert store._text(path) == "one" and [p.name for p in (tmp_path / f"x{link}").iterdir() if not p.name.endswith(".crc")] == ["1.json"]
+
+
+def test_migrations_and_columns_added_later(spark, tmp_path, monkeypatch):
+    from pyspark.sql import types as T
+
+    store, now = Store(spark, str(tmp_path), buckets=2), TABLES["providers"]
+    monkeypatch.setitem(TABLES, "providers", T.StructType([f for f in now.fields if f.name != "created_at"]))
+    store.replace("providers", spark.createDataFrame([("1", "norte")], "id string, name string"))
+    monkeypatch.setitem(TABLES, "providers", now)
+    assert [tuple(r) for r in store.read("providers").collect()] == [("1", "norte", None)]
+    steps = [Migration("002-date", "providers", "SELECT id, name, TIMESTAMP'2024-01-01 00:00:00' AS created_at FROM {rows}"), Migration("001-upper", "providers", "SELECT id, upper(name) AS name FROM {rows}")]
+    assert migrate(store, steps) == (["001-upper", "002-date"], [])
+    assert [(r.name, r.created_at.year) for r in store.read("providers").collect()] == [("NORTE", 2024)]
+    version = store.state().version
+    assert migrate(store, [Migration("001-upper", "providers", "SELECT id, lower(name) AS name FROM {rows}"), steps[0]]) == ([], ["001-upper"])
+    assert store.state().version == version and store.read("providers").first().name == "NORTE"
+
+
 def test_merge_keeps_other_columns(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k long, v string")
@@ -52,13 +183,45 @@ def test_status_follows_from_reconciliations(spark):
     assert {r.id: r.status for r in reconciled_offers(offers, done).collect()} == {"a": "reconciled", "b": "extracted"}
 
 
+def entries(vectors):
+    return {(r.text_hash, x["index"]): x["weight"] for r in vectors.collect() for x in r.vector}
+
+
 def test_embedding_cache_keeps_models_apart(spark):
     texts = spark.createDataFrame([("cable",), ("tubo",), (None,), ("cable",)], "text string")
     vectors, made = embeddings_with_cache(texts, spark.createDataFrame([], EMBEDDINGS))
     assert vectors.count() == made.count() == 2
     again, more = embeddings_with_cache(texts, made)
     assert again.count() == 2 and more.count() == 0
+    assert entries(again) == pytest.approx(entries(vectors))
     assert embeddings_with_cache(texts, made, dims=64)[1].count() == 2
+    assert embeddings_with_cache(texts, made, force=True)[1].count() == 2
+    twice, _ = embeddings_with_cache(texts, made.union(made))
+    assert twice.count() == 2 and entries(twice) == pytest.approx(entries(vectors))
+
+
+def test_stored_embeddings_are_made_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    texts = spark.createDataFrame([(1, "cable rojo"), (2, "tubo"), (3, None), (4, "cable rojo"), (5, "...")], "item_no long, text string")
+    assert ensure_embeddings(store, texts) == 3 and ensure_embeddings(store, texts) == 0
+    assert ensure_embeddings(store, texts.where("item_no = 2"), force=True) == 1 and store.read("text_embeddings").count() == 3
+    want = {(r.item_no, r["index"]): r.weight for r in sparse_embedding(texts.where("text IS NOT NULL"), ["item_no"], F.col("text")).collect()}
+    got = {(r.item_no, r["index"]): r.weight for r in stored_vectors(store, texts, "item_no").collect()}
+    assert got == pytest.approx(want) and {i for i, _ in got} == {1, 2, 4, 5}
+
+
+def test_clients_vectors_have_the_width_asked_for(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    texts = spark.createDataFrame([(str(k),) for k in range(7)], "text string")
+    right, wrong = client_vectors(lambda batch: [[float(len(x)), 0.0, 2.0] for x in batch], batch=3), client_vectors(lambda batch: [[1.0]] * len(batch))
+    assert ensure_embeddings(store, texts, "m", 3, right) == 7
+    assert {(r["index"], r.weight) for r in stored_vectors(store, texts, "text", "m", 3).collect()} == {(0, 1.0), (2, 2.0)}
+    with pytest.raises(Exception, match="width"):
+        ensure_embeddings(store, texts, "m2", 3, wrong)
+    wide = lambda misses, dims: misses.select("text_hash", F.array(F.struct(F.lit(dims).alias("index"), F.lit(1.0).alias("weight"))).alias("vector"))
+    with pytest.raises(Exception, match="wider"):
+        ensure_embeddings(store, texts, "m3", 3, wide)
+    assert store.read("text_embeddings").count() == 7  # nothing of the failed runs is there
 
 
 def test_model_extraction(spark):
