@@ -3,7 +3,7 @@
 The vocabulary is a `tokenizers` JSON file of a BPE model with word ends, over byte-level characters,
 after NFC, joining of white space and lower case.  White space never lies within a token, so texts are
 put together from stretches without it, and those from pre-tokens.  A process remembers both, each in two generations
-of bounded size, so that what stands often stays known and what stands once goes.  One scan, no shuffle.
+of bounded number and size, so that what stands often stays known and what stands once goes.  One scan, no shuffle.
 
 Defined results: null or empty text has no ids and decodes to empty text; repeated rows are encoded
 each; further columns are ignored; an empty table gives an empty result.
@@ -28,8 +28,10 @@ from .common import batch, in_arrow, texts
 #: White space of the vocabulary's normaliser (the Unicode property), where Python's differs by the separators below.
 _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
-#: Stretches, and pre-tokens, that a generation of a process's memory holds.
-KNOWN = 1 << 17
+#: Stretches, or pre-tokens, that a generation of a process's memory holds, and the characters that it and they may take.
+KNOWN, KNOWN_CHARACTERS = 1 << 17, 16_000_000
+#: Characters of a stretch that is remembered; longer ones, as texts without white space are, are put together from pre-tokens each time.
+LONGEST_KNOWN = 64
 #: Bits of an id within one number.
 _ID = 24
 #: Letters and numbers that Unicode has since version 17 and planned ones, as ranges.  The library's classes are
@@ -45,6 +47,14 @@ _NEWER = (
 #: Capitals since version 16, and how far their small letters are from them.
 _NEWER_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC, **dict.fromkeys(range(0x10D50, 0x10D66), 32), **dict.fromkeys(range(0x16EA0, 0x16EB9), 27)}
 _LOWERED = {c: c + d for c, d in _NEWER_CAPITALS.items()}
+#: Marks that the library's normaliser doesn't know as such, as ranges, and one that it doesn't know to combine; to it they are letters.
+_LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C),
+    (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A),
+    (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_AT_LATER_MARKS = regex.compile("([" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _LATER_MARKS) + "])")
 _NEWER_CLASS = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _NEWER) + "]"
 _CAPITALS = regex.compile("[" + "".join(map(chr, _LOWERED)) + "]")
 _HAS_NEWER = regex.compile(_NEWER_CLASS)
@@ -58,15 +68,18 @@ def byte_characters() -> list[str]:
 
 
 class Memory(dict):
-    """Remembers what was asked for lately: two generations, of which the older one goes when the younger one is full."""
+    """Remembers what was asked for lately: two generations, of which the older one goes when the younger one is full, by number or by characters; long keys are not kept."""
 
-    def __init__(self, make, size: int = KNOWN):
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, make, size: int = KNOWN, characters: int = KNOWN_CHARACTERS):
+        self.make, self.size, self.most, self.held, self.old = make, size, characters, 0, {}
 
     def __missing__(self, key: str):
         found = self.old.get(key) or self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if len(key) > LONGEST_KNOWN:
+            return found
+        self.held += len(key) + len(found[0]) + len(found[1])
+        if len(self) >= self.size or self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = found
         return found
@@ -180,7 +193,7 @@ class Codec:
     def _normalised(text: str) -> list[str]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+                text = "".join([unicodedata.normalize("NFC", part) for part in _AT_LATER_MARKS.split(text)])
             text = text.replace("Σ", "σ")  # lower case is taken one character at a time, without final forms
             if _CAPITALS.search(text):
                 text = text.translate(_LOWERED)

@@ -1,12 +1,15 @@
 """Operators of one scan: token counts, codec, quality, source mix."""
 
 import hashlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from matchloom.llm import bpe_codec
 from matchloom.llm import quality as q
 from matchloom.llm.bpe_codec import Codec, encode_texts
 from matchloom.llm.queries import queries
@@ -42,8 +45,6 @@ def test_token_counts_of_awkward_rows(spark, awkward, empty, data):
 
 
 def test_codec_equals_the_library():
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
@@ -55,6 +56,50 @@ def test_codec_equals_the_library():
         assert ids == " ".join(map(str, want.ids)) and decoded == library.decode(want.ids, skip_special_tokens=False)
 
 
+def library():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def digests(tokenizer, text):
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False)))
+
+
+def test_codec_query_gives_the_library_s_digests(spark, data, awkward):
+    tokenizer = library()
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = {r.doc_id: digests(tokenizer, r.text or "") for r in docs.collect()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries()["op7_bpe_codec"](spark, data).collect()} == want
+    got = sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_texts(awkward, public_tokenizers.path("word_bpe_49k.json")).collect())
+    assert got == sorted((r.doc_id or 0, *digests(tokenizer, r.text or "")) for r in awkward.collect())
+
+
+def test_codec_orders_marks_as_the_library():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        codec = Codec(f.read())
+    tokenizer, rng = library(), np.random.default_rng(9)
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    later = [c for a, b in bpe_codec._LATER_MARKS for c in range(a, b + 1)]
+    texts = ["\u0344\U0001e4ee", "\U0001e134\u085a", "\U0001e01b\u08d1", "\u05af\U00010f83", "\U00011935\U00011930"]
+    for _ in range(4000):
+        texts.append("".join(chr(int(c)) for c in rng.choice([0x61, 0xC5, 0x1E9, *rng.choice(marks, 3), *rng.choice(later, 3)], 6)))
+    for text in texts:
+        assert codec.encode(text)[0] == " ".join(map(str, tokenizer.encode(text, add_special_tokens=False).ids)), ascii(text)
+
+
+def test_codec_memory_is_bounded_by_size():
+    made = []
+    memory = bpe_codec.Memory(lambda key: made.append(key) or (key, "x" * 90), size=1000, characters=1000)
+    for k in range(60):
+        assert memory[f"k{k}"][0] == f"k{k}"
+    assert sum(len(v[1]) for v in [*memory.values(), *memory.old.values()]) < 2000
+    long = "字" * 500
+    assert memory[long] == memory[long] and made.count(long) == 2
+
+
 def test_codec_of_awkward_rows(awkward, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = encode_texts(awkward, path, keep=True).collect()
