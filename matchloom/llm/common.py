@@ -54,7 +54,17 @@ def checkpointed(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     with batches_of(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step._step_path = path
+    return step
+
+
+def discarded(*steps: DataFrame) -> None:
+    """Deletes what `checkpointed` wrote for these frames, once all that reads them is written itself."""
+    for step in steps:
+        spark = step.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(step._step_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, counted, fold, in_arrow, texts
+from .common import batch, checkpointed, counted, discarded, fold, in_arrow, texts
 from .words import mix, signed, split_words
 
 #: In a chain's rows, the mark of a word's whole count; restaurants have the other numbers.
@@ -376,7 +376,7 @@ def score_pairs(pairs: DataFrame, model: DataFrame, contexts: DataFrame, totals:
     seats, words = model.where("context IS NOT NULL").drop("root_tables"), model.where("context IS NULL")
     root = words.agg(*[F.coalesce(F.sum(F.col("root_tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
     sent = seats.groupBy("context").agg(F.array(*sums).alias("sent"))
-    sent = checkpointed(contexts.select("context", "customers").join(sent, "context"), "lm-restaurants")
+    sent = checkpointed(contexts.select("context", "customers").join(sent, "context"), "lm-restaurants")  # a row for each distinct word
     every = sent.agg(*[F.coalesce(F.sum(F.col("sent")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
     root_customers, root_tables = np.array([float(x) for x in every]), np.array([float(x) for x in root])
     own = pairs.select("word", "context", "uses").join(seats.select("word", "context", "count", "tables"), ["word", "context"], "left")
@@ -445,6 +445,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = counts.withColumn("deal", F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(deals)))
     model = checkpointed(seat_all(counts, totals, of_pairs.v, seed), "lm-seats")
     scores = checkpointed(score_pairs(pairs, model, contexts, totals), "lm-scores")
+    discarded(unigrams, pairs, contexts, model)
     frequent = spark.sparkContext.broadcast(frequent_part(scores))
 
     def scan(batches):
