@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MatchingError
 from .rules import conflict_note, extra_confidence, lexical_confidence, lexical_kind, lexical_reason, needs_review, resolve_conflicts, status_of, status_reason
+from .units import converted
 
 
 class Decider(Protocol):
@@ -39,6 +40,7 @@ class LexicalDecider:
 
 ALIAS_REASON = "alias confirmado por el comprador para el codigo "
 MISSING_REASON = "ninguna linea de la oferta corresponde a este item solicitado"
+UNLIKE_UNITS = " (unidades distintas sin conversion conocida)"
 FAILED_REASON = "el modelo no devolvio una decision para esta linea"
 
 
@@ -54,13 +56,15 @@ def candidate_lists(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("line_no").agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
 
 
-def reconcile(offer: DataFrame, requisition: DataFrame, candidates: DataFrame, aliases: DataFrame | None = None, decider: Decider | None = None, review_brands: bool = False, check: bool = False) -> DataFrame:
+def reconcile(offer: DataFrame, requisition: DataFrame, candidates: DataFrame, aliases: DataFrame | None = None, decider: Decider | None = None, review_brands: bool = False, check: bool = False, conversions: DataFrame | None = None) -> DataFrame:
     """One row for each offer line, and one for each requested item that no line claims.
 
     `offer`: line_no, supplier_code, description, quantity, unit_price (decimals), flags; `requisition`: item_no,
     description, quantity; `candidates`: line_no, rank, item_no, description, score; `aliases`: supplier_code, item_no.
     `check`: raise on an empty side (two small jobs).  `review_brands`: also review brands to be confirmed, beyond the default rules.
-    A line whose decider failed is ambiguous and under review, not an extra.
+    A line whose decider failed is ambiguous and under review, not an extra.  `conversions` (item_no, from_unit, to_unit, factor, conflict; see units.closed):
+    quantities are compared in the requested unit, by the `unit_of_measure` of both sides; where units differ and no way leads from
+    one to the other, or ways disagree, quantities are compared as they stand and the line is under review.
     """
     if check and (offer.isEmpty() or requisition.isEmpty()):
         raise MatchingError("offer and requisition need at least one line each")
@@ -73,18 +77,25 @@ def reconcile(offer: DataFrame, requisition: DataFrame, candidates: DataFrame, a
         confirmed = aliased.select("line_no", "item_no", F.lit(1.0).alias("confidence"), F.concat(F.lit(ALIAS_REASON), "supplier_code").alias("reasoning"), F.lit("alias").alias("decided_by"), F.lit(False).alias("failed"))
         decided = decided.unionByName(confirmed)
     asked = requisition.select("item_no", F.col("description").alias("requested_description"), F.col("quantity").alias("requested_quantity"))
+    if conversions is not None:
+        asked = asked.join(requisition.select("item_no", F.col("unit_of_measure").alias("requested_unit")), "item_no")
     rows = lines.join(decided, "line_no", "left").join(asked, "item_no", "left")
+    if conversions is not None:
+        rows = converted(rows, conversions, "item_no", "quantity", "unit_of_measure", "requested_unit")
     matched = rows.where(F.col("requested_quantity").isNotNull()).withColumn("is_alternative", F.array_contains("flags", "alternative_line"))
     matched = resolve_conflicts(matched)
 
-    delta = F.col("quantity") - F.col("requested_quantity")
+    compared = F.col("quantity") if conversions is None else F.coalesce(F.col("converted_quantity").cast("decimal(14,3)"), "quantity")
+    unlike = F.lit(False) if conversions is None else F.col("conversion").isin("unknown", "conflict")
+    delta = compared - F.col("requested_quantity")
     total = (F.col("unit_price") * F.col("quantity")).cast("decimal(16,4)")
     status = F.coalesce("conflict_status", status_of(F.col("confidence"), delta, F.col("flags")))
     note = conflict_note(F.col("conflict_role"), F.col("conflict_status"), F.col("winner_line"), F.col("winner_confidence"), F.col("confidence"), F.col("losers"))
-    own = status_reason(F.col("confidence"), F.col("quantity"), F.col("requested_quantity"), F.col("flags"))
+    own = status_reason(F.col("confidence"), compared, F.col("requested_quantity"), F.col("flags"))
+    own = F.concat(own, F.when(unlike, UNLIKE_UNITS).otherwise(""))
     reason = F.when(F.col("conflict_role") == "loser", note).otherwise(F.concat("reasoning", F.lit(". "), F.coalesce(note, own)))
     brand = F.array_contains("flags", "brand_to_confirm") if review_brands else F.lit(False)
-    review = needs_review(status, F.col("confidence")) | F.col("conflict_role").isNotNull() | brand
+    review = needs_review(status, F.col("confidence")) | F.col("conflict_role").isNotNull() | brand | unlike
     empty = F.array().cast("array<struct<rank:int,item_no:bigint,description:string,score:double>>")
     listed = F.transform(F.coalesce("candidates", empty), lambda c: F.struct(c["rank"].cast("int").alias("rank"), c["item_no"].cast("long").alias("item_no"), c["description"].alias("description"), F.round(c["score"], 4).alias("score")))
     claimed = matched.select(

@@ -92,7 +92,8 @@ class Transaction:
     def _change(self, table: str) -> dict:
         return self.changes.setdefault(table, {"clear": False, "set": {}, "add": {}})
 
-    def _rewrite(self, table: str, touched: set[str], rows: DataFrame) -> None:
+    def rewrite(self, table: str, touched: set[str], rows: DataFrame) -> None:
+        """`rows` are all that the buckets `touched` hold from now on."""
         change, written = self._change(table), self.store._write(table, rows)
         for bucket in touched | set(written):
             change["set"][bucket] = written.get(bucket, [])
@@ -114,14 +115,14 @@ class Transaction:
         """Rows with new keys are added; of known keys the columns `update` (all, if None) are replaced."""
         if table not in KEYS:
             raise ConfigError("the table has no key", table=table)
-        staged, touched = self.store._staged(table, rows)
-        self._rewrite(table, touched, merged(self.read(table, touched), staged, list(KEYS[table]), update))
+        staged, touched = self.store.staged(table, rows)
+        self.rewrite(table, touched, merged(self.read(table, touched), staged, list(KEYS[table]), update))
 
     def replace_children(self, table: str, rows: DataFrame, parent: str) -> None:
         """All rows of the parents in `rows` go, then `rows` come: a rerun changes nothing."""
-        staged, touched = self.store._staged(table, rows)
+        staged, touched = self.store.staged(table, rows)
         buckets = touched if parent == BUCKET_BY[table] else None
-        self._rewrite(table, touched if buckets else set(self.state.tables.get(table, {})), replaced(self.read(table, buckets), staged, parent))
+        self.rewrite(table, touched if buckets else set(self.state.tables.get(table, {})), replaced(self.read(table, buckets), staged, parent))
 
     def update_from(self, table: str, rows: DataFrame, key: str, columns: list[str]) -> None:
         """UPDATE ... FROM: rows of the table with a key in `rows` get its `columns`; of several the greatest.  Only buckets with such rows are rewritten."""
@@ -131,7 +132,7 @@ class Transaction:
         else:
             touched = self.store._buckets_of(self.read(table).select(by, key).join(rows.select(key).distinct(), key, "left_semi").select(by))
         if touched:
-            self._rewrite(table, touched, updated_from(self.read(table, touched), rows, key, columns))
+            self.rewrite(table, touched, updated_from(self.read(table, touched), rows, key, columns))
 
     def clear(self, table: str) -> None:
         self.changes[table] = {"clear": True, "set": {}, "add": {}}
@@ -279,7 +280,7 @@ class Store:
         self._typed(table, rows).withColumn(_BUCKET, self._bucket(BUCKET_BY[table])).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/{table}/{name}")
         return {n.removeprefix(f"{_BUCKET}="): [f"{name}/{n}"] for n in self._names(f"{self.root}/{table}/{name}") if n.startswith(f"{_BUCKET}=")}
 
-    def _staged(self, table: str, rows: DataFrame) -> tuple[DataFrame, set[str]]:
+    def staged(self, table: str, rows: DataFrame) -> tuple[DataFrame, set[str]]:
         """Rows, computed once, with the columns given; and the buckets of their keys."""
         path = f"{self.root}/{table}/s-{uuid.uuid4().hex}"
         rows.write.parquet(path)
