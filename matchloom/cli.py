@@ -6,13 +6,14 @@ import argparse
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
 from .errors import EngineError, MatchingError
 from .functions.text import embedding_text, normalize_unit
-from .operators import comparison, similarity, summary
+from .observe import stage
+from .operators import comparison, providers, similarity, summary
 from .operators.cascade import reconcile
 from .operators.models import ensure_embeddings, stored_vectors
 from .operators.store import Store, Transaction, stable_id, to_lines
@@ -38,12 +39,16 @@ def process(store: Store, path: str, code: str) -> str:
     """Extracts an offer and stores it under a request; gives the offer's id.  Running it again changes nothing."""
     spark, kind = store.spark, offers.source_format(path)
     if kind == "xlsx":
-        headers, items, _ = offers.extract_xlsx(spark, path)
-        digest = F.sha2("content", 256)
-        hashed = spark.read.format("binaryFile").load(path).select("path", digest.alias("source_hash"))
-        headers = headers.join(hashed, "path")
+        headers, items, warnings = offers.extract_xlsx(spark, path)
+    elif path.lower().endswith(".pdf"):
+        raise EngineError("PDF files need the text of their pages: give a .txt file, pages set apart by form feeds", path=path)
     else:
-        raise EngineError("PDF pages need their text: use extract_pdf_text on (path, page, text)", path=path)
+        headers, items, warnings, unparsed = offers.extract_pdf_text(offers.read_page_texts(spark, path))
+        message = F.concat(F.lit("renglon sin leer en la pagina "), F.col("page").cast("string"), F.lit(": "), F.substring("line", 1, 120))
+        warnings = warnings.unionByName(unparsed.select("path", F.lit("unparsed_line").alias("code"), message.alias("message"), F.lit(None).cast("int").alias("line_no")))
+    hashed = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("source_hash"))
+    offers.require_items(hashed, items.select(plain_path(F.col("path")).alias("path")).join(hashed.select(F.col("path").alias("_p"), plain_path(F.col("path")).alias("path")), "path").select(F.col("_p").alias("path")))
+    headers = headers.withColumn("path", plain_path(F.col("path"))).join(hashed.withColumn("path", plain_path(F.col("path"))), "path")
     requisition = store.read("requisitions").where(F.col("code") == code).select(F.col("id").alias("requisition_id"))
     if requisition.isEmpty():
         raise MatchingError("no such request", code=code)
@@ -59,11 +64,21 @@ def process(store: Store, path: str, code: str) -> str:
         tx.upsert("providers", providers)
         tx.upsert("offers", offer, update=["quote_code", "quote_date", "terms", "source_format", "status"])
         tx.replace_children("offer_items", lines.select(stable_id("offer_id", "line_no").alias("id"), *[c for c in lines.columns if c != "path"]), "offer_id")
+        tx.replace_children("offer_warnings", warnings.select(F.lit(key).alias("offer_id"), "code", "message", "line_no"), "offer_id", also=[key])
 
     store.transact(put)
     return key
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path without the scheme that some readers put in front."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def warnings_of(store: Store, offer_id: str) -> DataFrame:
+    return store.of("offer_warnings", offer_id).orderBy(F.asc_nulls_first("line_no"), "code", "message")
+
+
 def sides(store: Store, offer_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(offer lines, requested items, confirmed aliases) of an offer."""
     offer = store.read("offers").where(F.col("id") == offer_id).first()
@@ -83,14 +98,16 @@ def embedded_text(rows: DataFrame, key: str) -> DataFrame:
 def ensure_requisition_embeddings(store: Store, requisition_id: str, settings: config.Config, force: bool = False) -> int:
     """Makes the vectors of a request's items that are not stored yet; gives how many."""
     items = store.of("requisition_items", requisition_id).select(F.col("raw_description").alias("description"), "unit_of_measure", "line_no")
-    return ensure_embeddings(store, embedded_text(items, "line_no"), dims=settings.dims, force=force)
+    model, embed = providers.embedder(settings)
+    return ensure_embeddings(store, embedded_text(items, "line_no"), model, settings.dims, embed, force)
 
 
 def candidates(store: Store, lines: DataFrame, items: DataFrame, settings: config.Config) -> DataFrame:
     """Candidates from stored vectors; those of lines or items that lack one are made and stored first."""
     own, theirs = embedded_text(lines, "line_no"), embedded_text(items, "item_no")
-    ensure_embeddings(store, own.select("text").unionByName(theirs.select("text")), dims=settings.dims)
-    found = similarity.top_k_sparse(stored_vectors(store, own, "line_no", dims=settings.dims), stored_vectors(store, theirs, "item_no", dims=settings.dims), settings.top_k)
+    model, embed = providers.embedder(settings)
+    ensure_embeddings(store, own.select("text").unionByName(theirs.select("text")), model, settings.dims, embed)
+    found = similarity.top_k_sparse(stored_vectors(store, own, "line_no", model, settings.dims), stored_vectors(store, theirs, "item_no", model, settings.dims), settings.top_k)
     return found.join(items.select("item_no", "description"), "item_no")
 
 
@@ -120,7 +137,7 @@ def run_report(store: Store, reconciliation_id: str, form: str, folder: str) ->
     lines, items, _ = sides(store, row.offer_id)
     stored = store.of("reconciliation_lines", reconciliation_id)
     rows = stored.withColumns({"line_no": F.col("offer_item_id").cast("long"), "item_no": F.col("requisition_item_id").cast("long"), "confidence": F.col("confidence").cast("double")})
-    loaded = report.load(head, summary.summarize(rows, items), lines, report.report_lines(rows, lines, items))
+    loaded = report.load(head, summary.summarize(rows, items), lines, report.report_lines(rows, lines, items), warnings_of(store, row.offer_id))
     path = os.path.join(folder, f"{report.report_name(row.requisition_code, row.source_filename)}.{form}")
     os.makedirs(folder, exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
@@ -156,6 +173,8 @@ def main(argv: list[str] | None = None) -> None:
         sub = commands.add_parser(name)
         for a in arguments:
             sub.add_argument(a, choices={"what": ["requisitions", "offers", "reconciliations"], "view": ["matrix", "best", "coverage", "award"]}.get(a))
+        if name == "reconcile":
+            sub.add_argument("--model", action="store_true", help="let the configured model decide; without it, or without a key, the lexical rule does")
         if name == "report":
             sub.add_argument("--format", choices=sorted(report.RENDERERS), default="md")
             sub.add_argument("--out", default="out")
@@ -163,12 +182,31 @@ def main(argv: list[str] | None = None) -> None:
     settings = config.load({"root": given.root})
     spark = SparkSession.builder.appName("matchloom").getOrCreate()
     store = Store(spark, settings.root)
+    with stage(given.command) as counts:
+        run(spark, store, given, settings, counts)
+
+
+#: Warnings that processing an offer prints.
+PRINTED_WARNINGS = 10
+
+
+def run(spark: SparkSession, store: Store, given: argparse.Namespace, settings: config.Config, counts: dict) -> None:
     if given.command == "seed":
-        print(seed(store, given.folder))
+        code = seed(store, given.folder)
+        requisition = store.read("requisitions").where(F.col("code") == code).first()
+        counts["vectors"] = ensure_requisition_embeddings(store, requisition.id, settings)
+        print(code)
     elif given.command == "process":
-        print(process(store, given.path, given.code))
+        key = process(store, given.path, given.code)
+        found = warnings_of(store, key)
+        counts["lines"], counts["warnings"] = store.of("offer_items", key).count(), found.count()
+        for w in found.limit(PRINTED_WARNINGS).collect():
+            print(f"[{w.code}] {w.message}")
+        if counts["warnings"] > PRINTED_WARNINGS:
+            print(f"... y {counts['warnings'] - PRINTED_WARNINGS} mas")
+        print(key)
     elif given.command == "reconcile":
-        key, found = run_reconcile(store, given.offer, settings)
+        key, found = run_reconcile(store, given.offer, settings, providers.decider(settings) if given.model else None)
         print(key, json.dumps(found.first().asDict(), default=str))
     elif given.command == "report":
         print(run_report(store, given.reconciliation, given.format, given.out))

@@ -17,6 +17,9 @@ class Config:
     top_k: int = 5
     dry_run: bool = True
     review_brands: bool = False
+    provider: str = ""
+    openai_key: str = ""
+    google_key: str = ""
 
     def __post_init__(self):
         if self.dims < 1 or self.top_k < 1:
@@ -31,7 +34,7 @@ def read_env_file(path: str) -> dict[str, str]:
     return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
 
 
-def load(given: dict | None = None, files: tuple[str, ...] = (".env",)) -> Config:
+def load(given: dict | None = None, files: tuple[str, ...] = (".env", ".env.demo")) -> Config:
     found: dict[str, str] = {}
     for source in [os.environ, *map(read_env_file, files)]:
         for key, value in source.items():

@@ -90,23 +90,23 @@ def require_arg_number(raw: Column) -> Column:
 
 # Supplier words for units.
 UNIT_WORDS = {
-    "unit": "unidad unidades un u uds ud c_u",
-    "meter": "metro metros mts mt m ml",
-    "roll": "rollo rollos rll",
-    "box": "caja cajas cja",
-    "bag": "bolsa bolsas",
-    "pack": "paquete paquetes pack paq",
-    "pair": "par pares",
-    "set": "set sets juego",
-    "kit": "kit kits",
-    "can": "lata latas",
-    "bucket": "balde baldes",
-    "drum": "bidon bidones",
-    "liter": "litro litros lt l",
-    "tube": "tubo tubos",
-    "cartridge": "cartucho cartuchos",
-    "sheet": "hoja hojas",
-    "jar": "pomo pomos",
+    "unit": ("unidad", "unidades", "un", "u", "uds", "ud", "c_u"),
+    "meter": ("metro", "metros", "mts", "mt", "m", "ml"),
+    "roll": ("rollo", "rollos", "rll"),
+    "box": ("caja", "cajas", "cja"),
+    "bag": ("bolsa", "bolsas"),
+    "pack": ("paquete", "paquetes", "pack", "paq"),
+    "pair": ("par", "pares"),
+    "set": ("set", "sets", "juego"),
+    "kit": ("kit", "kits"),
+    "can": ("lata", "latas"),
+    "bucket": ("balde", "baldes"),
+    "drum": ("bidon", "bidones"),
+    "liter": ("litro", "litros", "lt", "l"),
+    "tube": ("tubo", "tubos"),
+    "cartridge": ("cartucho", "cartuchos"),
+    "sheet": ("hoja", "hojas"),
+    "jar": ("pomo", "pomos"),
 }
 
 
@@ -114,7 +114,7 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 
 
-UNIT_OF_WORD = {word: unit for unit, words in UNIT_WORDS.items() for word in words.split()}
+UNIT_OF_WORD = {word: unit for unit, words in UNIT_WORDS.items() for word in words}
 
 
 def normalize_unit(raw: Column) -> Column:

@@ -6,6 +6,8 @@ clients must give the same answer to the same batch.
 
 from __future__ import annotations
 
+import inspect
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from ..errors import ExtractionError
 from ..functions.features import DIMS, sparse_embedding, text_hash
 from ..observe import observed
+from ..sources import offers
+from ..written import written
+from .lines import cross_check
 from .rules import lexical_confidence, lexical_kind
 from .store import Store
 
@@ -72,8 +77,13 @@ def stand_in_match(requests: list[dict]) -> list[dict]:
     return out
 
 
-def extract_lines(lines: DataFrame, client: Callable[[list[str]], list[dict]], batch: int = LINE_BATCH) -> DataFrame:
-    """path and the texts of line fields that `client` reads from batches of text lines; a failed batch is one row with `failed`."""
+def extract_lines(lines: DataFrame, client: Callable[..., list[dict]], batch: int = LINE_BATCH) -> DataFrame:
+    """path, the texts of line fields that `client` reads from batches of text lines, failed and mismatch.
+
+    `client(texts)`; after an error it is asked once more, as `client(texts, error)`, where it takes two arguments, so that it can mend
+    what was wrong.  A batch that fails twice is one row with `failed`; `mismatch` marks the rows of a batch that gave another number of lines.
+    """
+    told = len(inspect.signature(client).parameters) > 1
     fields = ["line_no", "supplier_code", "offered_description", "offered_quantity", "unit", "unit_price", "notes"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,18 +92,45 @@ def extract_lines(lines: DataFrame, client: Callable[[list[str]], list[dict]], b
             for path, part in frame.groupby("path", sort=False):
                 texts = part["line"].tolist()
                 for at in range(0, len(texts), batch):
+                    part = texts[at : at + batch]
                     try:
-                        found = client(texts[at : at + batch])
-                    except Exception:
+                        found = client(part)
+                    except Exception as first:
                         try:
-                            found = client(texts[at : at + batch])
+                            found = client(part, str(first)) if told else client(part)
                         except Exception:
-                            rows.append((path, *[None] * len(fields), True))
+                            rows.append((path, *[None] * len(fields), True, False))
                             continue
-                    rows += [(path, *[None if f.get(k) is None else str(f[k]) for k in fields], False) for f in found]
-            yield pd.DataFrame(rows, columns=["path", *fields, "failed"])
+                    rows += [(path, *[None if f.get(k) is None else str(f[k]) for k in fields], False, len(found) != len(part)) for f in found]
+            yield pd.DataFrame(rows, columns=["path", *fields, "failed", "mismatch"])
+
+    return lines.where("part = 'body'").select("path", "line").mapInPandas(run, "path string, " + ", ".join(f"{f} string" for f in fields) + ", failed boolean, mismatch boolean")
 
-    return lines.where("part = 'body'").select("path", "line").mapInPandas(run, "path string, " + ", ".join(f"{f} string" for f in fields) + ", failed boolean")
+
+def extract_pdf_with_model(pages: DataFrame, client: Callable[..., list[dict]], batch: int = LINE_BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, items, warnings) of page texts (path, page, text), lines read by the model and checked against those that patterns read.
+
+    Warnings: those of the lines, failed batches, batches of another number of lines, and differences from the lines that
+    patterns could read.
+    """
+    headers, reference, _, _ = offers.extract_pdf_text(pages)
+    read = written(extract_lines(offers.page_lines(pages), client, batch), "model-lines")
+    numbered = read.where("NOT failed").withColumn("line_no", F.col("line_no").try_cast("int")).where("line_no IS NOT NULL")
+    numbered = numbered.withColumns({"order": F.monotonically_increasing_id(), "unit_price_is_number": F.lit(False), "offered_quantity_is_number": F.lit(False)})
+    items, found = offers.offer_items(numbered, "order", strict=False)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct("path", "line_no").alias("line_no"), "unit_price", F.col("offered_quantity").alias("quantity"), "supplier_code")
+
+    off = cross_check(keyed(items), keyed(reference)).select(
+        F.col("line_no.path").alias("path"), "code",
+        F.concat(F.lit("linea "), F.col("line_no.line_no").cast("string"), F.when(F.col("field") == "line", " no fue leida por el modelo").otherwise(F.concat(F.lit(": "), "field", F.lit(" leido "), F.coalesce("read_value", F.lit("-")), F.lit(" contra "), F.coalesce("reference_value", F.lit("-"))))).alias("message"),
+        F.col("line_no.line_no").alias("line_no"),
+    )
+    none = F.lit(None).cast("int").alias("line_no")
+    failed = read.where("failed").select("path", F.lit("llm_failed").alias("code"), F.lit("un lote de renglones fallo dos veces").alias("message"), none)
+    counts = read.where("mismatch").select("path", F.lit("llm_retry").alias("code"), F.lit("el modelo devolvio otra cantidad de lineas que las dadas").alias("message"), none).distinct()
+    return headers, items, found.unionByName(offers.gap_warnings(items)).unionByName(off).unionByName(failed).unionByName(counts)
 
 
 def hashed_vectors(misses: DataFrame, dims: int) -> DataFrame:
@@ -103,7 +140,7 @@ def hashed_vectors(misses: DataFrame, dims: int) -> DataFrame:
 
 
 def client_vectors(client: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> Callable[[DataFrame, int], DataFrame]:
-    """An embedder that asks `client` for the vectors of `batch` texts at a time; each must be of the width asked for."""
+    """An embedder that asks `client` for the vectors of `batch` texts at a time; each must be of the width asked for, and is brought to length 1."""
 
     def embed(misses: DataFrame, dims: int) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +150,8 @@ def client_vectors(client: Callable[[list[str]], list[list[float]]], batch: int
                     vectors = client(part["text"].tolist())
                     if len(vectors) != len(part) or any(len(v) != dims for v in vectors):
                         raise ExtractionError("the model gave vectors of another number or width", expected=f"{len(part)} x {dims}", widths=sorted({len(v) for v in vectors}))
-                    sparse = [[{"index": k, "weight": float(x)} for k, x in enumerate(v) if x] for v in vectors]
+                    lengths = [math.sqrt(math.fsum(x * x for x in v)) or 1.0 for v in vectors]
+                    sparse = [[{"index": k, "weight": float(x) / n} for k, x in enumerate(v) if x] for v, n in zip(vectors, lengths, strict=True)]
                     yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": sparse})
 
         return misses.select("text_hash", "text").mapInPandas(run, "text_hash string, vector array<struct<index: int, weight: double>>")

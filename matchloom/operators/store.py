@@ -118,11 +118,16 @@ class Transaction:
         staged, touched = self.store.staged(table, rows)
         self.rewrite(table, touched, merged(self.read(table, touched), staged, list(KEYS[table]), update))
 
-    def replace_children(self, table: str, rows: DataFrame, parent: str) -> None:
-        """All rows of the parents in `rows` go, then `rows` come: a rerun changes nothing."""
+    def replace_children(self, table: str, rows: DataFrame, parent: str, also: list | None = None) -> None:
+        """All rows of the parents in `rows`, and of those in `also`, go, then `rows` come: a rerun changes nothing."""
         staged, touched = self.store.staged(table, rows)
-        buckets = touched if parent == BUCKET_BY[table] else None
-        self.rewrite(table, touched if buckets else set(self.state.tables.get(table, {})), replaced(self.read(table, buckets), staged, parent))
+        gone = self.store.spark.createDataFrame([(value,) for value in also or []], T.StructType([TABLES[table][parent]]))
+        if parent == BUCKET_BY[table]:
+            touched |= self.store._buckets_of(gone)
+            buckets = touched
+        else:
+            touched, buckets = touched | set(self.state.tables.get(table, {})), None
+        self.rewrite(table, touched, replaced(self.read(table, buckets), staged, parent, gone))
 
     def update_from(self, table: str, rows: DataFrame, key: str, columns: list[str]) -> None:
         """UPDATE ... FROM: rows of the table with a key in `rows` get its `columns`; of several the greatest.  Only buckets with such rows are rewritten."""
@@ -396,9 +401,11 @@ def migrate(store: Store, steps: list[Migration]) -> tuple[list[str], list[str]]
     return applied, changed
 
 
-def replaced(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """`old` without the rows of the parents in `new`, and `new`; columns that `new` lacks are null."""
+def replaced(old: DataFrame, new: DataFrame, parent: str, also: DataFrame | None = None) -> DataFrame:
+    """`old` without the rows of the parents in `new` (and in `also`), and `new`; columns that `new` lacks are null."""
     parents = new.select(F.col(parent).alias("_parent")).distinct()
+    if also is not None:
+        parents = parents.union(also.distinct())
     return old.join(parents, F.col(parent).eqNullSafe(F.col("_parent")), "left_anti").unionByName(new, allowMissingColumns=True).select(old.columns)
 
 

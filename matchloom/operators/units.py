@@ -16,7 +16,7 @@ from ..written import written
 #: Relative difference of two ways between units that is not a contradiction.
 TOLERANCE = 1e-6
 _CONTAINERS = ("roll", "box", "bag", "pack", "set", "kit", "can", "bucket", "drum", "tube", "jar")
-_WORDS = {kind: "|".join(sorted((w.replace("_", "/?") for u in units for w in UNIT_WORDS[u].split()), key=len, reverse=True)) for kind, units in (("container", _CONTAINERS), ("content", tuple(UNIT_WORDS)))}
+_WORDS = {kind: "|".join(sorted((w.replace("_", "/?") for u in units for w in UNIT_WORDS[u]), key=len, reverse=True)) for kind, units in (("container", _CONTAINERS), ("content", tuple(UNIT_WORDS)))}
 #: A container, a word that joins, a number, and what it counts: `rollo x 100 m`, `caja de 12 unidades`.
 PACK = rf"\b({_WORDS['container']})\s*(?:x|de|por|con)\s*(\d+(?:[.,]\d+)*)\s*({_WORDS['content']})\b"
 

@@ -35,6 +35,7 @@ TABLES: dict[str, T.StructType] = {
     "reconciliations": _struct(id=S, offer_id=S, requisition_id=S, summary=S, created_at=T.TimestampType()),
     "reconciliation_lines": _struct(reconciliation_id=S, requisition_item_id=S, offer_item_id=S, status=S, confidence=CONFIDENCE, quantity_delta=QUANTITY, price_total=TOTAL, reasoning=S, candidates=T.ArrayType(CANDIDATE), needs_review=B, decided_by=S),
     "supplier_item_aliases": _struct(id=S, provider_id=S, supplier_code=S, item_id=S, confirmed_at=T.TimestampType()),
+    "offer_warnings": _struct(offer_id=S, code=S, message=S, line_no=I),
     "alias_votes": _struct(provider_id=S, supplier_code=S, item_id=S, yes=L, no=L, first_yes=T.TimestampType(), last_yes=T.TimestampType(), last_no=T.TimestampType()),
 }
 
@@ -61,6 +62,7 @@ BUCKET_BY: dict[str, str] = {
     "reconciliations": "offer_id",
     "reconciliation_lines": "reconciliation_id",
     "supplier_item_aliases": "provider_id",
+    "offer_warnings": "offer_id",
     "alias_votes": "provider_id",
     "text_embeddings": "text_hash",
 }

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,16 +15,17 @@ from pyspark.sql import functions as F
 
 from ..errors import ExtractionError
 from ..functions.text import canon, cell_text, collapsed, folded, normalize_date, normalize_iso_date, normalize_unit, number_is_unreadable, parse_arg_number, parse_description, parse_notes
+from ..operators.lines import line_gaps
 
 # Labels of columns and of the header block, in canonical form.
 COLUMN_LABELS = {
-    "line_no": "lineno linea line nro numero item nrolinea",
-    "supplier_code": "suppliercode codigoproveedor codigo code sku articulo",
-    "offered_description": "offereddescription descripcionofertada descripcion description detalle producto",
-    "offered_quantity": "offeredquantity cantidadofertada cantidad quantity qty cant",
-    "unit": "unit unidad unidaddemedida unitofmeasure um medida",
-    "unit_price": "unitprice preciounitario preciounit precio price punitario",
-    "notes": "notes notas observaciones observacion comentarios nota",
+    "line_no": ("lineno", "linea", "line", "nro", "numero", "item", "nrolinea"),
+    "supplier_code": ("suppliercode", "codigoproveedor", "codigo", "code", "sku", "articulo"),
+    "offered_description": ("offereddescription", "descripcionofertada", "descripcion", "description", "detalle", "producto"),
+    "offered_quantity": ("offeredquantity", "cantidadofertada", "cantidad", "quantity", "qty", "cant"),
+    "unit": ("unit", "unidad", "unidaddemedida", "unitofmeasure", "um", "medida"),
+    "unit_price": ("unitprice", "preciounitario", "preciounit", "precio", "price", "punitario"),
+    "notes": ("notes", "notas", "observaciones", "observacion", "comentarios", "nota"),
 }
 HEADER_DEPTH = 25
 HEADER_LABELS = {
@@ -35,9 +37,11 @@ HEADER_LABELS = {
 QUOTE_CODE = r"\b[A-Z][A-Z0-9]{1,5}(?:-[A-Z0-9]+){2,}\b"
 TABLE_HEADER_TOKENS = ("linea", "codigo proveedor", "descripcion ofertada", "cantidad", "unidad", "precio unit")
 ROW_UNITS = (
-    "unidad unidades metro metros rollo rollos caja cajas bolsa bolsas paquete paquetes pack par pares set sets kit kits lata latas balde baldes "
-    "bidon bidones litro litros tubo tubos cartucho cartuchos hoja hojas pomo pomos juego mts un u"
-).split()
+    "unidad", "unidades", "metro", "metros", "rollo", "rollos", "caja", "cajas", "bolsa", "bolsas", "paquete", "paquetes",
+    "pack", "par", "pares", "set", "sets", "kit", "kits", "lata", "latas", "balde", "baldes", "bidon",
+    "bidones", "litro", "litros", "tubo", "tubos", "cartucho", "cartuchos", "hoja", "hojas", "pomo", "pomos", "juego",
+    "mts", "un", "u",
+)
 ROW = (
     r"(?i)^(\d{1,4})\s+([A-Z]{2,5}-[A-Z0-9]{3,8})\s+(.+?)\s+(\d[\d.]*(?:,\d+)?)\s+("
     + "|".join(ROW_UNITS)
@@ -48,37 +52,58 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REF = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str, bool]]:
-    """Row, column (from 0), text and whether it is a number, of the first sheet of a workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+def _strings(book: zipfile.ZipFile) -> list[str]:
+    """The strings that cells name by number."""
+    out = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as part:
+            for _, element in ElementTree.iterparse(part):
+                if element.tag == f"{_MAIN}si":
+                    out.append("".join(t.text or "" for t in element.iter(f"{_MAIN}t")))
+                    element.clear()
+    return out
+
+
+def sheet_cells(file) -> Iterator[tuple[int, int, str, bool]]:
+    """Row, column (from 0), text and whether it is a number, of the first sheet of a workbook (bytes, or a file or its name), a row at a time."""
+    with zipfile.ZipFile(io.BytesIO(file) if isinstance(file, bytes) else file) as book:
+        shared = _strings(book)
         first = next(iter(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         target = targets[first.get(_REF)].lstrip("/")
-        sheet = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
-    for cell in sheet.iter(f"{_MAIN}c"):
-        place = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r"))
-        column = 0
-        for letter in place[1]:
-            column = column * 26 + ord(letter) - 64
-        kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
-        if kind == "inlineStr":
-            yield int(place[2]) - 1, column - 1, "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")), False
-        elif value is not None and value.text is not None:
-            yield int(place[2]) - 1, column - 1, shared[int(value.text)] if kind == "s" else value.text, kind == "n"
+        with book.open(target if target.startswith("xl/") else f"xl/{target}") as sheet:
+            for _, element in ElementTree.iterparse(sheet):
+                if element.tag == f"{_MAIN}row":
+                    for cell in element.iter(f"{_MAIN}c"):
+                        yield from _cell(cell, shared)
+                    element.clear()  # so that no more than a row is held
+
+
+def _cell(cell: ElementTree.Element, shared: list[str]) -> Iterator[tuple[int, int, str, bool]]:
+    place = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r"))
+    column = 0
+    for letter in place[1]:
+        column = column * 26 + ord(letter) - 64
+    kind, value = cell.get("t", "n"), cell.find(f"{_MAIN}v")
+    if kind == "inlineStr":
+        yield int(place[2]) - 1, column - 1, "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")), False
+    elif value is not None and value.text is not None:
+        yield int(place[2]) - 1, column - 1, shared[int(value.text)] if kind == "s" else value.text, kind == "n"
+
+
+#: Cells that a task hands on at a time.
+CELLS = 20_000
 
 
 def read_xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    """path, source_hash, row, column, value, is_number of the first sheets of all files at `path`; a file is one task's work."""
+    """path, source_hash, row, column, value, is_number of the first sheets of all files at `path`, wherever Spark can read them; a file is one task's work."""
 
     def cells(frames):
         for frame in frames:
             for name, content, key in zip(frame.path, frame.content, frame.source_hash, strict=True):
-                found = pd.DataFrame(list(sheet_cells(bytes(content))), columns=["row", "column", "value", "is_number"])
-                yield found.assign(path=name, source_hash=key)[["path", "source_hash", "row", "column", "value", "is_number"]]
+                found = sheet_cells(bytes(content))
+                while part := list(islice(found, CELLS)):
+                    yield pd.DataFrame(part, columns=["row", "column", "value", "is_number"]).assign(path=name, source_hash=key)[["path", "source_hash", "row", "column", "value", "is_number"]]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("source_hash"))
     return files.mapInPandas(cells, "path string, source_hash string, row int, column int, value string, is_number boolean")
@@ -86,7 +111,7 @@ def read_xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def header_columns(cells: DataFrame) -> DataFrame:
     """path, header_row, field, column: of the first HEADER_DEPTH rows the one with most fields, the first on ties."""
-    labels = [(field, label) for field, known in COLUMN_LABELS.items() for label in known.split()]
+    labels = [(field, label) for field, known in COLUMN_LABELS.items() for label in known]
     known = cells.sparkSession.createDataFrame(labels, "field string, label string")
     hits = cells.where(F.col("row") < HEADER_DEPTH).withColumn("label", canon(F.col("value"))).join(F.broadcast(known), "label")
     hits = hits.groupBy("path", "row", "field").agg(F.min("column").alias("column"))
@@ -95,6 +120,12 @@ def header_columns(cells: DataFrame) -> DataFrame:
     return hits.join(best.select("path", "row"), ["path", "row"]).select("path", F.col("row").alias("header_row"), "field", "column")
 
 
+def file_provider(path: Column) -> Column:
+    """A provider's name from that of its file."""
+    file = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.[A-Za-z]+)+$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(file, "(?i)^oferta[_-]", ""), "[_-]+", " "))
+
+
 def xlsx_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """path, provider_name, quote_code, quote_date, terms and provider_from_name: from labels in A and values in B before the table."""
     head = columns.select("path", "header_row").distinct()
@@ -106,15 +137,14 @@ def xlsx_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
     found["quote_code"] = F.coalesce(found["quote_code"], loose)
     first = [F.min_by(F.col(f"_{f}"), F.when(F.col(f"_{f}").isNotNull(), F.col("row"))).alias(f) for f in found]
     named = rows.select("path", "row", *[c.alias(f"_{f}") for f, c in found.items()]).groupBy("path").agg(*first)
-    file = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
-    fallback = F.trim(F.regexp_replace(F.regexp_replace(file, "(?i)^oferta[_-]", ""), "[_-]+", " "))
+    fallback = file_provider(F.col("path"))
     named = head.select("path").join(named, "path", "left")
     return named.select("path", F.coalesce("provider_name", fallback).alias("provider_name"), "quote_code", "quote_date", "terms", F.col("provider_name").isNull().alias("provider_from_name"))
 
 
 def xlsx_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """path, row and the text of each field; numbers keep `<field>_is_number`.  Rows without a description go."""
-    body = cells.join(F.broadcast(columns), ["path", "column"]).where("row > header_row")
+    body = cells.join(columns, ["path", "column"]).where("row > header_row")
     wide = body.groupBy("path", "source_hash", "row").agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in COLUMN_LABELS],
         *[F.bool_or((F.col("field") == f) & F.col("is_number")).alias(f"{f}_is_number") for f in COLUMN_LABELS],
@@ -134,7 +164,8 @@ def numbered_rows(rows: DataFrame) -> DataFrame:
     The largest so far after a row is the greatest, over explicit numbers before it, of that number plus the
     unnumbered rows since; a running maximum of number minus unnumbered rows so far gives it.
     """
-    given = F.floor(_number("line_no")).cast("int")
+    bad = ~F.coalesce(F.col("line_no_is_number"), F.lit(False)) & F.coalesce(number_is_unreadable(cell_text(F.col("line_no"))), F.lit(False))
+    given = F.when(bad, F.raise_error(F.concat(F.lit("unreadable line number in row "), (F.col("row") + 1).cast("string"), F.lit(": "), F.col("line_no"))).cast("int")).otherwise(F.floor(_number("line_no")).cast("int"))
     explicit = F.when(given > 0, given)
     so_far = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_given", explicit).withColumn("_missing", F.sum(F.when(F.col("_given").isNull(), 1).otherwise(0)).over(so_far))
@@ -180,12 +211,33 @@ def offer_items(rows: DataFrame, order: str, strict: bool = True) -> tuple[DataF
     return items, warnings
 
 
+def gap_warnings(items: DataFrame) -> DataFrame:
+    """A warning for each hole in the numbers of a document's lines."""
+    gaps = line_gaps(items.select("path", "line_no"), ["path"])
+    message = F.concat(F.lit("faltan "), F.col("missing").cast("string"), F.lit(" linea(s) a partir de la "), F.col("line_no").cast("string"))
+    return gaps.select("path", F.lit("line_gap").alias("code"), message.alias("message"), F.col("line_no").cast("int").alias("line_no"))
+
+
+def provider_warnings(headers: DataFrame) -> DataFrame:
+    """A warning for each document whose provider is taken from its file name."""
+    message = F.concat(F.lit("el documento no nombra al proveedor; se usa el nombre del archivo: "), F.col("provider_name"))
+    return headers.where("provider_from_name").select("path", F.lit("header_fallback").alias("code"), message.alias("message"), F.lit(None).cast("int").alias("line_no"))
+
+
+def require_items(paths: DataFrame, items: DataFrame) -> None:
+    """Raises if some document (path) has no line; names up to ten."""
+    without = [r.path for r in paths.select("path").distinct().join(items.select("path").distinct(), "path", "left_anti").orderBy("path").limit(10).collect()]
+    if without:
+        raise ExtractionError("no lines were found", paths=without)
+
+
 def extract_xlsx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(headers, items, warnings) of all workbooks at `path`."""
     cells = read_xlsx_cells(spark, path)
     columns = header_columns(cells)
+    headers = xlsx_header(cells, columns)
     items, warnings = offer_items(numbered_rows(xlsx_rows(cells, columns)), "row")
-    return xlsx_header(cells, columns), items, warnings
+    return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers))
 
 
 def is_table_header(line: Column) -> Column:
@@ -238,14 +290,23 @@ def extract_pdf_text(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     lines = page_lines(pages)
     rows, unparsed = pdf_rows(lines)
     items, warnings = offer_items(rows, "order", strict=False)
-    return pdf_header(lines), items, warnings, unparsed
+    named = pages.select("path").distinct().join(pdf_header(lines), "path", "left")
+    headers = named.withColumn("provider_from_name", F.col("provider_name").isNull()).withColumn("provider_name", F.coalesce("provider_name", file_provider(F.col("path"))))
+    return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers)), unparsed
+
+
+def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, page (from 1), text of text files whose pages are set apart by form feeds, as extractors of PDF text write them."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\f").alias("_pages"))
+    pages = whole.select("path", F.posexplode("_pages").alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return pages.where(F.length(F.trim("text")) > 0)
 
 
 def source_format(path: str) -> str:
-    """xlsx or pdf, by the file's ending."""
+    """xlsx, or pdf (the text of its pages), by the file's ending."""
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in ("xlsx", "xlsm", "xls"):
         return "xlsx"
-    if ending == "pdf":
+    if ending in ("pdf", "txt"):
         return "pdf"
     raise ExtractionError("unknown kind of file", path=path)

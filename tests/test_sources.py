@@ -30,7 +30,7 @@ def workbook(path, rows):
 
 def test_xlsx(spark, tmp_path):
     workbook(tmp_path / "oferta_norte.xlsx", [
-        ["Cotizacion COT-OFN-2026-051"], ["Fecha", "20/05/2026"], ["Condiciones", "7 dias"], [],
+        ["Cotizacion QQ-ABC-77-3"], ["Fecha", "20/05/2026"], ["Condiciones", "7 dias"], [],
         ["Línea", "Código", "Descripción", "Cantidad", "Unidad", "Precio unitario", "Notas"],
         [1, "A-1", "Equivalente tecnico Cable", "1.000", "mts", "1.234,50", "stock parcial"],
         [None, "A-2", "Tubo", 1.234, "barril", "a confirmar", "algo"],
@@ -41,15 +41,47 @@ def test_xlsx(spark, tmp_path):
     ])
     headers, items, warnings = offers.extract_xlsx(spark, str(tmp_path))
     h = headers.first()
-    assert (h.provider_name, h.quote_code, h.quote_date, h.terms, h.provider_from_name) == ("norte", "COT-OFN-2026-051", "2026-05-20", "7 dias", True)
+    assert (h.provider_name, h.quote_code, h.quote_date, h.terms, h.provider_from_name) == ("norte", "QQ-ABC-77-3", "2026-05-20", "7 dias", True)
     got = {r.line_no: r for r in items.collect()}
     assert sorted(got) == [1, 2, 3, 7]
     assert (got[1].offered_description, float(got[1].offered_quantity), got[1].unit_of_measure, float(got[1].unit_price), got[1].flags) == ("Cable", 1000.0, "meter", 1234.5, ["technical_equivalent", "partial_stock"])
     # A number cell is no text: three decimals are decimals.
     assert (float(got[2].offered_quantity), got[2].unit_price, float(got[3].unit_price)) == (1.234, None, 3.125)
     assert got[7].supplier_code == "A-7"
-    codes = sorted((w.line_no, w.code) for w in warnings.collect())
-    assert codes == [(2, "missing_price"), (2, "missing_price"), (2, "unknown_note"), (2, "unknown_unit"), (7, "duplicate_line")]
+    codes = sorted(((w.line_no, w.code) for w in warnings.collect()), key=lambda w: (w[0] or 0, w[1]))
+    assert codes == [(None, "header_fallback"), (2, "missing_price"), (2, "missing_price"), (2, "unknown_note"), (2, "unknown_unit"), (4, "line_gap"), (7, "duplicate_line")]
+
+
+def test_what_cannot_be_read_fails(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["Linea", "Descripcion", "Cantidad"], ["uno", "Cable", 1]])
+    with pytest.raises(Exception, match="unreadable line number in row 2: uno"):
+        offers.extract_xlsx(spark, str(tmp_path))[1].collect()
+    workbook(tmp_path / "a.xlsx", [["Linea", "Descripcion", "Cantidad"], [1, None, 1]])
+    workbook(tmp_path / "b.xlsx", [["Linea", "Descripcion", "Cantidad"], [1, "Cable", 1]])
+    cells = offers.read_xlsx_cells(spark, str(tmp_path))
+    with pytest.raises(ExtractionError, match="a.xlsx") as e:
+        offers.require_items(cells, offers.extract_xlsx(spark, str(tmp_path))[1])
+    assert "b.xlsx" not in str(e.value)
+
+
+def test_sheets_are_read_a_row_at_a_time(tmp_path):
+    workbook(tmp_path / "big.xlsx", [["Descripcion", "Cantidad"], *[[f"cosa {k}", k] for k in range(3000)]])
+    import tracemalloc
+
+    tracemalloc.start()
+    count = sum(1 for _ in offers.sheet_cells(str(tmp_path / "big.xlsx")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 6002 and peak < 2_500_000
+
+
+def test_page_texts(spark, tmp_path):
+    (tmp_path / "oferta_vivero-dos.txt").write_text("Fecha: 2026-01-02\nLinea Codigo proveedor Descripcion ofertada Cantidad Unidad Precio unit.\n1 FER-0X200 Soga 3 metro 4,00\f\n4 FER-0X201 Cinta 2 rollo 5,00\f")
+    pages = offers.read_page_texts(spark, str(tmp_path))
+    assert sorted(r.page for r in pages.collect()) == [1, 2]
+    headers, items, warnings, _ = offers.extract_pdf_text(pages)
+    assert (headers.first().provider_name, headers.first().quote_date) == ("vivero dos", "2026-01-02") and items.count() == 2
+    assert sorted((w.code, w.line_no, w.message[:8]) for w in warnings.collect()) == [("header_fallback", None, "el docum"), ("line_gap", 2, "faltan 2")]
 
 
 def test_missing_quantity_fails(spark, tmp_path):
@@ -61,19 +93,19 @@ def test_missing_quantity_fails(spark, tmp_path):
 def test_pdf_lines(spark):
     head = "Linea Codigo proveedor Descripción ofertada Cantidad Unidad Precio unit. Notas"
     pages = [
-        ("a.pdf", 1, f"Proveedor: Norte SA\nCotización: COT-OFN-2026-051\nFecha: 2026-05-20\n{head}\n1 MIS-00110 Conductor flexible 1.5 mm2 rojo 1000 metro 441,35\nPagina 1 de 2"),
-        ("a.pdf", 2, f"{head}\n2  MIS-00111 Rollo cinta 12 rollo 1.300,00 bulto minimo\nuna linea suelta\n2 / 2"),
+        ("a.pdf", 1, f"Proveedor: Vivero Uno SA\nCotización: QQ-ABC-77-3\nFecha: 2026-05-20\n{head}\n1 FER-0X200 Manguera de riego 3/4 verde 1500 metro 87,20\nPagina 1 de 2"),
+        ("a.pdf", 2, f"{head}\n2  FER-0X201 Cinta de papel 12 rollo 1.300,00 bulto minimo\nuna linea suelta\n2 / 2"),
     ]
     headers, items, warnings, unparsed = offers.extract_pdf_text(spark.createDataFrame(pages, "path string, page int, text string"))
     h = headers.first()
-    assert (h.provider_name, h.quote_code, h.quote_date) == ("Norte SA", "COT-OFN-2026-051", "2026-05-20")
+    assert (h.provider_name, h.quote_code, h.quote_date) == ("Vivero Uno SA", "QQ-ABC-77-3", "2026-05-20")
     got = {r.line_no: r for r in items.collect()}
-    assert (got[1].offered_description, float(got[1].offered_quantity), float(got[1].unit_price)) == ("Conductor flexible 1.5 mm2 rojo", 1000.0, 441.35)
+    assert (got[1].offered_description, float(got[1].offered_quantity), float(got[1].unit_price)) == ("Manguera de riego 3/4 verde", 1500.0, 87.20)
     assert got[2].flags == ["min_order_qty"] and got[2].unit_of_measure == "roll"
     assert [r.line for r in unparsed.collect()] == ["una linea suelta"] and warnings.count() == 0
 
 
-@pytest.mark.parametrize("line, want", [("Linea Codigo proveedor Descripcion ofertada Cantidad", True), ("Cantidad de cable", False), ("1 MIS-00110 Cable 3 metro 4,00", False)])
+@pytest.mark.parametrize("line, want", [("Linea Codigo proveedor Descripcion ofertada Cantidad", True), ("Cantidad de cable", False), ("1 FER-0X200 Soga 3 metro 4,00", False)])
 def test_table_header(spark, line, want):
     assert spark.range(1).select(offers.is_table_header(F.lit(line)).alias("x")).first().x is want
 
