@@ -29,7 +29,7 @@ from .common import batch, in_arrow, texts
 _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
 #: Stretches, or pre-tokens, that a generation of a process's memory holds, and the characters that it and they may take.
-KNOWN, KNOWN_CHARACTERS = 1 << 17, 16_000_000
+KNOWN, KNOWN_CHARACTERS = 1 << 16, 6_000_000
 #: Characters of a stretch that is remembered; longer ones, as texts without white space are, are put together from pre-tokens each time.
 LONGEST_KNOWN = 64
 #: Bits of an id within one number.
