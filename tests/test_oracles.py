@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from matchloom.plans import catalog, kept, learned, market  # noqa: F401
+from matchloom.plans import catalog, kept, learned, market, strict  # noqa: F401
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
