@@ -90,7 +90,7 @@ def reconcile(offer: DataFrame, requisition: DataFrame, candidates: DataFrame, a
     delta = compared - F.col("requested_quantity")
     total = (F.col("unit_price") * F.col("quantity")).cast("decimal(16,4)")
     status = F.coalesce("conflict_status", status_of(F.col("confidence"), delta, F.col("flags")))
-    note = conflict_note(F.col("conflict_role"), F.col("conflict_status"), F.col("winner_line"), F.col("winner_confidence"), F.col("confidence"), F.col("losers"))
+    note = conflict_note(F.col("conflict_role"), F.col("conflict_status"), F.col("winner_line"), F.col("winner_confidence"), F.col("confidence"), F.col("losers"), F.col("losing"))
     own = status_reason(F.col("confidence"), compared, F.col("requested_quantity"), F.col("flags"))
     own = F.concat(own, F.when(unlike, UNLIKE_UNITS).otherwise(""))
     reason = F.when(F.col("conflict_role") == "loser", note).otherwise(F.concat("reasoning", F.lit(". "), F.coalesce(note, own)))

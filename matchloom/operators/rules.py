@@ -88,33 +88,45 @@ def extra_confidence(best_score: Column) -> Column:
     return F.when(best_score.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.round(best_score, 4)))
 
 
+#: Losing lines that a winner's note names; of more it gives the number.
+NAMED_LOSERS = 100
+
+
 def resolve_conflicts(claims: DataFrame) -> DataFrame:
     """Adds to `claims` (line_no, item_no, confidence, is_alternative) for items with several claimants:
 
     conflict_role (`winner`, `loser` or null), conflict_status of losers, winner_line, winner_confidence,
-    losers (their lines in order).  The order is confidence descending, then line.
+    losers (the first NAMED_LOSERS of their lines, in order) and losing (how many there are).  The order is confidence descending, then line.
+
+    Winners and counts are sums that combine before their shuffle, and losers' names are cut off before theirs, so an item that
+    very many lines claim is never gathered.
     """
-    item = Window.partitionBy("item_no")
-    order = item.orderBy(F.desc("confidence"), "line_no")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place, several = F.row_number().over(order), F.count("*").over(item) > 1
-    gap = F.first("confidence").over(whole) - F.col("confidence")
-    lost = F.when(F.col("is_alternative") & (gap <= ALTERNATIVE_GAP), "alternative").otherwise("ambiguous")
-    return claims.select(
-        "*",
-        F.when(several, F.when(place == 1, "winner").otherwise("loser")).alias("conflict_role"),
-        F.when(several & (place > 1), lost).alias("conflict_status"),
-        F.when(several, F.first("line_no").over(whole)).alias("winner_line"),
-        F.when(several, F.first("confidence").over(whole)).alias("winner_confidence"),
-        F.when(several & (place == 1), F.slice(F.collect_list("line_no").over(whole), 2, F.count("*").over(item).cast("int"))).alias("losers"),
+    best = F.max(F.struct("confidence", (-F.col("line_no")).alias("_minus")))
+    items = claims.groupBy("item_no").agg(best.alias("_best"), (F.count("*") - 1).alias("_others")).where("_others > 0")
+    place = F.row_number().over(Window.partitionBy("item_no").orderBy(F.desc("confidence"), "line_no"))
+    named = claims.select("item_no", "line_no", "confidence").withColumn("_place", place).where(F.col("_place") <= NAMED_LOSERS + 1)
+    named = named.where("_place > 1").groupBy("item_no").agg(F.sort_array(F.collect_list(F.struct("_place", "line_no"))).alias("_named"))
+    facts = items.join(named, "item_no").select(
+        F.col("item_no").alias("_item"), F.col("_best.confidence").alias("winner_confidence"), (-F.col("_best._minus")).alias("winner_line"), F.transform("_named", lambda n: n["line_no"]).alias("_losers"), F.col("_others").alias("losing")
     )
+    rows = claims.join(facts, F.col("item_no") == F.col("_item"), "left")
+    several, won = F.col("_item").isNotNull(), F.col("line_no") == F.col("winner_line")
+    lost = F.when(F.col("is_alternative") & (F.col("winner_confidence") - F.col("confidence") <= ALTERNATIVE_GAP), "alternative").otherwise("ambiguous")
+    return rows.select(
+        *claims.columns,
+        F.when(several, F.when(won, "winner").otherwise("loser")).alias("conflict_role"),
+        F.when(several & ~won, lost).alias("conflict_status"),
+        "winner_line", "winner_confidence",
+        F.when(several & won, F.col("_losers")).alias("losers"),
+        F.when(several & won, F.col("losing")).alias("losing"),
+    )
 
 
-def conflict_note(role: Column, status: Column, winner: Column, winner_confidence: Column, confidence: Column, losers: Column) -> Column:
-    """Fixed wording of the notes on conflicts."""
+def conflict_note(role: Column, status: Column, winner: Column, winner_confidence: Column, confidence: Column, losers: Column, losing: Column) -> Column:
+    """Fixed wording of the notes on conflicts; `losing`: how many lines lost, of which `losers` names the first."""
     won = F.concat(
-        F.lit("otra(s) "), F.size(losers).cast("string"), F.lit(" linea(s) de la oferta apuntan al mismo item ("),
-        F.array_join(F.transform(losers, lambda n: F.concat(F.lit("#"), n.cast("string"))), ", "), F.format_string("): gano esta por confianza %.2f", confidence),
+        F.lit("otra(s) "), losing.cast("string"), F.lit(" linea(s) de la oferta apuntan al mismo item ("),
+        F.array_join(F.transform(losers, lambda n: F.concat(F.lit("#"), n.cast("string"))), ", "), F.when(losing > F.size(losers), ", ...").otherwise(""), F.format_string("): gano esta por confianza %.2f", confidence),
     )
     alternative = F.concat(F.lit("el proveedor la ofrece como alternativa de la linea #"), winner.cast("string"), F.lit(" para el mismo item"))
     lost = F.concat(

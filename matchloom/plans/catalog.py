@@ -15,6 +15,7 @@ from ..operators.cascade import alias_matches, reconcile
 from ..operators.models import ModelDecider, embeddings_with_cache, stand_in_match
 from ..schemas import EMBEDDINGS
 from ..sources import offers
+from ..written import written
 from . import report
 from .registry import ORACLE_SQL, QUERIES, query, t  # noqa: F401
 
@@ -325,7 +326,8 @@ def stride_sample(spark, d):
     step = max(1, orders.count() // 10)
     # Places come from counts of ranges, so that no task orders all rows.
     ranged = orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    # Written once: bounds are sampled, and counts and rows must be of the same partitions.
+    ranged = written(ranged, "stride").withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(before), "_part").where((F.col("_before") + F.col("_in")) % step == 0).select("o_orderkey")

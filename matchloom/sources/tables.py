@@ -19,13 +19,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: lis
     return rows
 
 
+def first_bad_row(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> int | None:
+    """The number of the first row (the head is row 1; blank lines don't count) that doesn't fit the schema or lacks a required value."""
+    corrupt = "_corrupt_record"
+    rows = read_csv_lenient(spark, path, schema).withColumn("_id", F.monotonically_increasing_id())
+    missing = [F.coalesce(F.col(c), F.lit("")) == "" if schema[c].dataType == T.StringType() else F.col(c).isNull() for c in required or []]
+    bad = F.col(corrupt).isNotNull()
+    for m in missing:
+        bad |= m
+    # The hash keeps all columns in the scan: a column that is not read is not checked.
+    parts = rows.select(F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), bad.alias("bad"), F.xxhash64(*schema.names).alias("_all"))
+    parts = parts.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor("_all").alias("_seen"), F.min(F.when(F.col("bad"), F.col("place"))).alias("first")).orderBy("part").collect()  # a row for each partition
+    before = 0
+    for part in parts:
+        if part["first"] is not None:
+            return before + part["first"] + 2
+        before += part.n
+    return None
+
+
+def check_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> None:
+    """Raises, with the row's number, if a row doesn't fit or lacks a required value."""
+    if (row := first_bad_row(spark, path, schema, required)) is not None:
+        raise ExtractionError("unreadable row", path=path, fila=row)
+
+
 def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """As read_csv, but rows that don't fit stay, with their text in `_corrupt_record`."""
-    return spark.read.csv(path, header=True, schema=schema.add("_corrupt_record", T.StringType()), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+    return spark.read.csv(path, header=True, schema=T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
 
 
 def read_requisition(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the first request, its items, items of other requests, which are left out)."""
+    for name, schema in (("purchase_requests", REQUESTS), ("purchase_request_items", REQUEST_ITEMS)):
+        check_csv(spark, f"{folder}/{name}.csv", schema, schema.names)
     requests = read_csv(spark, f"{folder}/purchase_requests.csv", REQUESTS, ["request_id", "title"])
     items = read_csv(spark, f"{folder}/purchase_request_items.csv", REQUEST_ITEMS, ["request_id", "item_id", "description", "quantity", "unit"])
     request = requests.limit(1)

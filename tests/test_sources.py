@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from matchloom.errors import ExtractionError
 from matchloom.sources import offers
-from matchloom.sources.tables import read_csv_lenient, read_guide, read_requisition, run_sql
+from matchloom.sources.tables import check_csv, first_bad_row, read_csv_lenient, read_guide, read_requisition, run_sql
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
@@ -123,8 +123,39 @@ def test_requisition(spark, tmp_path):
     assert request.first().request_id == "R1" and others.count() == 1
     assert [(r.line_no, r.description, float(r.quantity)) for r in items.orderBy("line_no").collect()] == [(1, "Cable rojo", 1000.0), (2, "Caja", 2.5)]
     (tmp_path / "purchase_request_items.csv").write_text("request_id,item_id,description,quantity,unit\nR1,1,,2,metro\n")
-    with pytest.raises(Exception, match="description is empty"):
-        read_requisition(spark, str(tmp_path))[1].collect()
+    with pytest.raises(ExtractionError, match="fila=2"):
+        read_requisition(spark, str(tmp_path))
+
+
+def test_the_first_bad_row_is_named(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
+    (tmp_path / "a.csv").write_text("n,s\n" + "".join(f"{k},x\n" for k in range(30)) + "\nx,b\n31,\n")
+    path = str(tmp_path / "a.csv")
+    assert first_bad_row(spark, path, schema) == 32 and first_bad_row(spark, path, schema, ["s"]) == 32
+    (tmp_path / "a.csv").write_text("n,s\n1,a\n\n2,\n3,c\n")
+    assert first_bad_row(spark, path, schema) is None and first_bad_row(spark, path, schema, ["s"]) == 3
+    with pytest.raises(ExtractionError, match="fila=3"):
+        check_csv(spark, path, schema, ["s"])
+
+
+def test_workbooks_as_a_data_source(spark, tmp_path):
+    from matchloom.sources.workbooks import Workbooks
+
+    for k in range(3):
+        workbook(tmp_path / f"{k}.xlsx", [["Descripcion", "Cantidad"], [f"cosa {k}", k]])
+    spark.dataSource.register(Workbooks)
+    cells = spark.read.format("workbook").load(str(tmp_path))
+    assert cells.rdd.getNumPartitions() == 3
+    want = offers.read_xlsx_cells(spark, str(tmp_path)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "row", "column", "value", "is_number")
+    assert sorted(map(tuple, cells.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    columns = offers.header_columns(cells)
+    items, _ = offers.offer_items(offers.numbered_rows(offers.xlsx_rows(cells, columns)), "row")
+    assert sorted(r.offered_description for r in items.collect()) == ["cosa 0", "cosa 1", "cosa 2"]
+    assert spark.read.format("workbook").load(str(tmp_path / "1.xlsx")).count() == 4
+    with pytest.raises(Exception, match="no workbooks"):
+        spark.read.format("workbook").load(str(tmp_path / "none")).count()
 
 
 def test_lenient_csv(spark, tmp_path):
