@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MatchingError
+from ..written import written
 from .rules import conflict_note, extra_confidence, lexical_confidence, lexical_kind, lexical_reason, needs_review, resolve_conflicts, status_of, status_reason
 from .units import converted
 
@@ -82,6 +83,8 @@ def reconcile(offer: DataFrame, requisition: DataFrame, candidates: DataFrame, a
     rows = lines.join(decided, "line_no", "left").join(asked, "item_no", "left")
     if conversions is not None:
         rows = converted(rows, conversions, "item_no", "quantity", "unit_of_measure", "requested_unit")
+    # Written once: claims, conflicts, extras and the sweep all read it, and a model is asked once.
+    rows = written(rows, "cascade-rows")
     matched = rows.where(F.col("requested_quantity").isNotNull()).withColumn("is_alternative", F.array_contains("flags", "alternative_line"))
     matched = resolve_conflicts(matched)
 
