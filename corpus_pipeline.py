@@ -1,4 +1,9 @@
-"""A corpus pipeline over `documents`: each stage works on all rows that the one before it kept."""
+"""A corpus pipeline over `documents`: each stage works on all rows that the one before it kept.
+
+Defined results: null texts are empty; near duplicates are told apart by id and text, so rows that share an id or have none stay unless they are linked,
+and of rows equal in both one stays; rows without words are linked with nothing, and weigh nothing in the mix; rows that share an id are drawn as often as the
+one of them that is drawn most; columns with clashing names are kept; an empty table goes through all stages.
+"""
 
 from __future__ import annotations
 
