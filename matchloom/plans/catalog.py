@@ -107,7 +107,8 @@ def _claims(spark, d) -> DataFrame:
     CASE WHEN n > 1 AND place > 1 THEN CASE WHEN is_alternative AND best - confidence <= 0.15::DOUBLE THEN 'alternative' ELSE 'ambiguous' END END AS conflict_status,
     CASE WHEN n > 1 THEN winner END AS winner_line FROM placed""")
 def conflict_resolve(spark, d):
-    return rules.resolve_conflicts(_claims(spark, d)).select("line_no", "item_no", "conflict_role", "conflict_status", "winner_line")
+    claims = written(_claims(spark, d), "claims")  # read three times
+    return rules.resolve_conflicts(claims).select("line_no", "item_no", "conflict_role", "conflict_status", "winner_line")
 
 
 @query(f"""WITH {_CLAIMS} SELECT item_no, count(*) AS claimants, string_agg('#' || line_no, ', ' ORDER BY confidence DESC, line_no) AS claims FROM claims GROUP BY item_no HAVING count(*) > 1""")
