@@ -23,15 +23,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch, in_arrow, texts
+from .common import batch, in_arrow, remembered, texts
 
 #: White space of the vocabulary's normaliser (the Unicode property), where Python's differs by the separators below.
 _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
 #: Stretches, or pre-tokens, that a generation of a process's memory holds, and the characters that it and they may take.
-KNOWN, KNOWN_CHARACTERS = 1 << 16, 6_000_000
+KNOWN, KNOWN_CHARACTERS = 1 << 17, 16_000_000
 #: Characters of a stretch that is remembered; longer ones, as texts without white space are, are put together from pre-tokens each time.
 LONGEST_KNOWN = 64
+OWNER = "bpe codec"
 #: Bits of an id within one number.
 _ID = 24
 #: Letters and numbers that Unicode has since version 17 and planned ones, as ranges.  The library's classes are
@@ -208,9 +209,6 @@ class Codec:
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 @contextmanager
 def no_collection():
     """Pauses the search for cycles: encoding makes none, and the search would walk all that the memories hold."""
@@ -224,10 +222,11 @@ def no_collection():
 
 
 def codec_of(key: str, text) -> Codec:
-    """The codec of this process for a vocabulary; a process reads each once."""
-    if key not in _codecs:
-        _codecs[key] = Codec(text())
-    return _codecs[key]
+    """The codec of this process for a vocabulary; it stays while this operator's tasks follow each other."""
+    codecs = remembered(OWNER)
+    if key not in codecs:
+        codecs[key] = Codec(text())
+    return codecs[key]
 
 
 def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -252,4 +251,4 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         yield batch(**out, **({"ids": pa.array(all_ids, pa.string()), "decoded": pa.array(all_texts, pa.string())} if keep else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep
-    return in_arrow(texts(df, id_col, text_col), task, schema)
+    return in_arrow(texts(df, id_col, text_col), task, schema, OWNER)

@@ -72,10 +72,21 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list], schema) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: What operators remember in a worker process beyond a task, by owner.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """An owner's memory in this process; it lasts until a task of another owner runs here."""
+    return _remembered.setdefault(owner, {})
+
+
+def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list], schema, owner: str = "") -> DataFrame:
+    """mapInArrow with a function of one batch.  What other owners than `owner` remember in the worker goes first, as workers serve all stages in turn."""
 
     def run(batches):
+        for other in [k for k in _remembered if k != owner]:
+            del _remembered[other]
         for batch in batches:
             yield from task(batch)
 

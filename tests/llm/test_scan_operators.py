@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchloom.llm import bpe_codec
+from matchloom.llm import bpe_codec, common
 from matchloom.llm import quality as q
 from matchloom.llm.bpe_codec import Codec, encode_texts
 from matchloom.llm.queries import queries
@@ -90,6 +90,23 @@ def test_codec_orders_marks_as_the_library():
         assert codec.encode(text)[0] == " ".join(map(str, tokenizer.encode(text, add_special_tokens=False).ids)), ascii(text)
 
 
+def test_a_worker_drops_what_another_operator_remembers(spark, awkward):
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def held(rows):
+        import pyarrow as pa
+
+        from matchloom.llm import common
+
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._remembered)], pa.int64())})
+
+    one = awkward.coalesce(1)
+    assert encode_texts(one, path).count() == 10
+    assert {r.n for r in common.in_arrow(one.select("doc_id"), held, "n long", bpe_codec.OWNER).collect()} <= {0, 1}
+    assert {r.n for r in common.in_arrow(one.select("doc_id"), held, "n long").collect()} == {0}
+    assert encode_texts(one, path).count() == 10
+
+
 def test_codec_memory_is_bounded_by_size():
     made = []
     memory = bpe_codec.Memory(lambda key: made.append(key) or (key, "x" * 90), size=1000, characters=1000)
