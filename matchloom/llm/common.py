@@ -81,12 +81,17 @@ def remembered(owner: str) -> dict:
     return _remembered.setdefault(owner, {})
 
 
+def forget_others(owner: str) -> None:
+    """A function of the module, so that it reaches the worker's own memory and not a copy that came with a task."""
+    for other in [k for k in _remembered if k != owner]:
+        del _remembered[other]
+
+
 def in_arrow(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list], schema, owner: str = "") -> DataFrame:
     """mapInArrow with a function of one batch.  What other owners than `owner` remember in the worker goes first, as workers serve all stages in turn."""
 
     def run(batches):
-        for other in [k for k in _remembered if k != owner]:
-            del _remembered[other]
+        forget_others(owner)
         for batch in batches:
             yield from task(batch)
 
