@@ -13,13 +13,14 @@ from . import config
 from .errors import EngineError, MatchingError
 from .functions.text import embedding_text, normalize_unit
 from .observe import stage
-from .operators import comparison, providers, similarity, summary
+from .operators import comparison, providers, similarity, summary, units
 from .operators.cascade import reconcile
 from .operators.models import ensure_embeddings, stored_vectors
 from .operators.store import Store, Transaction, stable_id, to_lines
 from .plans import report
 from .sources import offers
 from .sources.tables import read_requisition, run_sql
+from .written import written
 
 
 def seed(store: Store, folder: str) -> str:
@@ -114,19 +115,23 @@ def candidates(store: Store, lines: DataFrame, items: DataFrame, settings: confi
 def run_reconcile(store: Store, offer_id: str, settings: config.Config, decider=None) -> tuple[str, DataFrame]:
     """Stores a reconciliation of an offer; gives its id and summary."""
     lines, items, aliases = sides(store, offer_id)
-    rows = reconcile(lines, items, candidates(store, lines, items, settings), aliases, decider, settings.review_brands, check=True)
-    number = store.read("reconciliations").where(F.col("offer_id") == offer_id).count()
-    key = f"{offer_id[:16]}-{number + 1}"
-    found = summary.summarize(rows, items)
-    offer = store.read("offers").where(F.col("id") == offer_id)
-    head = offer.select(F.lit(key).alias("id"), F.col("id").alias("offer_id"), "requisition_id").crossJoin(found.select(F.to_json(F.struct("*")).alias("summary"))).withColumn("created_at", F.current_timestamp())
+    # What the items' descriptions say of pack sizes, if units are to be converted.
+    conversions = units.closed(units.stated_factors(items, "item_no", "description"), "item_no") if settings.convert_units else None
+    rows = reconcile(lines, items, candidates(store, lines, items, settings), aliases, decider, settings.review_brands, check=True, conversions=conversions)
+    rows = written(rows, "reconciled")  # read by the summary and by the store
+    found = written(summary.summarize(rows, items), "summary")
+    offer = store.read("offers").where(F.col("id") == offer_id).select(F.col("id").alias("offer_id"), "requisition_id")
+    made = {}
 
     def put(tx: Transaction) -> None:
+        # Two runs at the same time read the same number, and the later one conflicts and takes the next.
+        key = made["key"] = f"{offer_id[:16]}-{tx.of('reconciliations', offer_id).count() + 1}"
+        head = offer.select(F.lit(key).alias("id"), "offer_id", "requisition_id").crossJoin(found.select(F.to_json(F.struct("*")).alias("summary"))).withColumn("created_at", F.current_timestamp())  # one row each
         tx.replace_children("reconciliation_lines", to_lines(rows, key), "reconciliation_id")
         tx.append("reconciliations", head)
 
     store.transact(put)
-    return key, found
+    return made["key"], found
 
 
 def run_report(store: Store, reconciliation_id: str, form: str, folder: str) -> str:

@@ -17,6 +17,7 @@ class Config:
     top_k: int = 5
     dry_run: bool = True
     review_brands: bool = False
+    convert_units: bool = False
     provider: str = ""
     openai_key: str = ""
     google_key: str = ""

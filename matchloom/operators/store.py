@@ -89,6 +89,12 @@ class Transaction:
         self._saw(table, buckets)
         return self.store._load(table, self._folders(table, buckets))
 
+    def of(self, table: str, value) -> DataFrame:
+        """The rows whose bucket column has a value, from its bucket alone."""
+        by = BUCKET_BY[table]
+        bucket = self.store._buckets_of(self.store.spark.createDataFrame([(value,)], T.StructType([TABLES[table][by]])))
+        return self.read(table, bucket).where(F.col(by) == value)
+
     def _change(self, table: str) -> dict:
         return self.changes.setdefault(table, {"clear": False, "set": {}, "add": {}})
 
@@ -323,9 +329,7 @@ class Store:
 
     def of(self, table: str, value) -> DataFrame:
         """The rows whose bucket column has a value, from its bucket alone."""
-        by = BUCKET_BY[table]
-        bucket = self._buckets_of(self.spark.createDataFrame([(value,)], T.StructType([TABLES[table][by]])))
-        return self.begin().read(table, bucket).where(F.col(by) == value)
+        return self.begin().of(table, value)
 
     def replace(self, table: str, rows: DataFrame) -> None:
         self.transact(lambda tx: tx.replace(table, rows))

@@ -59,6 +59,18 @@ def test_page_texts_to_report_with_warnings(spark, tmp_path, capsys):
         cli.process(store, str(tmp_path / "x.pdf"), "R1")
 
 
+def test_units_are_converted_where_settings_say_so(spark, tmp_path):
+    (tmp_path / "purchase_requests.csv").write_text("request_id,title\nR1,Compra\n")
+    (tmp_path / "purchase_request_items.csv").write_text("request_id,item_id,description,quantity,unit\nR1,1,Cable rojo rollo x 100 m,200,metro\n")
+    workbook(tmp_path / "o.xlsx", [["Proveedor", "Norte"], ["Linea", "Descripcion", "Cantidad", "Unidad", "Precio"], [1, "Cable rojo", 2, "rollo", 2.5]])
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    cli.seed(store, str(tmp_path))
+    key = cli.process(store, str(tmp_path / "o.xlsx"), "R1")
+    first, plain = cli.run_reconcile(store, key, config.Config())
+    second, found = cli.run_reconcile(store, key, config.Config(convert_units=True))
+    assert (plain.first().n_partial_quantity, found.first().n_match) == (1, 1) and first.endswith("-1") and second.endswith("-2")
+
+
 def test_warnings_of_an_offer_are_replaced(spark, tmp_path):
     store = Store(spark, str(tmp_path), buckets=4)
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "offer_id string, code string")
