@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from .summary import percent
 
 #: Providers that a matrix shows as columns; more are an error, and stay in the long form.
 MAX_COLUMNS = 200
@@ -64,7 +65,7 @@ def coverage(offered: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) ->
         F.sum((F.col("unit_price") * F.col("asked")).cast("decimal(38,4)")).alias("total"),
     )
     joined = of.join(totals, list(by)) if by else of.crossJoin(totals)  # one row
-    return joined.withColumn("coverage_pct", F.round(F.col("covered") / F.col("items") * 100, 1))
+    return joined.withColumn("coverage_pct", percent(F.col("covered"), F.col("items")))
 
 
 def award(offered: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

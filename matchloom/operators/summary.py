@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import is_shortfall
@@ -10,6 +10,11 @@ from .rules import is_shortfall
 COVERING = ("match", "partial_quantity", "semantic_match")
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """To one place, halves up, as SQL rounds doubles: by tenfold values, as 18 / 4000 * 100 is a little below 0.45."""
+    return F.round(part / whole * 100 * 10) / 10
+
+
 def summarize(lines: DataFrame, requisition: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row (for each of `keys`) of counts, coverage and totals.
 
@@ -35,7 +40,7 @@ def summarize(lines: DataFrame, requisition: DataFrame, keys: list[str] | None =
     items = by_item.groupBy(*keys).agg(F.count_if("_covered").alias("covered"), F.count_if(F.col("_ambiguous") & ~F.col("_covered")).alias("ambiguous_items"))
     requested = requisition.groupBy(*keys).agg(F.count("*").alias("requisition_items"))
     both = counted.join(items, keys).join(requested, keys) if keys else counted.crossJoin(items).crossJoin(requested)
-    share = F.round(F.col("covered") / F.col("requisition_items") * 100, 1)
+    share = percent(F.col("covered"), F.col("requisition_items"))
     return both.withColumn("coverage_pct", share).withColumn("not_covered", F.col("requisition_items") - F.col("covered") - F.col("ambiguous_items"))
 
 
