@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import UNIT_WORDS, folded, normalize_unit, parse_arg_number
+from ..functions.text import UNIT_WORDS, folded, let, normalize_unit, parse_arg_number
 from ..written import written
 
 #: Relative difference of two ways between units that is not a contradiction.
@@ -23,15 +23,22 @@ PACK = rf"\b({_WORDS['container']})\s*(?:x|de|por|con)\s*(\d+(?:[.,]\d+)*)\s*({_
 
 def pack_size(description: Column) -> Column:
     """Struct of from_unit, to_unit and factor that a description states; null if it states none, or one of a unit by itself."""
-    plain = F.trim(F.regexp_replace(folded(description), r"\s+", " "))
-    part = [F.nullif(F.regexp_extract(plain, PACK, k), F.lit("")) for k in (1, 2, 3)]
-    size = F.struct(normalize_unit(part[0]).alias("from_unit"), normalize_unit(part[2]).alias("to_unit"), parse_arg_number(part[1]).alias("factor"))
-    return F.when(size["from_unit"].isNotNull() & size["to_unit"].isNotNull() & (size["from_unit"] != size["to_unit"]) & (size["factor"] > 0), size)
+    def stated(plain: Column) -> Column:
+        return F.when(F.regexp_like(plain, F.lit(PACK)), F.struct(*[F.nullif(F.regexp_extract(plain, PACK, k), F.lit("")).alias(n) for k, n in ((1, "container"), (2, "number"), (3, "content"))]))
+
+    def size(part: Column) -> Column:
+        return F.struct(normalize_unit(part["container"]).alias("from_unit"), normalize_unit(part["content"]).alias("to_unit"), parse_arg_number(part["number"]).alias("factor"))
+
+    # A pattern is met once for each description: its groups are used many times.
+    found = let(F.trim(F.regexp_replace(folded(description), r"\s+", " ")), stated)
+    kept = lambda s: F.when(s["from_unit"].isNotNull() & s["to_unit"].isNotNull() & (s["from_unit"] != s["to_unit"]) & (s["factor"] > 0), s)
+    return let(found, lambda part: F.when(part.isNotNull(), let(size(part), kept)))
 
 
 def stated_factors(rows: DataFrame, key: str, description: str) -> DataFrame:
     """`key`, from_unit, to_unit, factor of the rows whose description states a pack size."""
-    return rows.select(key, pack_size(F.col(description)).alias("_size")).where(F.col("_size").isNotNull()).select(key, "_size.*")
+    # Dealt first: few tasks read a small table, and the patterns take far longer than its rows.
+    return rows.select(key, description).repartition(key).select(key, pack_size(F.col(description)).alias("_size")).where(F.col("_size").isNotNull()).select(key, "_size.*")
 
 
 def closed(factors: DataFrame, key: str) -> DataFrame:
@@ -41,6 +48,7 @@ def closed(factors: DataFrame, key: str) -> DataFrame:
     Factors that are null or not positive say nothing.
     """
     said = factors.where("factor > 0 AND from_unit IS NOT NULL AND to_unit IS NOT NULL").select(key, F.col("from_unit").alias("a"), F.col("to_unit").alias("b"), F.col("factor").cast("double").alias("factor"))
+    said = written(said, "unit-factors")  # read four times
     both = said.unionByName(said.select(key, F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("factor")).alias("factor"))).withColumn("steps", F.lit(1))
     units = both.select(key, "a").distinct()
     both = both.unionByName(units.select(key, "a", F.col("a").alias("b"), F.lit(1.0).alias("factor"), F.lit(0).alias("steps")))
