@@ -21,7 +21,8 @@ _ACCENTED, _PLAIN = _accents()
 
 def strip_accents(text: Column) -> Column:
     """Letters without their combining marks, precomposed or not."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}+", "")
+    # Text of one byte a character has none, and goes without the long table.
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}+", ""))
 
 
 def folded(text: Column) -> Column:

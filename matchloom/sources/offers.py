@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ExtractionError
-from ..functions.text import canon, cell_text, collapsed, folded, normalize_date, normalize_iso_date, normalize_unit, number_is_unreadable, parse_arg_number, parse_description, parse_notes
+from ..functions.text import canon, cell_text, collapsed, folded, let, normalize_date, normalize_iso_date, normalize_unit, number_is_unreadable, parse_arg_number, parse_description, parse_notes
 from ..operators.lines import line_gaps
 
 # Labels of columns and of the header block, in canonical form.
@@ -111,13 +111,15 @@ def read_xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def header_columns(cells: DataFrame) -> DataFrame:
     """path, header_row, field, column: of the first HEADER_DEPTH rows the one with most fields, the first on ties."""
-    labels = [(field, label) for field, known in COLUMN_LABELS.items() for label in known]
-    known = cells.sparkSession.createDataFrame(labels, "field string, label string")
-    hits = cells.where(F.col("row") < HEADER_DEPTH).withColumn("label", canon(F.col("value"))).join(F.broadcast(known), "label")
-    hits = hits.groupBy("path", "row", "field").agg(F.min("column").alias("column"))
-    scores = hits.groupBy("path", "row").agg(F.count("*").alias("score"))
-    best = scores.withColumn("_place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "row"))).where("_place = 1")
-    return hits.join(best.select("path", "row"), ["path", "row"]).select("path", F.col("row").alias("header_row"), "field", "column")
+    label = F.col("label")
+    # No label has a digit, so most cells of a table need no canonical form.
+    known = cells.where((F.col("row") < HEADER_DEPTH) & ~F.col("value").rlike("[0-9]")).select("path", "row", "column", canon(F.col("value")).alias("label"))
+    known = known.where(label.isin(*[x for names in COLUMN_LABELS.values() for x in names]))
+    rows = known.groupBy("path", "row").agg(*[F.min(F.when(label.isin(*names), F.col("column"))).alias(field) for field, names in COLUMN_LABELS.items()])
+    score = sum((F.col(f).isNotNull().cast("int") for f in COLUMN_LABELS), F.lit(0))
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("column")) for f in COLUMN_LABELS])
+    best = rows.groupBy("path").agg(F.min(F.struct((-score).alias("_score"), F.col("row").alias("header_row"), found.alias("_found"))).alias("_best"))
+    return best.select("path", F.col("_best.header_row").alias("header_row"), F.inline("_best._found")).where(F.col("column").isNotNull())
 
 
 def file_provider(path: Column) -> Column:
@@ -144,10 +146,13 @@ def xlsx_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 def xlsx_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """path, row and the text of each field; numbers keep `<field>_is_number`.  Rows without a description go."""
-    body = cells.join(columns, ["path", "column"]).where("row > header_row")
+    # A row for each document, so that the join leaves its cells where their rows are put together.
+    heads = columns.groupBy("path").agg(F.max("header_row").alias("header_row"), *[F.max(F.when(F.col("field") == f, F.col("column"))).alias(f"_{f}") for f in COLUMN_LABELS])
+    body = cells.join(heads, "path").where("row > header_row")
+    of = {f: F.col("column") == F.col(f"_{f}") for f in COLUMN_LABELS}
     wide = body.groupBy("path", "source_hash", "row").agg(
-        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in COLUMN_LABELS],
-        *[F.bool_or((F.col("field") == f) & F.col("is_number")).alias(f"{f}_is_number") for f in COLUMN_LABELS],
+        *[F.max(F.when(here, F.col("value"))).alias(f) for f, here in of.items()],
+        *[F.coalesce(F.bool_or(here & F.col("is_number")), F.lit(False)).alias(f"{f}_is_number") for f, here in of.items()],
     )
     return wide.where(cell_text(F.col("offered_description")).isNotNull())
 
@@ -240,20 +245,30 @@ def extract_xlsx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers))
 
 
-def is_table_header(line: Column) -> Column:
-    plain = folded(line)
+def _has_labels(plain: Column) -> Column:
     return sum((F.contains(plain, F.lit(t)).cast("int") for t in TABLE_HEADER_TOKENS), F.lit(0)) >= 4
 
 
+def is_table_header(line: Column) -> Column:
+    return let(folded(line), _has_labels)
+
+
+def _is_number_of_page(plain: Column) -> Column:
+    return F.trim(plain).rlike(r"^(pagina\s+\d+(\s+de\s+\d+)?|\d+\s*/\s*\d+)$")
+
+
 def is_page_furniture(line: Column) -> Column:
-    plain = F.trim(folded(line))
-    return plain.rlike(r"^pagina\s+\d+(\s+de\s+\d+)?$") | plain.rlike(r"^\d+\s*/\s*\d+$")
+    return _is_number_of_page(folded(line))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """path, page, pos, line, part (`header`: on page 1 before the first table header; else `body`), from path, page (from 1), text."""
-    lines = pages.select("path", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", collapsed(F.col("line")))
-    lines = lines.where((F.length("line") > 0) & ~is_page_furniture(F.col("line"))).withColumn("_head", is_table_header(F.col("line")))
+    # Each line is collapsed and folded once, before lines become rows.
+    told = lambda line: let(folded(line), lambda plain: F.struct(line.alias("line"), _has_labels(plain).alias("head"), _is_number_of_page(plain).alias("furniture")))
+    read = F.transform(F.split("text", "\n"), lambda line: let(collapsed(line), told))
+    # Dealt as pages, not as their many lines, and into the tasks that see a page's lines in order.
+    lines = pages.select("path", "page", "text").repartition("path", "page").select("path", "page", F.posexplode(read).alias("pos", "_l"))
+    lines = lines.where((F.length("_l.line") > 0) & ~F.col("_l.furniture")).select("path", "page", "pos", "_l.line", F.col("_l.head").alias("_head"))
     seen = F.max(F.col("_head").cast("int")).over(Window.partitionBy("path", "page").orderBy("pos"))
     lines = lines.withColumn("part", F.when((F.col("page") == 1) & (seen == 0), "header").otherwise("body"))
     return lines.where("NOT _head").drop("_head")
