@@ -16,6 +16,8 @@ from .summary import percent
 
 #: Providers that a matrix shows as columns; more are an error, and stay in the long form.
 MAX_COLUMNS = 200
+#: Quotes that a task groups; beyond what the session's shuffles deal, more tasks are made, so that none grows with the input.
+TASK_ROWS = 500_000
 #: Statuses of lines whose price does not stand for the item.
 NOT_COMPARABLE = ("alternative", "extra", "missing_from_offer")
 
@@ -33,6 +35,9 @@ def offers_of(quotes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """`by`, item_no, provider, unit_price, quantity, lines: one quote for each item and provider; lines without a price are none."""
     priced = quotes.where(F.col("unit_price").isNotNull() & F.col("item_no").isNotNull())
     best = F.min(F.struct("unit_price", (-F.col("quantity")).alias("_q")))
+    tasks = -(-priced.count() // TASK_ROWS)
+    if tasks > int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        priced = priced.repartition(tasks, *by, "item_no", "provider")
     return priced.groupBy(*by, "item_no", "provider").agg(best.alias("_best"), F.count("*").alias("lines")).select(*by, "item_no", "provider", F.col("_best.unit_price").alias("unit_price"), (-F.col("_best._q")).alias("quantity"), "lines")
 
 
@@ -81,12 +86,14 @@ def award(offered: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) -> Dat
 
 
 def totals(offered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sums by item and provider, by item, by provider, and over all, as `level` says: one pass of grouping sets."""
+    """Sums by item and provider, by item, by provider, and over all, as `level` says; `offered` has one row for each item and provider."""
     item, provider, others = F.col("item_no"), F.col("provider"), [F.col(c) for c in by]
-    sets = [[*others, item, provider], [*others, item], [*others, provider], others]
-    level = F.when((F.grouping("item_no") == 0) & (F.grouping("provider") == 0), "item and provider").when(F.grouping("item_no") == 0, "item").when(F.grouping("provider") == 0, "provider").otherwise("all")
+    sets = [[*others, item], [*others, provider], others]
+    level = F.when(F.grouping("item_no") == 0, "item").when(F.grouping("provider") == 0, "provider").otherwise("all")
     amount = (F.col("unit_price") * F.col("quantity")).cast("decimal(38,4)")
-    return offered.groupingSets(sets, *others, item, provider).agg(level.alias("level"), F.count("*").alias("quotes"), F.min("unit_price").alias("least_price"), F.max("unit_price").alias("most_price"), F.sum(amount).alias("amount"))
+    upper = offered.groupingSets(sets, *others, item, provider).agg(level.alias("level"), F.count("*").alias("quotes"), F.min("unit_price").alias("least_price"), F.max("unit_price").alias("most_price"), F.sum(amount).alias("amount"))
+    # The lowest level has nothing to sum, and only the others' few groups are held.
+    return offered.select(*others, item, provider, F.lit("item and provider").alias("level"), F.lit(1).cast("long").alias("quotes"), F.col("unit_price").alias("least_price"), F.col("unit_price").alias("most_price"), amount.alias("amount")).unionByName(upper)
 
 
 def matrix(offered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,4 +101,6 @@ def matrix(offered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     names = [r.provider for r in offered.select("provider").where(F.col("provider").isNotNull()).distinct().orderBy("provider").limit(MAX_COLUMNS + 1).collect()]
     if len(names) > MAX_COLUMNS:
         raise EngineError("too many providers for a matrix; use the rows of offers_of", providers=f"more than {MAX_COLUMNS}")
-    return offered.groupBy(*by, "item_no").pivot("provider", names).agg(F.min("unit_price"))
+    if not names:
+        return offered.select(*by, "item_no").distinct()
+    return offered.groupBy(*by, "item_no").agg(*[F.min(F.when(F.col("provider") == n, F.col("unit_price"))).alias(n) for n in names])
