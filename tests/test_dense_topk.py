@@ -69,3 +69,14 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "item_no int, item_vector array<double>")
     found = similarity.top_k_dense(some, none)
     assert found.schema["item_no"].dataType.simpleString() == "int" and found.count() == 0
+
+
+def test_guide_reads_one_search(spark, data, monkeypatch):
+    """guide_accuracy's labels and its cascade share one search of all pairs."""
+    from matchloom.plans import catalog
+
+    searches = []
+    search = similarity.top_k_dense
+    monkeypatch.setattr(similarity, "top_k_dense", lambda *a, **b: searches.append(a) or search(*a, **b))
+    assert catalog.guide_accuracy(spark, data).count() == 1
+    assert len(searches) == 1
