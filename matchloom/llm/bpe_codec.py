@@ -32,6 +32,8 @@ _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
 KNOWN, KNOWN_CHARACTERS = 1 << 17, 16_000_000
 #: Characters of a stretch that is remembered; longer ones, as texts without white space are, are put together from pre-tokens each time.
 LONGEST_KNOWN = 64
+#: Characters of results that are handed on at a time, about; a longer text's are handed on alone.
+SLICE_CHARACTERS = 1 << 21
 OWNER = "bpe codec"
 #: Bits of an id within one number.
 _ID = 24
@@ -237,18 +239,25 @@ def encode_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def task(rows: pa.RecordBatch):
         codec = codec_of(key, lambda: shared.value)
-        counts, of_ids, of_texts, all_ids, all_texts = [], [], [], [], []
-        with no_collection():
-            for text in rows.column("text"):
-                ids, decoded = codec.encode(text.as_py() or "")
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep:
-                    all_ids.append(ids)
-                    all_texts.append(decoded)
-        out = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())}
-        yield batch(**out, **({"ids": pa.array(all_ids, pa.string()), "decoded": pa.array(all_texts, pa.string())} if keep else {}))
+        first, column = 0, rows.column("text")
+        while first < rows.num_rows:
+            counts, of_ids, of_texts, all_ids, all_texts, held = [], [], [], [], [], 0
+            with no_collection():
+                for at in range(first, rows.num_rows):
+                    ids, decoded = codec.encode(column[at].as_py() or "")
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                    of_texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    held += 128
+                    if keep:
+                        all_ids.append(ids)
+                        all_texts.append(decoded)
+                        held += len(ids) + len(decoded)
+                    if held >= SLICE_CHARACTERS:
+                        break
+            out = {"doc_id": rows.column("doc_id").slice(first, len(counts)), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_texts, pa.string())}
+            yield batch(**out, **({"ids": pa.array(all_ids, pa.string()), "decoded": pa.array(all_texts, pa.string())} if keep else {}))
+            first += len(counts)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep
     return in_arrow(texts(df, id_col, text_col), task, schema, OWNER)

@@ -107,6 +107,22 @@ def test_a_worker_drops_what_another_operator_remembers(spark, awkward):
     assert encode_texts(one, path).count() == 10
 
 
+def test_codec_hands_results_on_in_slices(spark, monkeypatch):
+    """A batch of any number of rows leaves the task in slices of bounded size, each row once and in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe_codec, "in_arrow", lambda df, task, *a: task)
+    monkeypatch.setattr(bpe_codec, "SLICE_CHARACTERS", 2000)
+    docs = [(k, None if k % 7 == 0 else f"some words of document {k} " * (k % 9)) for k in range(200)] + [(200, "long " * 3000), (201, "end")]
+    task = encode_texts(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), keep=True)
+    rows = common.batch(doc_id=pa.array([k for k, _ in docs]), text=pa.array([x for _, x in docs]))
+    out = list(task(rows))
+    assert all(b.num_rows == 1 or sum(len(r["ids"]) + len(r["decoded"]) for r in b.slice(0, b.num_rows - 1).to_pylist()) < 2000 for b in out)
+    assert len(out) > 10
+    monkeypatch.setattr(bpe_codec, "SLICE_CHARACTERS", 1 << 40)
+    assert [r for b in out for r in b.to_pylist()] == [r for b in task(rows) for r in b.to_pylist()] and [r["doc_id"] for b in out for r in b.to_pylist()] == list(range(202))
+
+
 def test_codec_memory_is_bounded_by_size():
     made = []
     memory = bpe_codec.Memory(lambda key: made.append(key) or (key, "x" * 90), size=1000, characters=1000)
