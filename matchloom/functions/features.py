@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import folded
 
@@ -31,21 +34,47 @@ def trigrams(tokens: Column) -> Column:
     return F.flatten(F.transform(long, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda k: F.substring(t, k, F.lit(3)))))
 
 
+def sparse_vectors(df: DataFrame, key: list[str], text: Column, dims: int = DIMS) -> DataFrame:
+    """key and `entries` (index, weight; by index): the nonzero entries of each text's unit vector; a text without features has index 0 alone.
+
+    Rows that share a key are one text.  Texts, not their features, are shuffled and grouped, so that a task holds one batch's features at a time.
+    """
+    named = df.select(*key, text.alias("_text")).repartition(*key).groupBy(*key).agg(F.array_join(F.collect_list("_text"), "\n").alias("_text"))
+    tokens = tokenize(F.col("_text"))
+
+    def tagged(parts: Column, tag: str, weight: float) -> Column:
+        def entry(t: Column) -> Column:
+            feature = F.concat(F.lit(tag), t)
+            sign = F.when(fnv1a(feature, SIGN_SEED) % 2 == 1, 1.0).otherwise(-1.0)
+            return F.struct((fnv1a(feature, 0) % dims).cast("int").alias("index"), (sign * F.lit(weight)).alias("w"))
+
+        return F.transform(parts, entry)
+
+    rows = named.select(*key, F.concat(tagged(tokens, "t:", TOKEN_WEIGHT), tagged(trigrams(tokens), "g:", TRIGRAM_WEIGHT)).alias("_features"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("_features")
+            flat, n = lists.flatten(), len(lists)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+            places, at = np.unique(row << 32 | flat.field("index").to_numpy().astype(np.int64), return_inverse=True)
+            sums, row = np.bincount(at, flat.field("w").to_numpy(), len(places)), places >> 32
+            length = np.sqrt(np.bincount(row, sums * sums, n))
+            kept = sums != 0
+            blank = np.flatnonzero(length == 0)
+            row, index, weight = (np.append(x, y) for x, y in ((row[kept], blank), ((places & 0xFFFFFFFF)[kept], 0 * blank), (sums[kept] / length[row[kept]], 1.0 + 0 * blank)))
+            order = np.argsort(row, kind="stable")
+            entries = pa.StructArray.from_arrays([pa.array(index[order].astype(np.int32)), pa.array(weight[order])], ["index", "weight"])
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.ListArray.from_arrays(pa.array(ends), entries)], names=[*key, "entries"])
+
+    schema = T.StructType([named.schema[k] for k in key]).add("entries", T.ArrayType(T.StructType().add("index", T.IntegerType()).add("weight", T.DoubleType())))
+    return rows.mapInArrow(run, schema)
+
+
 def sparse_embedding(df: DataFrame, key: list[str], text: Column, dims: int = DIMS) -> DataFrame:
-    """key, index, weight: the nonzero entries of each text's unit vector; a text without features has index 0 alone."""
-    tokens = tokenize(text)
-    tagged = F.concat(
-        F.transform(tokens, lambda t: F.struct(F.concat(F.lit("t:"), t).alias("feature"), F.lit(TOKEN_WEIGHT).alias("w"))),
-        F.transform(trigrams(tokens), lambda t: F.struct(F.concat(F.lit("g:"), t).alias("feature"), F.lit(TRIGRAM_WEIGHT).alias("w"))),
-    )
-    rows = df.select(*key, F.inline_outer(tagged))
-    sign = F.when(fnv1a(F.col("feature"), SIGN_SEED) % 2 == 1, 1.0).otherwise(-1.0)
-    rows = rows.select(*key, (fnv1a(F.col("feature"), 0) % dims).cast("int").alias("index"), (sign * F.col("w")).alias("w"))
-    entries = rows.groupBy(*key, F.coalesce("index", F.lit(0)).alias("index")).agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
-    unit = F.when(length > 0, F.col("w") / length).otherwise(F.when(F.row_number().over(Window.partitionBy(*key).orderBy("index")) == 1, 1.0).otherwise(0.0))
-    index = F.when(length > 0, F.col("index")).otherwise(0)
-    return entries.select(*key, index.alias("index"), unit.alias("weight")).where("weight <> 0")
+    """key, index, weight: the entries of sparse_vectors, a row each."""
+    return sparse_vectors(df, key, text, dims).select(*key, F.inline("entries"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -154,9 +154,12 @@ _MARGIN = 1e-9
 
 def _classes(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(`key` and class of each row's vector, class and its sorted entries); equal vectors, as equal texts give them, are one class."""
-    rows = vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", F.round("weight", 14).alias("weight")))).alias("entries"))  # as many as a text has features
+    if "entries" in vectors.columns:
+        rows = vectors.select(key, F.sort_array(F.transform("entries", lambda e: F.struct(e["index"].alias("index"), F.round(e["weight"], 14).alias("weight")))).alias("entries"))
+    else:
+        rows = vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", F.round("weight", 14).alias("weight")))).alias("entries"))  # as many as a text has features
     named = written(rows.withColumn("class", F.sha2(F.to_json("entries"), 256)), "sparse-vectors")
-    return named.select(key, "class"), written(named.groupBy("class").agg(F.min("entries").alias("entries")), "sparse-classes")
+    return named.select(key, "class"), written(named.select("class", "entries").distinct(), "sparse-classes")
 
 
 def _dots(pairs: DataFrame) -> DataFrame:
@@ -181,7 +184,7 @@ def _dots(pairs: DataFrame) -> DataFrame:
 
 
 def top_k_sparse(lines: DataFrame, items: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """As top_k_dense over sparse unit vectors (line_no or item_no, index, weight).
+    """As top_k_dense over sparse unit vectors (line_no or item_no, index, weight; or, without a shuffle of entries, line_no or item_no, entries).
 
     Equal vectors are searched once.  A line's features are taken from the rarest among items on.  The items of its PILOT rarest
     give a score that k items reach; what an item can score by the features from some place on is at most the length of the line's

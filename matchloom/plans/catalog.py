@@ -453,8 +453,8 @@ def lexical_embedding(spark, d):
   SELECT line_no, rank, item_no, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
 def lexical_topk(spark, d):
     part = t(spark, d, "part")
-    own = features.sparse_embedding(part.where("p_partkey % 20 = 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "line_no")
-    items = features.sparse_embedding(part.where("p_partkey % 20 <> 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "item_no")
+    own = features.sparse_vectors(part.where("p_partkey % 20 = 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "line_no")
+    items = features.sparse_vectors(part.where("p_partkey % 20 <> 0"), ["p_partkey"], F.concat("p_name", F.lit(" "), "p_brand")).withColumnRenamed("p_partkey", "item_no")
     return similarity.top_k_sparse(own, items).select("line_no", "rank", "item_no", F.round("score", 6).alias("score"))
 
 

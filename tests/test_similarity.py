@@ -43,3 +43,21 @@ def test_a_bound_on_pairs(spark, monkeypatch):
     assert found.count() == 80
     scored = dict(seen)["sparse-scores"].count()
     assert scored == 40  # of 40 x 100 pairs of different vectors
+
+
+def test_texts_and_not_features_are_shuffled(spark):
+    """A vector is made from its text within a batch: no task groups the features of all its rows.  Rows of one key are one text; null and empty ones have index 0."""
+    from pyspark.sql import functions as F
+
+    from matchloom.functions.features import sparse_embedding, sparse_vectors
+
+    rows = spark.createDataFrame([(1, "tornillo 3,5 mm"), (1, "acero acero"), (2, "tornillo 3,5 mm acero acero"), (3, None), (4, ""), (5, "ñandú")], "k long, x string")
+    found = sparse_embedding(rows, ["k"], F.col("x"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, {})[r["index"]] = round(r.weight, 12)
+    assert got[1] == got[2] and len(got[1]) > 5 and got[3] == got[4] == {0: 1.0}
+    assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for v in got.values())
+    assert sparse_vectors(rows.where("k > 9"), ["k"], F.col("x")).count() == 0
