@@ -1,14 +1,20 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import hashlib
+import os
+import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corpus_pipeline import quality as quality_kept
+from matchloom.llm import common
+from matchloom.llm.common import batch, in_arrow
 from matchloom.llm.quality import score_quality
 from matchloom.llm.source_mix import mix_sources
 
@@ -79,3 +85,22 @@ def test_run_and_registry(spark, data):
 
     assert {"pipeline", *(f"op{k}_" for k in range(1, 11))} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in entry.queries()}
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_a_worker_gives_back_what_a_task_freed(spark):
+    """Workers wait between stages; one that kept all it once took would stand beside the later stages' memory."""
+
+    def taken():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text()).group(1)) // 1024
+
+    def grow(rows):
+        freed = [np.ones(8000) for _ in range(4000)]
+        common.remembered("")["last"] = np.ones(8000)  # stands above what is freed, so that it can't shrink by itself
+        yield batch(worker=[os.getpid()], mb=[taken() if freed else 0])
+
+    def look(rows):
+        yield batch(worker=[os.getpid()], mb=[taken()])
+
+    (grown,), found = (in_arrow(spark.range(n, numPartitions=n), task, "worker long, mb long").collect() for n, task in ((1, grow), (64, look)))
+    left = [r.mb for r in found if r.worker == grown.worker]
+    assert left and max(left) < grown.mb - 150
