@@ -10,6 +10,7 @@ customers of each word and context anew at once, under the shares that the rest
 weight w of a new table, c customers have k tables with odds w^k S(c, k), S being generalised Stirling
 numbers of the discount; the root's seats of a word are then drawn anew in sequence.  Of the
 restaurants' totals a deal knows the customers and word types of all deals; their tables follow from its own state.
+A pair that occurs once has one table in every state: it is not dealt, and its customer goes to the root at once.
 Predictive probabilities are averaged over SAMPLES states of the chains with the true totals.
 
 Scoring.  A token's score depends on its word and the word before it, so that each pair of the corpus is scored once.
@@ -225,6 +226,7 @@ class Totals:
 
 def chain(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Totals, seed: list[int]) -> dict[str, np.ndarray]:
     """Gibbs chain over one deal.  `word`: the number of each row's word, ascending; rows of ROOT have the words' whole counts.
+    What a word's count has beyond its pairs (those that occur once need no row) are customers of the root in every state.
 
     Gives the pairs' word, context, count and tables by sample, and the words' root customers and tables by sample.
     """
@@ -341,7 +343,7 @@ _MODEL = "word long, context long, count long, tables array<int>, root_tables ar
 
 
 def seat_all(counts: DataFrame, totals: Totals, all_types: int, seed: int) -> DataFrame:
-    """A row for each pair, with its tables in each sample, and one without a context for each word, with its customers and tables in the root."""
+    """A row for each pair of `counts`, with its tables in each sample, and one without a context for each word, with its customers and tables in the root."""
 
     def run(rows: pa.Table):
         word, count = rows.column("word").to_numpy(), rows.column("count").to_numpy()
@@ -375,15 +377,19 @@ def score_pairs(pairs: DataFrame, model: DataFrame, contexts: DataFrame, totals:
     sums = [F.coalesce(F.sum(F.col("tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]
     seats, words = model.where("context IS NOT NULL").drop("root_tables"), model.where("context IS NULL")
     root = words.agg(*[F.coalesce(F.sum(F.col("root_tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
-    sent = seats.groupBy("context").agg(F.array(*sums).alias("sent"))
-    sent = checkpointed(contexts.select("context", "customers").join(sent, "context"), "lm-restaurants")  # a row for each distinct word
+    none = F.array(*[F.lit(0)] * SAMPLES)
+    sent = seats.groupBy("context").agg(F.array(*sums).alias("more"))
+    sent = contexts.select("context", "customers", "alone").join(sent, "context", "left").withColumn("more", F.coalesce("more", none.cast("array<bigint>")))
+    sent = sent.select("context", "customers", F.transform("more", lambda k: k + F.col("alone")).alias("sent"))
+    sent = checkpointed(sent, "lm-restaurants")  # a row for each distinct word
     every = sent.agg(*[F.coalesce(F.sum(F.col("sent")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
     root_customers, root_tables = np.array([float(x) for x in every]), np.array([float(x) for x in root])
-    own = pairs.select("word", "context", "uses").join(seats.select("word", "context", "count", "tables"), ["word", "context"], "left")
+    # Only pairs that occur more than once have drawn tables; a pair that occurs once has one, others have none.
+    many = pairs.where("count > 1").join(seats.select("word", "context", "tables"), ["word", "context"])
+    own = pairs.where("count <= 1").withColumn("tables", F.array(*[F.col("count").cast("int")] * SAMPLES)).unionByName(many)
     own = own.join(words.select("word", F.col("count").alias("word_count"), F.col("tables").alias("root"), "root_tables"), "word", "left").join(counted(sent), "context", "left")
-    none = F.array(*[F.lit(0)] * SAMPLES)
     own = own.select(
-        "word", "context", "uses", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("tables", none).alias("tables"), F.coalesce("word_count", F.lit(0)).alias("word_count"),
+        "word", "context", "uses", "count", "tables", F.coalesce("word_count", F.lit(0)).alias("word_count"),
         F.coalesce("root", none).alias("root"), F.coalesce("root_tables", none).alias("root_tables"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("sent", none.cast("array<bigint>")).alias("sent"),
     )
 
@@ -438,10 +444,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
     totals = Totals(np.zeros(0, np.int64), np.zeros(0, np.int64), all_.n or 0, all_.v, discount(of_pairs.one, of_pairs.two), discount(all_.one, all_.two))
-    contexts = checkpointed(trained.groupBy("context").agg(F.count("*").alias("types"), F.sum("count").alias("customers")), "lm-contexts")
+    contexts = checkpointed(trained.groupBy("context").agg(F.count("*").alias("types"), F.sum("count").alias("customers"), F.count_if(F.col("count") == 1).alias("alone")), "lm-contexts")
     deals = max(1, -(-(all_.v + of_pairs.v) // DEAL))
     none = F.lit(None).cast("long")
-    counts = unigrams.select("word", none.alias("context"), "count", none.alias("types"), none.alias("customers")).unionByName(trained.join(counted(contexts), "context"))
+    counts = unigrams.select("word", none.alias("context"), "count", none.alias("types"), none.alias("customers")).unionByName(trained.where("count > 1").join(counted(contexts.drop("alone")), "context"))
     counts = counts.withColumn("deal", F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(deals)))
     model = checkpointed(seat_all(counts, totals, of_pairs.v, seed), "lm-seats")
     scores = checkpointed(score_pairs(pairs, model, contexts, totals), "lm-scores")

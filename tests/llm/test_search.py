@@ -176,6 +176,17 @@ def test_language_model_of_awkward_rows(awkward, empty):
     assert pitman_yor.score_documents(empty).count() == 0
 
 
+def test_pairs_that_occur_once_are_not_dealt(documents, monkeypatch):
+    dealt, seat_all = [], pitman_yor.seat_all
+    monkeypatch.setattr(pitman_yor, "seat_all", lambda counts, *more: dealt.extend(counts.collect()) or seat_all(counts, *more))
+    docs = documents([(i, f"uno dos solo{i} uno dos") for i in range(30)])
+    rows = pitman_yor.score_documents(docs).collect()
+    assert len(rows) == 30 and all(r.score < 0 for r in rows)
+    assert {r["count"] > 1 for r in dealt if r.context is not None} == {True}
+    learnt = sum(not r.held_out for r in rows)
+    assert sum(r.context is None for r in dealt) == learnt + 3  # every word and the end keep their whole counts
+
+
 def small_chain(seed=0, words=200):
     rng = np.random.default_rng(seed)
     pairs = Counter(zip(rng.zipf(1.3, 8000).clip(max=words) - 1, rng.choice([0, 1, 2, 63], 8000), strict=True))
