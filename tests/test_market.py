@@ -109,3 +109,12 @@ def test_interval_join(spark):
     got = sorted((r.n, r.m) for r in temporal.interval_join(left, right, ["k"], "at", "since", "until", 3600).collect())
     assert got == sorted((n, m) for k, at, n in points for key, a, b, m in spans if k is not None and k == key and at is not None and a is not None and a <= at and (b is None or at < b))
     assert temporal.interval_join(left, right.where("false"), ["k"], "at", "since", "until").count() == 0
+
+
+def test_few_pairs_outside_their_interval_are_met(spark):
+    points = spark.sql("SELECT 0 AS k, date_add(DATE'2024-01-01', int(id)) AS at FROM range(400)")
+    lists = spark.sql("SELECT 0 AS k, date_add(DATE'2024-01-01', int(id)) AS since, date_add(DATE'2024-01-01', int(id + 1 + id % 39)) AS until FROM range(350)")
+    asked = (points, lists, ["k"], "at", "since", "until")
+    given = temporal.interval_join(*asked).count()
+    assert given == sum(1 + k % 39 for k in range(350))
+    assert temporal.met_in_bins(*asked).count() < 1.5 * given
