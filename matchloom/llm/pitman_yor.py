@@ -11,15 +11,18 @@ weight w of a new table, c customers have k tables with odds w^k S(c, k), S bein
 numbers of the discount; the root's seats of a word are then drawn anew in sequence.  Of the
 restaurants' totals a deal knows the customers and word types of all deals; their tables follow from its own state.
 A pair that occurs once has one table in every state: it is not dealt, and its customer goes to the root at once.
-Predictive probabilities are averaged over SAMPLES states of the chains with the true totals.
-
-Scoring.  A token's score depends on its word and the word before it, so that each pair of the corpus is scored once.
-The 8 * FREQUENT most frequent pairs (a bounded table) are broadcast and summed within the scan; all
-other tokens are joined with the scores by pair, and summed by document.  Discounts follow from
+The root's shares of words and the shares that contexts give to the root are averaged over SAMPLES states of the chains, with the
+true totals.
+
+Scoring.  A token's probability is its word's share in the root, times what its context gives to the root, and what the pair's own
+tables give it.  The shares of the 8 * FREQUENT most frequent words and the seats of as many pairs (bounded tables) are
+broadcast; other words' shares are joined to the texts that have them, as lists.  A scan sums the logarithms of what it knows and
+deals the other tokens by pair, as packed bytes: the hash of the pair and what a seat is worth there.  There they meet the seats of pairs
+that occur more than once; one that occurs once shows as such by its tokens, so that no table has a row for each pair.  Discounts follow from
 the counts of counts.
 
 Defined results: null or empty text is its end token alone; rows that share an id are scored each, all in
-the id's fold; a null id's fold is that of empty text; with no training rows every token has base
+the id's fold (rows that share id and text are told by that, and get what one of them gets); a null id's fold is that of empty text; with no training rows every token has base
 score 0; further columns are ignored.
 """
 
@@ -29,11 +32,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, counted, discarded, fold, in_arrow, texts
+from .common import batch, checkpointed, counted, discarded, fold, forget_others, give_back, in_arrow, texts
 from .words import mix, signed, split_words
 
 #: In a chain's rows, the mark of a word's whole count; restaurants have the other numbers.
@@ -47,8 +49,10 @@ END = int(mix(np.array([0x454E44], np.uint64))[0])
 BEGIN = int(mix(np.array([0x424547], np.uint64))[0])
 #: With so many customers a restaurant's own tables count as much as those of its whole deal.
 POOLED = 10
-#: Distinct keys that a task sums before it hands them on.
+#: Distinct keys that a task sums, or tokens that it deals, before it hands them on.
 PENDING = 1_000_000
+#: Tokens of one slot, about.
+SLOT = 500_000
 
 
 def tokens(column: pa.Array):
@@ -314,9 +318,6 @@ class Predictive:
         """What a word's own tables give it in a context, besides the root's part."""
         return (count - self.totals.discount * tables.mean(1)) / (self.totals.customers[context] + STRENGTH)
 
-    def base_score(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / (self.totals.n + 0.5 * (self.totals.v + 1)))
-
 
 def count_unigrams(train: DataFrame) -> DataFrame:
     def words(rows):
@@ -326,17 +327,107 @@ def count_unigrams(train: DataFrame) -> DataFrame:
     return summed(train, words, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """word, context, count (in rows with `train`) and uses (in all rows) of every pair."""
+def packed(slot: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """A row for each slot that occurs, with its part of each column (of one or more values for each entry) as bytes, in the order given."""
+    order = np.argsort(slot, kind="stable")
+    slots, firsts = np.unique(slot[order], return_index=True)
+    bounds = np.append(firsts, len(slot))
 
-    def pairs(rows):
-        train = rows.column("train").to_numpy(zero_copy_only=False)
-        for first, hashes, offsets in tokens(rows.column("text")):
-            own = np.repeat(train[first : first + len(offsets) - 1], np.diff(offsets))
-            yield own, signed(hashes), signed(contexts_of(hashes, offsets))
+    def as_bytes(values: np.ndarray) -> pa.Array:
+        values = np.ascontiguousarray(values[order])
+        return pa.Array.from_buffers(pa.binary(), len(slots), [None, pa.py_buffer((bounds * (values.nbytes // max(len(values), 1))).astype(np.int32)), pa.py_buffer(values)])
+
+    return {"slot": pa.array(slots, pa.int32()), **{k: as_bytes(v) for k, v in columns.items()}}
+
+
+def unpacked(rows: pa.Table, name: str, kind) -> np.ndarray:
+    """All values of a column of bytes, one row after the other."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows.column(name) if x.is_valid)])
+
+
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(keys) >> np.uint64(32)).astype(np.int64) % slots
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(fresh)
+
+
+def added(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin at `heads`."""
+    return np.add.reduceat(values, heads, axis=0) if len(heads) else values[:0]
+
+
+def filled(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of the schema, null in columns that are not given."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    found = summed(docs, pairs, "train boolean, word long, context long, count long")
-    return found.groupBy("word", "context").agg(F.sum(F.when(F.col("train"), F.col("count")).otherwise(0)).alias("count"), F.sum("count").alias("uses"))
+
+_COUNTED = pa.schema([(x, pa.int64()) for x in ("word", "context", "count")] + [("slot", pa.int32())] + [(x, pa.binary()) for x in ("contexts", "types", "customers", "alone")])
+_COUNTED_SQL = "word long, context long, count long, slot int, contexts binary, types binary, customers binary, alone binary"
+
+
+def count_pairs(train: DataFrame, slots: int) -> DataFrame:
+    """Rows with word, context and count of each pair that occurs more than once; and rows with parts of the contexts' sums over all pairs, by slots, for `sum_contexts`.
+
+    Pairs are dealt by both their words, so that no slot holds a whole frequent word.
+    """
+
+    def deal(batches):
+        parts, held = [], 0
+
+        def pack():
+            words, contexts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys = pair_keys(words, contexts)
+            order = np.argsort(keys)
+            heads = runs(keys[order])
+            at, times = order[heads], np.diff(np.append(heads, len(keys)))
+            at, times = (x[by] for by in [np.argsort(words[at])] for x in (at, times))  # equal words side by side take few bytes
+            return batch(**packed(slot_of(keys[at], slots), words=words[at], contexts=contexts[at], times=times.astype(np.int32)))
+
+        for rows in batches:
+            for _, hashes, offsets in tokens(rows.column("text")):
+                parts.append((hashes, contexts_of(hashes, offsets)))
+                held += len(hashes)
+                if held >= PENDING:
+                    yield pack()
+                    parts, held = [], 0
+        if held:
+            yield pack()
+
+    def count(rows: pa.Table) -> pa.Table:
+        words, contexts, times = (unpacked(rows, n, k) for n, k in (("words", np.uint64), ("contexts", np.uint64), ("times", np.int32)))
+        keys = pair_keys(words, contexts)
+        order = np.argsort(keys)
+        heads = runs(keys[order])
+        counts, words, contexts = added(times[order].astype(np.int64), heads), words[order[heads]], contexts[order[heads]]
+        many = counts > 1
+        pairs = filled(_COUNTED, word=signed(words[many]), context=signed(contexts[many]), count=counts[many])
+        order = np.argsort(contexts)
+        heads = runs(contexts[order])
+        names, types = contexts[order[heads]], np.diff(np.append(heads, len(contexts)))
+        sums = packed(slot_of(names, slots), contexts=names, types=types.astype(np.int32), customers=added(counts[order], heads), alone=added((~many[order]).astype(np.int64), heads).astype(np.int32))
+        return pa.Table.from_batches([pairs, filled(_COUNTED, **sums)])
+
+    return train.mapInArrow(deal, "slot int, words binary, contexts binary, times binary").groupBy("slot").applyInArrow(count, _COUNTED_SQL)
+
+
+def sum_contexts(found: DataFrame) -> DataFrame:
+    """context, types, customers and alone (pairs that occur once) of every context, from the parts of `count_pairs`."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        names = unpacked(rows, "contexts", np.uint64)
+        order = np.argsort(names)
+        heads = runs(names[order])
+        sums = {n: added(unpacked(rows, n, k)[order].astype(np.int64), heads) for n, k in (("types", np.int32), ("customers", np.int64), ("alone", np.int32))}
+        return pa.Table.from_batches([batch(context=signed(names[order[heads]]), **sums)])
+
+    parts = found.where("slot IS NOT NULL").select("slot", "contexts", "types", "customers", "alone")
+    return parts.groupBy("slot").applyInArrow(add, "context long, types long, customers long, alone long")
 
 
 _MODEL = "word long, context long, count long, tables array<int>, root_tables array<int>"
@@ -372,121 +463,235 @@ def seat_all(counts: DataFrame, totals: Totals, all_types: int, seed: int) -> Da
     return counts.groupBy("deal").applyInArrow(table, _MODEL)
 
 
-def score_pairs(pairs: DataFrame, model: DataFrame, contexts: DataFrame, totals: Totals) -> DataFrame:
-    """word, context, uses, score, base and known (1 or 0) of every pair of the corpus."""
+def word_shares(model: DataFrame, contexts: DataFrame, totals: Totals) -> tuple[DataFrame, Row]:
+    """word, n (its count), r (its share in the root), b (the share that it, as a context, gives to the root) and customers (as a context), r and b
+    averaged over the samples, of every word and the begin; and what an unknown word has."""
     sums = [F.coalesce(F.sum(F.col("tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]
-    seats, words = model.where("context IS NOT NULL").drop("root_tables"), model.where("context IS NULL")
+    seats, words = model.where("context IS NOT NULL").select("context", "tables"), model.where("context IS NULL")
     root = words.agg(*[F.coalesce(F.sum(F.col("root_tables")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
-    none = F.array(*[F.lit(0)] * SAMPLES)
-    sent = seats.groupBy("context").agg(F.array(*sums).alias("more"))
-    sent = contexts.select("context", "customers", "alone").join(sent, "context", "left").withColumn("more", F.coalesce("more", none.cast("array<bigint>")))
-    sent = sent.select("context", "customers", F.transform("more", lambda k: k + F.col("alone")).alias("sent"))
+    sent = contexts.select("context", "customers", "alone").join(seats.groupBy("context").agg(*sums), "context", "left")
+    sent = sent.select("context", "customers", F.array(*[F.coalesce(f"t{s}", F.lit(0)) + F.col("alone") for s in range(SAMPLES)]).alias("sent"))
     sent = checkpointed(sent, "lm-restaurants")  # a row for each distinct word
     every = sent.agg(*[F.coalesce(F.sum(F.col("sent")[s]), F.lit(0)).alias(f"t{s}") for s in range(SAMPLES)]).first()
-    root_customers, root_tables = np.array([float(x) for x in every]), np.array([float(x) for x in root])
-    # Only pairs that occur more than once have drawn tables; a pair that occurs once has one, others have none.
-    many = pairs.where("count > 1").join(seats.select("word", "context", "tables"), ["word", "context"])
-    own = pairs.where("count <= 1").withColumn("tables", F.array(*[F.col("count").cast("int")] * SAMPLES)).unionByName(many)
-    own = own.join(words.select("word", F.col("count").alias("word_count"), F.col("tables").alias("root"), "root_tables"), "word", "left").join(counted(sent), "context", "left")
-    own = own.select(
-        "word", "context", "uses", "count", "tables", F.coalesce("word_count", F.lit(0)).alias("word_count"),
-        F.coalesce("root", none).alias("root"), F.coalesce("root_tables", none).alias("root_tables"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("sent", none.cast("array<bigint>")).alias("sent"),
-    )
+    given = Predictive(replace(totals, customers=np.zeros(0, np.int64)), np.zeros((0, SAMPLES)), np.array([float(x) for x in every]), np.array([float(x) for x in root]))
+    unknown = float(given.unknown.mean())
+
+    def mean(parts):
+        return sum(parts[1:], parts[0]) / SAMPLES
+
+    r = mean([(F.col("tables")[s] - totals.root_discount * F.col("root_tables")[s]) / float(given.root_customers[s] + STRENGTH) for s in range(SAMPLES)]) + float(given.new.mean() * totals.base)
+    b = mean([(F.lit(STRENGTH) + totals.discount * F.col("sent")[s]) / (F.col("customers") + STRENGTH) for s in range(SAMPLES)])
+    shares = words.select("word", F.col("count").alias("n"), r.alias("r")).join(sent.select(F.col("context").alias("word"), "customers", b.alias("b")), "word", "full")
+    shares = checkpointed(shares.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("r", F.lit(unknown)).alias("r"), F.coalesce("b", F.lit(1.0)).alias("b"), F.coalesce("customers", F.lit(0)).alias("customers")), "lm-words")
+    discarded(sent)
+    return shares, Row(n=0, r=unknown, b=1.0, customers=0)
+
+
+def pair_seats(model: DataFrame, discount: float, slots: int) -> DataFrame:
+    """slot, pair, count and seat (what its own tables give it) of each pair that occurs more than once."""
 
     def task(rows: pa.RecordBatch):
-        tables, root, root_seated, sent = (rows.column(c).flatten().to_numpy().reshape(-1, SAMPLES) for c in ("tables", "root", "root_tables", "sent"))
-        count, word_count, customers = (rows.column(c).to_numpy() for c in ("count", "word_count", "customers"))
-        here = Predictive(replace(totals, customers=customers), sent, root_customers, root_tables)
-        known = word_count > 0
-        share = np.where(known[:, None], here.root(root, root_seated), here.unknown)
-        share = (share * here.beta).mean(1) + np.where(count > 0, here.seats(np.arange(len(count)), count, tables), 0)
-        yield batch(word=rows.column("word"), context=rows.column("context"), uses=rows.column("uses"), score=np.log10(share), base=here.base_score(word_count), known=known.astype(np.int64))
+        word, context = (rows.column(c).to_numpy().view(np.uint64) for c in ("word", "context"))
+        keys, count = pair_keys(word, context), rows.column("count").to_numpy()
+        seat = count - discount * rows.column("tables").flatten().to_numpy().reshape(-1, SAMPLES).mean(1)
+        yield batch(slot=slot_of(keys, slots).astype(np.int32), pair=signed(keys), count=count, seat=seat.astype(np.float32))
 
-    return in_arrow(own, task, "word long, context long, uses long, score double, base double, known long")
+    return in_arrow(model.where("context IS NOT NULL").select("word", "context", "count", "tables"), task, "slot int, pair long, count long, seat float")
 
 
 @dataclass
-class Frequent:
-    """The broadcast scores of pairs, by ascending key."""
+class Known:
+    """Values by ascending key."""
 
     keys: np.ndarray
-    values: np.ndarray  # pairs x (score, base, known)
+    values: dict[str, np.ndarray]
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys it has, and the values, zeros where it has none."""
+    @classmethod
+    def of(cls, key: np.ndarray, **values: np.ndarray) -> Known:
+        order = np.argsort(key)
+        return cls(key[order], {k: v[order] for k, v in values.items()})
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys it has, and where."""
         if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros((len(keys), 3))
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        has = self.keys[at] == keys
-        return has, np.where(has[:, None], self.values[at], 0)
+        return self.keys[at] == keys, at
+
+
+def frequent_part(df: DataFrame, key: str, by, values: list[str]) -> Known:
+    """The rows with the 8 * FREQUENT largest values of `by`."""
+    got = df.orderBy(by.desc(), key).select(key, *values).limit(8 * FREQUENT).toArrow().combine_chunks()
+    return Known.of(got.column(key).to_numpy().view(np.uint64), **{c: got.column(c).to_numpy() for c in values})
+
+
+_SHARES = ["n", "r", "b", "customers"]
+#: By row, what is summed over its tokens, and how many equal rows that is.
+_SUMS = ["copies", "n_tokens", "known", "base", "score"]
+
+
+def rare_shares(docs: DataFrame, shares: DataFrame, frequent) -> DataFrame:
+    """_row and the shares of its words that are not broadcast."""
+
+    def task(rows: pa.RecordBatch):
+        names = rows.column("_row").to_numpy()
+        for first, hashes, offsets in tokens(rows.column("text")):
+            open_ = np.flatnonzero(~frequent.value.find(hashes)[0])
+            of, words = np.searchsorted(offsets, open_, "right") - 1, hashes[open_]
+            order = np.lexsort((words, of))
+            of, words = of[order], words[order]
+            heads = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (words[1:] != words[:-1]))) if len(of) else of
+            yield batch(_row=names[first + of[heads]], word=signed(words[heads]))
+
+    found = in_arrow(docs.select("_row", "text"), task, "_row long, word long").join(shares, "word")
+    return found.groupBy("_row").agg(F.collect_list(F.struct("word", *_SHARES)).alias("rare"))
 
 
-def frequent_part(scores: DataFrame) -> Frequent:
-    got = scores.orderBy(F.desc("uses"), "word", "context").limit(8 * FREQUENT).drop("uses").toArrow().combine_chunks()
-    word, context = (got.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "context"))
-    keys = pair_keys(word, context)
-    order = np.argsort(keys)
-    return Frequent(keys[order], np.stack([got.column(c).to_numpy().astype(float) for c in ("score", "base", "known")], 1)[order])
+_DEALT = pa.schema([("slot", pa.int32())] + [(x, pa.binary()) for x in ("rows", "pairs", "gains", "sums")])
+_DEALT_SQL = "slot int, rows binary, pairs binary, gains binary, sums binary"
+
+
+def deal_tokens(docs: DataFrame, words, pairs, begin: Row, unknown: Row, totals: Totals, slots: int) -> DataFrame:
+    """Rows with the sums of texts as if no pair had seats of its own, and of the broadcast pairs' seats; and rows with all other tokens, by slots of their pairs.
+
+    A token's share is r * b + seat / (customers + STRENGTH), so its seat adds log10(1 + seat * gain).  Gains of held-out texts are negative.
+    """
+
+    def given(rows: pa.RecordBatch, first: int, hashes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        has, at = words.value.find(hashes)
+        out = {c: np.where(has, v[at], unknown[c]) if len(v) else np.full(len(hashes), unknown[c]) for c, v in words.value.values.items()}
+        open_ = np.flatnonzero(~has)
+        lists = rows.column("rare").slice(first, len(offsets) - 1)
+        if len(open_) and lists.null_count < len(lists):
+            inner, of = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            own = {c: inner.field(c).to_numpy() for c in ("word", *_SHARES)}
+            rare = Known.of(pair_keys(own.pop("word").view(np.uint64), of.astype(np.uint64)), **own)
+            has, at = rare.find(pair_keys(hashes[open_], (np.searchsorted(offsets, open_, "right") - 1).astype(np.uint64)))
+            for c, v in rare.values.items():
+                out[c][open_[has]] = v[at[has]]
+        return out
+
+    def run(batches):
+        parts, sums, held = [], [], 0
+
+        def pack():
+            keys, gains, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield filled(_DEALT, **packed(slot_of(keys, slots), rows=rows, pairs=keys, gains=gains))
+            names, values = (np.concatenate(x) for x in zip(*sums, strict=True))
+            yield filled(_DEALT, **packed(slot_of(names.view(np.uint64), slots), rows=names, sums=values))
+
+        forget_others("")
+        for rows in batches:
+            names, train = rows.column("_row").to_numpy(), rows.column("train").to_numpy(zero_copy_only=False)
+            for first, hashes, offsets in tokens(rows.column("text")):
+                n = len(offsets) - 1
+                if not n:
+                    continue
+                of = np.repeat(np.arange(first, first + n), np.diff(offsets))
+                own = given(rows, first, hashes, offsets)
+                b, customers = np.append(begin.b, own["b"][:-1]), np.append(begin.customers, own["customers"][:-1])
+                b[offsets[:-1]], customers[offsets[:-1]] = begin.b, begin.customers
+                share = own["r"] * b
+                gain = 1 / (share * (customers + STRENGTH))
+                keys = pair_keys(hashes, contexts_of(hashes, offsets))
+                has, at = pairs.value.find(keys)
+                score = np.log10(share)
+                score[has] += np.log10(1 + pairs.value.values["seat"][at[has]] * gain[has])
+                values = np.stack([np.zeros(len(share)), np.ones(len(share)), own["n"] > 0, np.log10((own["n"] + 0.5) / (totals.n + 0.5 * (totals.v + 1))), score], 1)
+                values = np.add.reduceat(values, offsets[:-1])
+                values[:, 0] = 1
+                sums.append((names[first : first + n], values))
+                rest = np.flatnonzero(~has & (own["n"] > 0) & (customers > 0))
+                parts.append((keys[rest], np.where(train[of[rest]], gain[rest], -gain[rest]).astype(np.float32), names[of[rest]]))
+                held += len(rest) + n
+                if held >= PENDING:
+                    yield from pack()
+                    parts, sums, held = [], [], 0
+        if sums:
+            yield from pack()
+        give_back()
+
+    return docs.mapInArrow(run, _DEALT_SQL)
+
+
+def seat_sums(dealt: DataFrame, seats: DataFrame, discount: float, slots: int) -> DataFrame:
+    """_row and the sums of every text, from the tokens of `deal_tokens` and the seats of their pairs."""
+
+    def seat(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, gains, rows = (unpacked(left.filter(left.column("pairs").is_valid()), n, k) for n, k in (("pairs", np.uint64), ("gains", np.float32), ("rows", np.int64)))
+        order = np.argsort(keys)
+        keys, gains, rows = keys[order], gains[order].astype(float), rows[order]
+        heads = runs(keys)
+        # A pair's count is that of its tokens in training texts; one that occurs once has one table.
+        own = np.where(added((gains > 0).astype(np.int64), heads) == 1, 1 - discount, 0.0)
+        known = Known.of(right.column("pair").to_numpy().view(np.uint64), seat=right.column("seat").to_numpy().astype(float))
+        has, at = known.find(keys[heads])
+        own[has] = known.values["seat"][at[has]]
+        more = np.log10(1 + np.repeat(own, np.diff(np.append(heads, len(keys)))) * np.abs(gains))
+        order = np.argsort(rows, kind="stable")
+        heads = runs(rows[order])
+        names, sums = rows[order[heads]], np.zeros((len(heads), len(_SUMS)))
+        sums[:, -1] = added(more[order], heads)
+        others = left.filter(left.column("sums").is_valid())
+        names = np.concatenate([names, unpacked(others, "rows", np.int64)])
+        sums = np.concatenate([sums, unpacked(others, "sums", float).reshape(-1, len(_SUMS))])
+        return pa.Table.from_batches([batch(**packed(slot_of(names.view(np.uint64), slots), rows=names, sums=sums))])
+
+    def add(rows: pa.Table) -> pa.Table:
+        names, sums = unpacked(rows, "rows", np.int64), unpacked(rows, "sums", float).reshape(-1, len(_SUMS))
+        order = np.argsort(names, kind="stable")
+        heads = runs(names[order])
+        sums = added(sums[order], heads)
+        return pa.Table.from_batches([batch(_row=names[order[heads]], **{c: np.ascontiguousarray(sums[:, k]) for k, c in enumerate(_SUMS)})])
+
+    parts = dealt.groupBy("slot").cogroup(seats.select("slot", "pair", "seat").groupBy("slot")).applyInArrow(seat, "slot int, rows binary, sums binary")
+    return parts.groupBy("slot").applyInArrow(add, "_row long, " + ", ".join(f"{c} double" for c in _SUMS))
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, folds: int = 5, seed: int = 23) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = df.sparkSession
-    docs = texts(df, id_col, text_col).withColumn("train", fold("doc_id", folds) != held_out)
-    unigrams = checkpointed(count_unigrams(docs.where("train")), "lm-unigrams")
+    docs = texts(df, id_col, text_col).withColumns({"train": fold("doc_id", folds) != held_out, "_row": F.xxhash64("doc_id", "text")})
+    train = docs.where("train").select("text")
+    unigrams = checkpointed(count_unigrams(train), "lm-unigrams")
     sizes = [F.sum("count").alias("n"), F.count("*").alias("v"), F.count_if(F.col("count") == 1).alias("one"), F.count_if(F.col("count") == 2).alias("two")]
     all_ = unigrams.agg(*sizes).first()
-    pairs = checkpointed(count_pairs(docs), "lm-pairs")
-    trained = pairs.where("count > 0").drop("uses")
-    of_pairs = trained.agg(*sizes).first()
+    slots = max(1, -(-(all_.n or 0) // SLOT))
+    found = checkpointed(count_pairs(train, slots), "lm-pairs")
+    trained = found.where("slot IS NULL").select("word", "context", "count")
+    contexts = checkpointed(sum_contexts(found), "lm-contexts")
+    kinds = contexts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("alone"), F.lit(0)).alias("one")).first()
+    twos = trained.where("count = 2").count()
 
     def discount(ones: int, twos: int) -> float:
         return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
-    totals = Totals(np.zeros(0, np.int64), np.zeros(0, np.int64), all_.n or 0, all_.v, discount(of_pairs.one, of_pairs.two), discount(all_.one, all_.two))
-    contexts = checkpointed(trained.groupBy("context").agg(F.count("*").alias("types"), F.sum("count").alias("customers"), F.count_if(F.col("count") == 1).alias("alone")), "lm-contexts")
-    deals = max(1, -(-(all_.v + of_pairs.v) // DEAL))
+    totals = Totals(np.zeros(0, np.int64), np.zeros(0, np.int64), all_.n or 0, all_.v, discount(kinds.one, twos), discount(all_.one, all_.two))
+    deals = max(1, -(-(all_.v + kinds.v) // DEAL))
     none = F.lit(None).cast("long")
-    counts = unigrams.select("word", none.alias("context"), "count", none.alias("types"), none.alias("customers")).unionByName(trained.where("count > 1").join(counted(contexts.drop("alone")), "context"))
+    counts = unigrams.select("word", none.alias("context"), "count", none.alias("types"), none.alias("customers")).unionByName(trained.join(counted(contexts.drop("alone")), "context"))
     counts = counts.withColumn("deal", F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(deals)))
-    model = checkpointed(seat_all(counts, totals, of_pairs.v, seed), "lm-seats")
-    scores = checkpointed(score_pairs(pairs, model, contexts, totals), "lm-scores")
-    discarded(unigrams, pairs, contexts, model)
-    frequent = spark.sparkContext.broadcast(frequent_part(scores))
-
-    def scan(batches):
-        seen, part = 0, TaskContext.get().partitionId() << 36
-        for rows in batches:
-            for first, hashes, offsets in tokens(rows.column("text")):
-                docs_here = len(offsets) - 1
-                context = contexts_of(hashes, offsets)
-                has, values = frequent.value.lookup(pair_keys(hashes, context))
-                sums = np.add.reduceat(values, offsets[:-1]) if docs_here else np.zeros((0, 3))
-                rare = np.flatnonzero(~has)
-                bounds = np.searchsorted(rare, offsets)
-                others = pa.StructArray.from_arrays([pa.array(signed(hashes[rare])), pa.array(signed(context[rare]))], ["word", "context"])
-                yield batch(
-                    _row=part + seen + first + np.arange(docs_here),
-                    doc_id=rows.column("doc_id").slice(first, docs_here),
-                    n_tokens=np.diff(offsets),
-                    known=sums[:, 2].astype(np.int64),
-                    score=np.ascontiguousarray(sums[:, 0]),
-                    base=np.ascontiguousarray(sums[:, 1]),
-                    rare=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), others),
-                )
-            seen += rows.num_rows
-
-    scored = docs.select("doc_id", "text").mapInArrow(scan, "_row long, doc_id long, n_tokens long, known long, score double, base double, rare array<struct<word: long, context: long>>")
-    scored = checkpointed(scored, "lm-scan")
-    rare = scored.select("_row", F.inline("rare")).join(scores.drop("uses"), ["word", "context"])
-    rare = rare.groupBy("_row").agg(F.sum("score").alias("_score"), F.sum("base").alias("_base"), F.sum("known").alias("_known"))
-    zero = F.lit(0.0)
-    return scored.drop("rare").join(rare, "_row", "left").select(
+    model = checkpointed(seat_all(counts, totals, kinds.v, seed), "lm-seats")
+    discarded(unigrams, found)
+    shares, unknown = word_shares(model, contexts, totals)
+    seats = checkpointed(pair_seats(model, totals.discount, slots), "lm-pair-seats")
+    discarded(contexts, model)
+    words = spark.sparkContext.broadcast(frequent_part(shares, "word", F.greatest("n", "customers"), _SHARES))
+    pairs = spark.sparkContext.broadcast(frequent_part(seats, "pair", F.col("count"), ["seat"]))
+    begin = shares.where(F.col("word") == int(signed(np.array([BEGIN], np.uint64))[0])).first() or unknown
+    given = docs.join(rare_shares(docs, shares, words), "_row", "left").select("_row", "text", "train", "rare")
+    sums = checkpointed(seat_sums(deal_tokens(given, words, pairs, begin, unknown, totals, slots), seats, totals.discount, slots), "lm-sums")
+    discarded(shares, seats)
+
+    def each(name: str, kind: str = "double"):
+        return (F.col(name) / F.col("copies")).cast(kind)
+
+    return docs.select("_row", "doc_id").join(sums, "_row").select(
         "doc_id",
         (fold("doc_id", folds) == held_out).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        each("n_tokens", "long").alias("n_tokens"),
+        each("known", "long").alias("n_known"),
         F.lit(totals.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", zero)).alias("score"),
+        each("base").alias("base_score"),
+        each("score").alias("score"),
     )

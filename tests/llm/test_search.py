@@ -187,6 +187,40 @@ def test_pairs_that_occur_once_are_not_dealt(documents, monkeypatch):
     assert sum(r.context is None for r in dealt) == learnt + 3  # every word and the end keep their whole counts
 
 
+def test_no_step_has_a_row_for_each_pair(documents, monkeypatch):
+    """Pairs that occur once are most of a corpus, and steps with a row for each went beyond the disk limit."""
+    steps, checkpointed = [], pitman_yor.checkpointed
+
+    def noted(df, what):
+        steps.append(checkpointed(df, what))
+        counts[what] = steps[-1].count()
+        return steps[-1]
+
+    counts = {}
+    monkeypatch.setattr(pitman_yor, "checkpointed", noted)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 100)) for _ in range(150)]
+    pairs = len({p for t in texts for p in zip(t.split(), t.split()[1:], strict=False)})
+    assert pitman_yor.score_documents(documents(list(enumerate(texts)))).count() == 150
+    assert max(counts.values()) < pairs / 2, (counts, pairs)
+
+
+def test_scores_where_every_word_occurs_once(documents, monkeypatch):
+    """All tables are known then, so that scores follow by hand; in many slots, most of them without seats of their own."""
+    monkeypatch.setattr(pitman_yor, "SLOT", 1)
+    train = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held, other = [i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = pitman_yor.score_documents(documents([(train, "A b c"), (held, "a b z c"), (held, "a b z c"), (other, None)])).collect()
+    d, n = 0.95, 4
+    new = (1 + d * n) / (n + 1)
+    root, unknown, context = (1 - d) / (n + 1) + new * 0.5 / n, new * 0.5, (1 + d) / 2
+    known = root * context + (1 - d) / 2
+    wanted = {train: [known] * 4, held: [known, known, unknown * context, root, known], other: [root * context]}
+    assert len(rows) == 4
+    for r in rows:
+        assert r.n_tokens == len(wanted[r.doc_id]) and abs(r.score - sum(map(math.log10, wanted[r.doc_id]))) < 1e-5
+
+
 def small_chain(seed=0, words=200):
     rng = np.random.default_rng(seed)
     pairs = Counter(zip(rng.zipf(1.3, 8000).clip(max=words) - 1, rng.choice([0, 1, 2, 63], 8000), strict=True))
