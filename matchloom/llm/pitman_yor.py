@@ -52,7 +52,9 @@ POOLED = 10
 #: Distinct keys that a task sums, or tokens that it deals, before it hands them on.
 PENDING = 1_000_000
 #: Tokens of one slot, about.
-SLOT = 500_000
+SLOT = 1_000_000
+#: Steps of the Stirling numbers between two that take logarithms; numbers grow by far less than doubles hold.
+STEPS = 24
 
 
 def tokens(column: pa.Array):
@@ -179,17 +181,37 @@ class Tables:
     def stirling(self, sizes: np.ndarray, width: int) -> np.ndarray:
         """Logarithms of the generalised Stirling numbers of each of the ascending sizes and 1 to `width` tables."""
         out, k = np.empty((len(sizes), width)), np.arange(1, width + 1)
-        row, done = np.full(width, -np.inf), 0
+        row, done, c = np.full(width, -np.inf), 0, 1
         row[0] = 0
-        for c in range(1, int(sizes[-1]) + 1):
+        while True:
             if c == sizes[done]:
                 out[done] = row
                 done += 1
-            up = min(c, width - 1)
-            stay = row[: up + 1] + np.log(np.maximum(c - self.discount * k[: up + 1], 1e-300))
-            stay[1:] = np.logaddexp(stay[1:], row[:up])
-            row[: up + 1] = stay
-        return out
+                if done == len(sizes):
+                    return out
+            if c >= width:
+                break
+            stay = row[: c + 1] + np.log(np.maximum(c - self.discount * k[: c + 1], 1e-300))
+            stay[1:] = np.logaddexp(stay[1:], row[:c])
+            row[: c + 1] = stay
+            c += 1
+        # Every number is above 0 now: a few steps at a time are taken on multiples of those at their start, without logarithms.
+        gone, part, moved, factor = self.discount * k, np.empty(width), np.empty(width - 1), np.empty(width)
+        left, right, wanted = part[:-1], part[1:], sizes.tolist()
+        while True:
+            part[:], from_left = 1, np.exp(row[:-1] - row[1:])
+            for _ in range(STEPS):
+                np.multiply(left, from_left, out=moved)
+                np.subtract(c, gone, out=factor)
+                np.multiply(part, factor, out=part)
+                np.add(right, moved, out=right)
+                c += 1
+                if c == wanted[done]:
+                    out[done] = row + np.log(part)
+                    done += 1
+                    if done == len(wanted):
+                        return out
+            row = row + np.log(part)
 
     def draw(self, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Tables of each dish; `weight`: of a new table."""
@@ -515,8 +537,9 @@ class Known:
         """Which keys it has, and where."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys, at
+        asked, inverse = np.unique(keys, return_inverse=True)  # in order, and few of them, they are found faster
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return (self.keys[at] == asked)[inverse], at[inverse]
 
 
 def frequent_part(df: DataFrame, key: str, by, values: list[str]) -> Known:
@@ -548,6 +571,7 @@ def rare_shares(docs: DataFrame, shares: DataFrame, frequent) -> DataFrame:
 
 
 _DEALT = pa.schema([("slot", pa.int32())] + [(x, pa.binary()) for x in ("rows", "pairs", "gains", "sums")])
+_SUMMED = pa.schema([("slot", pa.int32())] + [(x, pa.binary()) for x in ("rows", "more", "sums")])
 _DEALT_SQL = "slot int, rows binary, pairs binary, gains binary, sums binary"
 
 
@@ -630,21 +654,23 @@ def seat_sums(dealt: DataFrame, seats: DataFrame, discount: float, slots: int) -
         more = np.log10(1 + np.repeat(own, np.diff(np.append(heads, len(keys)))) * np.abs(gains))
         order = np.argsort(rows, kind="stable")
         heads = runs(rows[order])
-        names, sums = rows[order[heads]], np.zeros((len(heads), len(_SUMS)))
-        sums[:, -1] = added(more[order], heads)
-        others = left.filter(left.column("sums").is_valid())
-        names = np.concatenate([names, unpacked(others, "rows", np.int64)])
-        sums = np.concatenate([sums, unpacked(others, "sums", float).reshape(-1, len(_SUMS))])
-        return pa.Table.from_batches([batch(**packed(slot_of(names.view(np.uint64), slots), rows=names, sums=sums))])
+        names = rows[order[heads]]
+        found = packed(slot_of(names.view(np.uint64), slots), rows=names, more=added(more[order], heads).astype(np.float32))
+        whole = left.filter(left.column("sums").is_valid()).combine_chunks()
+        return pa.concat_tables([pa.Table.from_batches([filled(_SUMMED, **found)]), pa.Table.from_arrays([whole.column(c) if c in whole.column_names else pa.nulls(len(whole), pa.binary()) for c in _SUMMED.names], schema=_SUMMED)])
 
     def add(rows: pa.Table) -> pa.Table:
-        names, sums = unpacked(rows, "rows", np.int64), unpacked(rows, "sums", float).reshape(-1, len(_SUMS))
+        whole, parts = rows.filter(rows.column("sums").is_valid()), rows.filter(rows.column("more").is_valid())
+        more = unpacked(parts, "more", np.float32)
+        sums = np.concatenate([unpacked(whole, "sums", float).reshape(-1, len(_SUMS)), np.zeros((len(more), len(_SUMS)))])
+        sums[len(sums) - len(more) :, -1] = more
+        names = np.concatenate([unpacked(x, "rows", np.int64) for x in (whole, parts)])
         order = np.argsort(names, kind="stable")
         heads = runs(names[order])
         sums = added(sums[order], heads)
         return pa.Table.from_batches([batch(_row=names[order[heads]], **{c: np.ascontiguousarray(sums[:, k]) for k, c in enumerate(_SUMS)})])
 
-    parts = dealt.groupBy("slot").cogroup(seats.select("slot", "pair", "seat").groupBy("slot")).applyInArrow(seat, "slot int, rows binary, sums binary")
+    parts = dealt.groupBy("slot").cogroup(seats.select("slot", "pair", "seat").groupBy("slot")).applyInArrow(seat, "slot int, rows binary, more binary, sums binary")
     return parts.groupBy("slot").applyInArrow(add, "_row long, " + ", ".join(f"{c} double" for c in _SUMS))
 
 

@@ -221,6 +221,17 @@ def test_scores_where_every_word_occurs_once(documents, monkeypatch):
         assert r.n_tokens == len(wanted[r.doc_id]) and abs(r.score - sum(map(math.log10, wanted[r.doc_id]))) < 1e-5
 
 
+def test_stirling_numbers_are_those_of_their_recursion():
+    tables = pitman_yor.Tables(np.zeros(0, np.int64), 0.7, np.zeros(0, np.int64))
+    for sizes, width in (([1, 2, 5], 5), ([3, 40, 41, 120], 7), ([30], 1)):
+        got, row = tables.stirling(np.array(sizes), width), [1.0] + [0.0] * (width - 1)
+        for c in range(1, sizes[-1] + 1):
+            if c in sizes:
+                own = min(c, width)
+                assert np.allclose(got[sizes.index(c)][:own], [math.log(x) for x in row[:own]], atol=1e-9) and (got[sizes.index(c)][own:] == -np.inf).all()
+            row = [(c - 0.7 * (k + 1)) * row[k] + (row[k - 1] if k else 0) for k in range(width)]
+
+
 def small_chain(seed=0, words=200):
     rng = np.random.default_rng(seed)
     pairs = Counter(zip(rng.zipf(1.3, 8000).clip(max=words) - 1, rng.choice([0, 1, 2, 63], 8000), strict=True))
