@@ -2,7 +2,7 @@
 
 The vocabulary is a `tokenizers` JSON file of a BPE model with word ends, over byte-level characters,
 after NFC, joining of white space and lower case.  White space never lies within a token, so texts are
-put together from stretches without it, and those from pre-tokens.  A process remembers both, each in two generations
+put together from stretches without it, and those from pre-tokens.  A process remembers both together, in two generations
 of bounded number and size, so that what stands often stays known and what stands once goes.  One scan, no shuffle.
 
 Defined results: null or empty text has no ids and decodes to empty text; repeated rows are encoded
@@ -28,7 +28,7 @@ from .common import batch, in_arrow, remembered, texts
 #: White space of the vocabulary's normaliser (the Unicode property), where Python's differs by the separators below.
 _SPACES = regex.compile("[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
 _SEPARATORS = regex.compile("[\\x1C-\\x1F]")
-#: Stretches, or pre-tokens, that a generation of a process's memory holds, and the characters that it and they may take.
+#: Half of the stretches and pre-tokens that a generation of a process's memory holds, and of the characters that it and they may take.
 KNOWN, KNOWN_CHARACTERS = 1 << 17, 16_000_000
 #: Characters of a stretch that is remembered; longer ones, as texts without white space are, are put together from pre-tokens each time.
 LONGEST_KNOWN = 64
@@ -77,7 +77,9 @@ class Memory(dict):
         self.make, self.size, self.most, self.held, self.old = make, size, characters, 0, {}
 
     def __missing__(self, key: str):
-        found = self.old.get(key) or self.make(key)
+        return self.kept(key, self.old.get(key) or self.make(key))
+
+    def kept(self, key: str, found: tuple[str, str]) -> tuple[str, str]:
         if len(key) > LONGEST_KNOWN:
             return found
         self.held += len(key) + len(found[0]) + len(found[1])
@@ -109,10 +111,12 @@ class Codec:
         self.decimal = {i: str(i) for i in self.strings}
         pattern = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(pattern)
+        #: Letters alone are one pre-token then.
+        self.runs_of_letters = "|[\\p{L}]+|" in pattern
         self.cut_newer = regex.compile(re.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{_NEWER_CLASS}]", pattern), regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.pieces = Memory(lambda piece: self.shown(self.encode_piece(piece)))
-        self.known = Memory(self.encode_stretch)
+        #: Of stretches and of pre-tokens: one that is a stretch by itself has the same ids.
+        self.known = Memory(self.encode_stretch, 2 * KNOWN, 2 * KNOWN_CHARACTERS)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token.
@@ -172,12 +176,15 @@ class Codec:
         """Ids of normalised text without white space, in decimal, and their strings; a space in front marks a special token."""
         if stretch[0] == " ":
             return str(self.special[stretch[1:]]), stretch[1:]
-        cut = self.cut_newer if not stretch.isascii() and _HAS_NEWER.search(stretch) else self.cut
-        pieces, known = cut.findall(stretch), self.pieces
+        if stretch.isascii():
+            pieces = [stretch] if self.runs_of_letters and stretch.isalpha() else self.cut.findall(stretch)
+        else:
+            pieces = (self.cut_newer if _HAS_NEWER.search(stretch) else self.cut).findall(stretch)
         if len(pieces) == 1:
-            return known[pieces[0]]
-        found = [known[p] for p in pieces]
-        return (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+            return self.shown(self.encode_piece(pieces[0]))
+        known = self.known
+        ids, strings = zip(*[known.get(p) or known.kept(p, known.old.get(p) or self.shown(self.encode_piece(p))) for p in pieces], strict=True)
+        return " ".join(ids), " ".join(strings)
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings, joined by spaces as the file names no decoder."""
@@ -206,8 +213,7 @@ class Codec:
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids of a text in decimal, and its decoded text."""
-        known = self.known
-        found = [known[s] for s in self.stretches(text)]
+        found = list(map(self.known.__getitem__, self.stretches(text)))
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
 

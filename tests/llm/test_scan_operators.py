@@ -123,6 +123,18 @@ def test_codec_hands_results_on_in_slices(spark, monkeypatch):
     assert [r for b in out for r in b.to_pylist()] == [r for b in task(rows) for r in b.to_pylist()] and [r["doc_id"] for b in out for r in b.to_pylist()] == list(range(202))
 
 
+def test_a_word_is_remembered_once():
+    """A pre-token that is a stretch by itself is encoded once, whether it came alone or within another first."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        codec = bpe_codec.Codec(f.read())
+    made, encode = [], codec.encode_piece
+    codec.encode_piece = lambda piece: made.append(piece) or encode(piece)
+    assert codec.encode("wurd wurd, -wurd othr! othr") == tuple(" ".join(codec.encode(x)[k] for x in ("wurd", "wurd,", "-wurd", "othr!", "othr")) for k in (0, 1))
+    assert sorted(made) == sorted({"wurd", ",", "-", "othr", "!"}) and not hasattr(codec, "pieces")
+
+
 def test_codec_memory_is_bounded_by_size():
     made = []
     memory = bpe_codec.Memory(lambda key: made.append(key) or (key, "x" * 90), size=1000, characters=1000)
