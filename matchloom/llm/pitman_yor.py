@@ -655,13 +655,13 @@ def seat_sums(dealt: DataFrame, seats: DataFrame, discount: float, slots: int) -
         order = np.argsort(rows, kind="stable")
         heads = runs(rows[order])
         names = rows[order[heads]]
-        found = packed(slot_of(names.view(np.uint64), slots), rows=names, more=added(more[order], heads).astype(np.float32))
+        found = packed(slot_of(names.view(np.uint64), slots), rows=names, more=added(more[order], heads))
         whole = left.filter(left.column("sums").is_valid()).combine_chunks()
         return pa.concat_tables([pa.Table.from_batches([filled(_SUMMED, **found)]), pa.Table.from_arrays([whole.column(c) if c in whole.column_names else pa.nulls(len(whole), pa.binary()) for c in _SUMMED.names], schema=_SUMMED)])
 
     def add(rows: pa.Table) -> pa.Table:
         whole, parts = rows.filter(rows.column("sums").is_valid()), rows.filter(rows.column("more").is_valid())
-        more = unpacked(parts, "more", np.float32)
+        more = unpacked(parts, "more", float)
         sums = np.concatenate([unpacked(whole, "sums", float).reshape(-1, len(_SUMS)), np.zeros((len(more), len(_SUMS)))])
         sums[len(sums) - len(more) :, -1] = more
         names = np.concatenate([unpacked(x, "rows", np.int64) for x in (whole, parts)])
