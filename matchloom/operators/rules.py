@@ -88,28 +88,35 @@ def extra_confidence(best_score: Column) -> Column:
     return F.when(best_score.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.round(best_score, 4)))
 
 
-#: Losing lines that a winner's note names; of more it gives the number.
-NAMED_LOSERS = 100
+#: Losing lines that are put together at a time.
+LOSERS_AT_ONCE = 4096
+
+
+def losing_lines(claims: DataFrame) -> DataFrame:
+    """_of, _first and _losers: each item with several claimants, its winner, and all of its losing lines in order.
+
+    Places are told in a sort, which may go to disk, and lines are put together in parts; only the list of an item is whole, eight bytes a line.
+    """
+    order = Window.partitionBy("item_no").orderBy(F.desc("confidence"), "line_no")
+    placed = claims.select("item_no", "line_no", F.row_number().over(order).alias("_place"), F.first("line_no").over(order).alias("_first")).where("_place > 1")
+    parts = placed.groupBy("item_no", "_first", F.expr(f"_place div {LOSERS_AT_ONCE}").alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_place", "line_no"))).alias("_lines"))
+    parts = parts.select("item_no", "_first", F.struct("_part", F.col("_lines.line_no").alias("lines")).alias("_part"))
+    return parts.groupBy(F.col("item_no").alias("_of"), "_first").agg(F.flatten(F.sort_array(F.collect_list("_part"))["lines"]).alias("_losers"))
 
 
 def resolve_conflicts(claims: DataFrame) -> DataFrame:
     """Adds to `claims` (line_no, item_no, confidence, is_alternative) for items with several claimants:
 
     conflict_role (`winner`, `loser` or null), conflict_status of losers, winner_line, winner_confidence,
-    losers (the first NAMED_LOSERS of their lines, in order) and losing (how many there are).  The order is confidence descending, then line.
+    and to winners losers (all of their lines, in order) and losing (how many there are).  The order is confidence descending, then line.
 
-    Winners and counts are sums that combine before their shuffle, and losers' names are cut off before theirs, so an item that
-    very many lines claim is never gathered.
+    Winners and counts are sums that combine before their shuffle, so an item that very many lines claim is not gathered for them.
+    Losers join their winner alone, and only where they are asked for.
     """
     best = F.max(F.struct("confidence", (-F.col("line_no")).alias("_minus")))
-    items = claims.groupBy("item_no").agg(best.alias("_best"), (F.count("*") - 1).alias("_others")).where("_others > 0")
-    place = F.row_number().over(Window.partitionBy("item_no").orderBy(F.desc("confidence"), "line_no"))
-    named = claims.select("item_no", "line_no", "confidence").withColumn("_place", place).where(F.col("_place") <= NAMED_LOSERS + 1)
-    named = named.where("_place > 1").groupBy("item_no").agg(F.sort_array(F.collect_list(F.struct("_place", "line_no"))).alias("_named"))
-    facts = items.join(named, "item_no").select(
-        F.col("item_no").alias("_item"), F.col("_best.confidence").alias("winner_confidence"), (-F.col("_best._minus")).alias("winner_line"), F.transform("_named", lambda n: n["line_no"]).alias("_losers"), F.col("_others").alias("losing")
-    )
-    rows = claims.join(facts, F.col("item_no") == F.col("_item"), "left")
+    items = claims.groupBy("item_no").agg(best.alias("_best"), (F.count("*") - 1).alias("losing")).where("losing > 0")
+    facts = items.select(F.col("item_no").alias("_item"), F.col("_best.confidence").alias("winner_confidence"), (-F.col("_best._minus")).alias("winner_line"), "losing")
+    rows = claims.join(facts, F.col("item_no") == F.col("_item"), "left").join(losing_lines(claims), (F.col("item_no") == F.col("_of")) & (F.col("line_no") == F.col("_first")), "left")
     several, won = F.col("_item").isNotNull(), F.col("line_no") == F.col("winner_line")
     lost = F.when(F.col("is_alternative") & (F.col("winner_confidence") - F.col("confidence") <= ALTERNATIVE_GAP), "alternative").otherwise("ambiguous")
     return rows.select(
@@ -123,10 +130,10 @@ def resolve_conflicts(claims: DataFrame) -> DataFrame:
 
 
 def conflict_note(role: Column, status: Column, winner: Column, winner_confidence: Column, confidence: Column, losers: Column, losing: Column) -> Column:
-    """Fixed wording of the notes on conflicts; `losing`: how many lines lost, of which `losers` names the first."""
+    """Fixed wording of the notes on conflicts; `losing`: how many lines lost, all of which `losers` names."""
     won = F.concat(
         F.lit("otra(s) "), losing.cast("string"), F.lit(" linea(s) de la oferta apuntan al mismo item ("),
-        F.array_join(F.transform(losers, lambda n: F.concat(F.lit("#"), n.cast("string"))), ", "), F.when(losing > F.size(losers), ", ...").otherwise(""), F.format_string("): gano esta por confianza %.2f", confidence),
+        F.array_join(F.transform(losers, lambda n: F.concat(F.lit("#"), n.cast("string"))), ", "), F.format_string("): gano esta por confianza %.2f", confidence),
     )
     alternative = F.concat(F.lit("el proveedor la ofrece como alternativa de la linea #"), winner.cast("string"), F.lit(" para el mismo item"))
     lost = F.concat(

@@ -88,6 +88,27 @@ def test_one_winner_for_each_item(spark):
     assert {r.w for r in got} == {1}
 
 
+def test_every_losing_line_is_named(spark, monkeypatch):
+    """By whole parts and by parts of seven lines; and in the reasons of the cascade."""
+    claims = spark.range(260).select((F.col("id") * 37 % 260).alias("line_no"), F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("item_no"), ((F.col("id") * 7 % 10) / 10).alias("confidence"), F.lit(False).alias("is_alternative"))
+    lines = sorted((-r.confidence, r.line_no) for r in claims.where("item_no = 1").collect())
+    want = [n for _, n in lines]
+    for at_once in (rules.LOSERS_AT_ONCE, 7):
+        monkeypatch.setattr(rules, "LOSERS_AT_ONCE", at_once)
+        got = {r.line_no: (r.losers, r.losing) for r in rules.resolve_conflicts(claims).collect()}
+        assert len(got) == 260 and got[want[0]] == (want[1:], 249) and sum(v != (None, None) for v in got.values()) == 1
+    offer = spark.range(1, 151).select(F.col("id").alias("line_no"), F.lit("A").alias("supplier_code"), F.lit("uno").alias("description"), F.lit(5).cast("decimal(14,3)").alias("quantity"), F.lit(2).cast("decimal(14,4)").alias("unit_price"), F.array().cast("array<string>").alias("flags"))
+    items, found = spark.createDataFrame([(10, "uno", Decimal(5))], ITEMS), spark.createDataFrame([(k, 1, 10, "uno", 0.9) for k in range(1, 151)], CANDIDATES)
+    reason = reconcile(offer, items, found).where("line_no = 1").first().reasoning
+    assert "otra(s) 149 linea(s) de la oferta apuntan al mismo item (" + ", ".join(f"#{k}" for k in range(2, 151)) + "): gano esta" in reason
+
+
+def test_roles_alone_do_not_gather_losers(spark):
+    claims = spark.range(30).select(F.col("id").alias("line_no"), (F.col("id") % 7).alias("item_no"), F.lit(0.5).alias("confidence"), F.lit(False).alias("is_alternative"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan(rules.resolve_conflicts(claims)) and "collect_list" not in plan(rules.resolve_conflicts(claims).select("line_no", "conflict_role", "conflict_status", "winner_line"))
+
+
 def test_sparse_top_k_pads_with_zeros(spark):
     own = spark.createDataFrame([(1, 0, 1.0), (2, 5, 1.0)], "line_no long, index int, weight double")
     items = spark.createDataFrame([(10, 0, -1.0), (20, 0, 0.5), (20, 1, 0.8), (30, 1, 1.0), (40, 2, 1.0)], "item_no long, index int, weight double")
