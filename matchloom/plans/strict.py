@@ -83,27 +83,36 @@ _SHEET = """told AS (SELECT l_orderkey AS n, row_number() OVER (PARTITION BY l_o
   firsts AS (SELECT *, row_number() OVER (PARTITION BY n, line_no ORDER BY place) AS copy FROM numbered)"""
 
 
-def _cells(spark, d):
-    """Cells of a workbook for each order: a label row, a row of column labels, and its lines, some without a number, some without a description."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = t(spark, d, "lineitem").withColumn("place", F.row_number().over(order))
+def _sheets(spark, d):
+    """Rows of a workbook for each order: a label row, a row of column labels, and its lines, some without a number, some without a description.
+
+    Lines are dealt by the workbook's path, and nothing that reads workbooks deals them again.
+    """
     path = F.concat(F.lit("/in/oferta_o"), F.col("l_orderkey").cast("string"), F.lit(".xlsx"))
+    order = Window.partitionBy("path").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = offers.by_document(t(spark, d, "lineitem").withColumn("path", path)).withColumn("place", F.row_number().over(order))
     s = F.col("l_suppkey")
     number = F.when(s % 4 == 1, F.col("l_linenumber") + 3).when(s % 4 != 0, F.col("place")).cast("string")
-    values = [(0, number, True), (1, F.concat(F.lit("A-"), F.col("l_partkey").cast("string")), False), (2, F.when(s % 11 != 5, F.concat(F.lit("pieza "), F.col("l_partkey").cast("string"))), False), (3, F.col("l_quantity").cast("string"), True), (4, F.lit("unidad"), False), (5, F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), True)]
-    body = rows.select(path.alias("path"), F.lit("h").alias("source_hash"), (F.col("place") + 1).alias("row"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value"), F.lit(b).alias("is_number")) for c, v, b in values])))
-    heads = [(0, 0, "Proveedor"), (0, 1, None), *[(1, c, h) for c, h in enumerate(("Línea", "Código", "Descripción", "Cantidad", "Unidad", "Precio unitario"))]]
     name = F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("Casa "), F.col("l_orderkey").cast("string")))
-    once = rows.where("place = 1")
-    head = once.select(path.alias("path"), F.lit("h").alias("source_hash"), F.inline(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), (F.lit(v) if v else name).alias("value"), F.lit(False).alias("is_number")) for r, c, v in heads])))
-    return body.where("value IS NOT NULL").unionByName(head.where("value IS NOT NULL"))
+
+    def row(at, *cells):
+        # A cell without a value has nothing but its place.
+        told = F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value"), F.when(v.isNotNull(), b).alias("is_number")) for n, (v, b) in enumerate(cells)])
+        return F.struct(at.alias("row"), told.alias("cells"))
+
+    body = row(
+        F.col("place") + 1, (number, True), (F.concat(F.lit("A-"), F.col("l_partkey").cast("string")), False), (F.when(s % 11 != 5, F.concat(F.lit("pieza "), F.col("l_partkey").cast("string"))), False),
+        (F.col("l_quantity").cast("string"), True), (F.lit("unidad"), False), (F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), True),
+    )
+    heads = [row(F.lit(0), (F.lit("Proveedor"), False), (name, False)), row(F.lit(1), *[(F.lit(h), False) for h in ("Línea", "Código", "Descripción", "Cantidad", "Unidad", "Precio unitario")])]
+    shown = F.when(F.col("place") == 1, F.array(*heads, body)).otherwise(F.array(body))
+    return offers.sheet_rows(rows.select("path", F.lit("h").alias("source_hash"), F.inline(shown)))
 
 
 @query(f"""WITH {_SHEET} SELECT '/in/oferta_o' || n || '.xlsx' AS path, line_no::INT AS line_no, 'A-' || l_partkey AS supplier_code, 'pieza ' || l_partkey AS description, l_quantity AS quantity, round(l_extendedprice, 2) AS price FROM firsts WHERE copy = 1""")
 def sheet_items(spark, d):
     """The lines of workbooks: columns found by their labels, numbers filled in, of lines with one number the first."""
-    cells = _cells(spark, d)
-    items, _ = offers.offer_items(offers.numbered_rows(offers.xlsx_rows(cells, offers.header_columns(cells))), "row")
+    items, _ = offers.offer_items(offers.numbered_rows(offers.xlsx_rows(_sheets(spark, d))), "row")
     return items.select("path", "line_no", "supplier_code", F.col("offered_description").alias("description"), F.col("offered_quantity").cast("double").alias("quantity"), F.col("unit_price").cast("double").alias("price"))
 
 
@@ -113,10 +122,9 @@ def sheet_items(spark, d):
   UNION ALL SELECT '/in/oferta_o' || n || '.xlsx', 'header_fallback', NULL, 'el documento no nombra al proveedor; se usa el nombre del archivo: o' || n FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem) WHERE n % 3 = 0""")
 def sheet_warnings(spark, d):
     """What reading the workbooks warns of: repeated numbers, gaps, and providers taken from file names."""
-    cells = _cells(spark, d)
-    columns = offers.header_columns(cells)
-    items, warnings = offers.offer_items(offers.numbered_rows(offers.xlsx_rows(cells, columns)), "row")
-    return warnings.unionByName(offers.gap_warnings(items)).unionByName(offers.provider_warnings(offers.xlsx_header(cells, columns))).select("path", "code", "line_no", "message")
+    rows = _sheets(spark, d)
+    items, warnings = offers.offer_items(offers.numbered_rows(offers.xlsx_rows(rows)), "row")
+    return warnings.unionByName(offers.gap_warnings(items)).unionByName(offers.provider_warnings(offers.xlsx_header(rows))).select("path", "code", "line_no", "message")
 
 
 @query("""SELECT o_orderkey || '.pdf' AS path, CASE WHEN o_orderkey % 5 <> 0 THEN 'Casa ' || o_custkey END AS provider_name, 'COT-' || o_orderkey || '-' || o_custkey AS quote_code, strftime(o_orderdate, '%Y-%m-%d') AS quote_date, CASE WHEN o_orderkey % 4 = 0 THEN 'pago a ' || o_custkey % 90 || ' dias: contado' END AS terms FROM orders""")

@@ -109,17 +109,64 @@ def read_xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(cells, "path string, source_hash string, row int, column int, value string, is_number boolean")
 
 
+#: Rows of documents that a task holds; beyond what the session's shuffles deal, more tasks are made, so that no sort of a task grows with the input.
+TASK_ROWS = 500_000
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """`rows` dealt by path, once for all that reads documents after; a number of tasks of its own keeps them from being put together again, as reading is far slower than dealing."""
+    return rows.repartition(max(-(-rows.count() // TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """A row for each row of a sheet, with its `cells` (column, value, is_number), one a column; `cells` that stand so already stay."""
+    if "cells" in cells.columns:
+        return cells
+    one = cells.repartition("path").groupBy("path", "source_hash", "row", "column").agg(F.max("value").alias("value"), F.bool_or("is_number").alias("is_number"))
+    return one.groupBy("path", "source_hash", "row").agg(F.collect_list(F.struct("column", "value", "is_number")).alias("cells"))
+
+
+def _with_found(rows: DataFrame) -> DataFrame:
+    """Adds _found to packed rows: what a header row names, to be compared by number of fields, then by row; null beyond HEADER_DEPTH and where there is no label."""
+    known = [x for names in COLUMN_LABELS.values() for x in names]
+    # No label has a digit, so most cells of a table need no canonical form.
+    told = F.transform(F.filter("cells", lambda c: ~c["value"].rlike("[0-9]")), lambda c: F.struct(c["column"].alias("column"), canon(c["value"]).alias("label")))
+    rows = rows.withColumn("_labels", F.when(F.col("row") < HEADER_DEPTH, F.filter(told, lambda c: c["label"].isin(*known))))
+    named = lambda names: F.filter("_labels", lambda c: c["label"].isin(*names))
+    rows = rows.withColumns({f"_{f}": F.array_min(named(names)["column"]) for f, names in COLUMN_LABELS.items()})
+    score = sum((F.col(f"_{f}").isNotNull().cast("int") for f in COLUMN_LABELS), F.lit(0))
+    found = F.struct((-score).alias("_score"), F.col("row").alias("header_row"), *[f"_{f}" for f in COLUMN_LABELS])
+    return rows.withColumn("_found", F.when(F.size("_labels") > 0, found)).drop("_labels", *[f"_{f}" for f in COLUMN_LABELS])
+
+
 def header_columns(cells: DataFrame) -> DataFrame:
     """path, header_row, field, column: of the first HEADER_DEPTH rows the one with most fields, the first on ties."""
-    label = F.col("label")
-    # No label has a digit, so most cells of a table need no canonical form.
-    known = cells.where((F.col("row") < HEADER_DEPTH) & ~F.col("value").rlike("[0-9]")).select("path", "row", "column", canon(F.col("value")).alias("label"))
-    known = known.where(label.isin(*[x for names in COLUMN_LABELS.values() for x in names]))
-    rows = known.groupBy("path", "row").agg(*[F.min(F.when(label.isin(*names), F.col("column"))).alias(field) for field, names in COLUMN_LABELS.items()])
-    score = sum((F.col(f).isNotNull().cast("int") for f in COLUMN_LABELS), F.lit(0))
-    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("column")) for f in COLUMN_LABELS])
-    best = rows.groupBy("path").agg(F.min(F.struct((-score).alias("_score"), F.col("row").alias("header_row"), found.alias("_found"))).alias("_best"))
-    return best.select("path", F.col("_best.header_row").alias("header_row"), F.inline("_best._found")).where(F.col("column").isNotNull())
+    top = cells.where(F.col("row") < HEADER_DEPTH)
+    rows = _with_found(_packed(top if "cells" in cells.columns else top.where(~F.col("value").rlike("[0-9]"))))
+    best = rows.groupBy("path").agg(F.min("_found").alias("_best")).where("_best IS NOT NULL")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_best._{f}").alias("column")) for f in COLUMN_LABELS])
+    return best.select("path", F.col("_best.header_row").alias("header_row"), F.inline(fields)).where(F.col("column").isNotNull())
+
+
+def sheet_rows(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """path, source_hash, row, `cells`, header_row and `_<field>`, the column of each field: a row for each row of a document that has a header.
+
+    Cells stand one by one or packed as rows; cells are met where their rows are, and not shuffled one by one.  The header is that of `columns`, or else found
+    among the rows of a document as they pass, without a second reading and without a join.
+    """
+    rows = _packed(cells)
+    if columns is not None:
+        heads = columns.groupBy("path").agg(F.max("header_row").alias("header_row"), *[F.max(F.when(F.col("field") == f, F.col("column"))).alias(f"_{f}") for f in COLUMN_LABELS])
+        return rows.join(heads, "path")
+    # In the order that numbering asks for, so that these wide rows are sorted once.
+    whole = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = _with_found(rows).withColumn("_best", F.min("_found").over(whole)).where("_best IS NOT NULL")
+    return best.select("path", "source_hash", "row", "cells", "_best.header_row", *[f"_best._{f}" for f in COLUMN_LABELS])
+
+
+def _at(column: Column) -> Column:
+    """The cell of a row in a column; null if there is none, or no such column."""
+    return F.get("cells", (F.array_position(F.col("cells.column"), column) - 1).cast("int"))
 
 
 def file_provider(path: Column) -> Column:
@@ -128,32 +175,34 @@ def file_provider(path: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(file, "(?i)^oferta[_-]", ""), "[_-]+", " "))
 
 
-def xlsx_header(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """path, provider_name, quote_code, quote_date, terms and provider_from_name: from labels in A and values in B before the table."""
-    head = columns.select("path", "header_row").distinct()
-    rows = cells.join(head, "path").where("row < header_row").groupBy("path", "row").agg(F.max(F.when(F.col("column") == 0, F.col("value"))).alias("label"), F.max(F.when(F.col("column") == 1, F.col("value"))).alias("value"))
+def xlsx_header(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """path, provider_name, quote_code, quote_date, terms and provider_from_name: from labels in A and values in B before the table.
+
+    `cells` and `columns` as in `sheet_rows`, or what that gives."""
+    rows = cells if "header_row" in cells.columns else sheet_rows(cells, columns)
+    rows = rows.select("path", "row", (F.col("row") < F.col("header_row")).alias("_above"), _at(F.lit(0))["value"].alias("label"), _at(F.lit(1))["value"].alias("value"))
     value, label = cell_text(F.col("value")), canon(F.col("label"))
     known = [x for names in HEADER_LABELS.values() for x in names]
     loose = F.when(~label.isin(*known), F.nullif(F.regexp_extract("label", QUOTE_CODE, 0), F.lit("")))
     found = {f: F.when(label.isin(*names), normalize_date(value) if f == "quote_date" else value) for f, names in HEADER_LABELS.items()}
     found["quote_code"] = F.coalesce(found["quote_code"], loose)
     first = [F.min_by(F.col(f"_{f}"), F.when(F.col(f"_{f}").isNotNull(), F.col("row"))).alias(f) for f in found]
-    named = rows.select("path", "row", *[c.alias(f"_{f}") for f, c in found.items()]).groupBy("path").agg(*first)
+    # Rows of the table stay, with nulls, so that each document with a header has its row.
+    named = rows.select("path", "row", *[F.when(F.col("_above"), c).alias(f"_{f}") for f, c in found.items()]).groupBy("path").agg(*first)
     fallback = file_provider(F.col("path"))
-    named = head.select("path").join(named, "path", "left")
     return named.select("path", F.coalesce("provider_name", fallback).alias("provider_name"), "quote_code", "quote_date", "terms", F.col("provider_name").isNull().alias("provider_from_name"))
 
 
-def xlsx_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """path, row and the text of each field; numbers keep `<field>_is_number`.  Rows without a description go."""
-    # A row for each document, so that the join leaves its cells where their rows are put together.
-    heads = columns.groupBy("path").agg(F.max("header_row").alias("header_row"), *[F.max(F.when(F.col("field") == f, F.col("column"))).alias(f"_{f}") for f in COLUMN_LABELS])
-    body = cells.join(heads, "path").where("row > header_row")
-    of = {f: F.col("column") == F.col(f"_{f}") for f in COLUMN_LABELS}
-    wide = body.groupBy("path", "source_hash", "row").agg(
-        *[F.max(F.when(here, F.col("value"))).alias(f) for f, here in of.items()],
-        *[F.coalesce(F.bool_or(here & F.col("is_number")), F.lit(False)).alias(f"{f}_is_number") for f, here in of.items()],
-    )
+def xlsx_rows(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """path, row and the text of each field; numbers keep `<field>_is_number`.  Rows without a description go.
+
+    `cells` and `columns` as in `sheet_rows`, or what that gives."""
+    rows = cells if "header_row" in cells.columns else sheet_rows(cells, columns)
+    body = rows.where("row > header_row").select("path", "source_hash", "row", *[_at(F.col(f"_{f}")).alias(f) for f in COLUMN_LABELS])
+    wide = body.select(
+        "path", "source_hash", "row", *[F.col(f)["value"].alias(f) for f in COLUMN_LABELS],
+        *[F.coalesce(F.col(f)["is_number"], F.lit(False)).alias(f"{f}_is_number") for f in COLUMN_LABELS],
+    )
     return wide.where(cell_text(F.col("offered_description")).isNotNull())
 
 
@@ -238,10 +287,9 @@ def require_items(paths: DataFrame, items: DataFrame) -> None:
 
 def extract_xlsx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(headers, items, warnings) of all workbooks at `path`."""
-    cells = read_xlsx_cells(spark, path)
-    columns = header_columns(cells)
-    headers = xlsx_header(cells, columns)
-    items, warnings = offer_items(numbered_rows(xlsx_rows(cells, columns)), "row")
+    rows = sheet_rows(read_xlsx_cells(spark, path))
+    headers = xlsx_header(rows)
+    items, warnings = offer_items(numbered_rows(xlsx_rows(rows)), "row")
     return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers))
 
 

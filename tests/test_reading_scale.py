@@ -54,3 +54,27 @@ def test_factors_are_dealt_and_computed_once(spark):
     found = units.stated_factors(rows, "k", "d")
     assert "REPARTITION" in plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "roll", "meter", 100.0), (2, "box", "unit", 12.0), (6, "box", "meter", 1500.5)]
+
+
+def test_sheets_deal_their_rows_once(spark, data):
+    """Lines are shuffled by document and nothing is shuffled after, cells neither."""
+    from matchloom.plans import registry, strict  # noqa: F401
+
+    for name, readers in (("sheet_items", 1), ("sheet_warnings", 3)):
+        plan = plan_of(registry.QUERIES[name](spark, data))
+        kinds = [line for line in plan.splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+        assert len(kinds) == readers and all("hashpartitioning(path" in line and "REPARTITION" in line for line in kinds) and "Join" not in plan
+
+
+def test_packed_rows_read_like_cells(spark):
+    given = cells(spark).unionByName(spark.createDataFrame([("a", "h", 3, 3, "cable 1", True), ("b", "h", 4, 1, "otro", False)], cells(spark).schema))  # a cell told twice
+    rows = offers.sheet_rows(given)
+    columns = offers.header_columns(given)
+    wide = offers.xlsx_rows(rows)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, offers.xlsx_rows(given, columns).select(wide.columns).collect()))
+    got = {(r.path, r.row): (r.offered_description, r.offered_description_is_number, r.line_no) for r in wide.collect()}
+    assert got == {("a", 3): ("cable 2", True, "1"), ("b", 3): ("detalle", False, None), ("b", 4): ("otro", False, None)}
+    heads = sorted((r.path, r.provider_name, r.provider_from_name) for r in offers.xlsx_header(rows).collect())
+    assert heads == [("a", "a", True), ("b", "b", True)] and heads == sorted((r.path, r.provider_name, r.provider_from_name) for r in offers.xlsx_header(given, columns).collect())
+    packed = rows.select("path", "source_hash", "row", "cells")
+    assert sorted(map(tuple, offers.header_columns(packed).collect())) == sorted(map(tuple, columns.collect()))
