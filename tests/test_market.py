@@ -118,3 +118,22 @@ def test_few_pairs_outside_their_interval_are_met(spark):
     given = temporal.interval_join(*asked).count()
     assert given == sum(1 + k % 39 for k in range(350))
     assert temporal.met_in_bins(*asked).count() < 1.5 * given
+
+
+def test_points_of_an_interval_join_are_shuffled_once(spark):
+    """Whatever lengths there are, and open intervals too; only intervals of very many bins take wider ones."""
+    points = spark.sql("SELECT id % 2 AS k, timestampadd(MINUTE, int(id), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS at FROM range(4000)")
+    spans = [(k % 2, START + timedelta(minutes=90 * (k % 5)), None if k % 7 == 0 else START + timedelta(minutes=90 * (k % 5) + 3 ** (k % 8)), k) for k in range(300)]
+    lists = spark.createDataFrame(spans, "k bigint, since timestamp_ntz, until timestamp_ntz, m int").withColumns({c: F.col(c) - F.expr("INTERVAL 60 DAYS") for c in ("since", "until")})
+    asked = (points, lists, ["k"], "at", "since", "until", 60)
+    want = sorted((r["at"], r.m) for r in points.join(lists, "k").where("at >= since AND (until IS NULL OR at < until)").select("at", "m").collect())
+    assert len(want) > 10_000 and sorted((r["at"], r.m) for r in temporal.interval_join(*asked).select("at", "m").collect()) == want
+    plan = temporal.met_in_bins(*asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # of intervals
+    kept = temporal.MOST_BINS, temporal.TASK_ROWS
+    temporal.MOST_BINS, temporal.TASK_ROWS = 8, 700
+    try:
+        assert sorted((r["at"], r.m) for r in temporal.interval_join(*asked).select("at", "m").collect()) == want
+        assert temporal.met_in_bins(*asked)._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+    finally:
+        temporal.MOST_BINS, temporal.TASK_ROWS = kept
