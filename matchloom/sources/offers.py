@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..errors import ExtractionError
 from ..functions.text import canon, cell_text, collapsed, folded, let, normalize_date, normalize_iso_date, normalize_unit, number_is_unreadable, parse_arg_number, parse_description, parse_notes
-from ..operators.lines import line_gaps
 
 # Labels of columns and of the header block, in canonical form.
 COLUMN_LABELS = {
@@ -228,7 +227,7 @@ def numbered_rows(rows: DataFrame) -> DataFrame:
 
 
 def offer_items(rows: DataFrame, order: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(items, warnings) from rows with line_no and the texts of the fields; of lines with one number the first stays."""
+    """(items, warnings) from rows with line_no and the texts of the fields; of lines with one number the first stays, and holes in the numbers are warned of in the same pass."""
     price, quantity = _number("unit_price"), _number("offered_quantity")
     if strict:
         quantity = F.coalesce(quantity, F.raise_error(F.concat(F.lit("line without a quantity: "), F.col("line_no").cast("string"))).cast("double"))
@@ -245,8 +244,12 @@ def offer_items(rows: DataFrame, order: str, strict: bool = True) -> tuple[DataF
     read = read.withColumn("_n", parse_notes(F.col("raw_notes"))).withColumn("unit_of_measure", normalize_unit(F.col("raw_unit")))
     read = read.withColumn("_occurrence", F.row_number().over(Window.partitionBy("path", "line_no").orderBy("_order")))
 
-    def warning(code: str, message: Column):
-        return F.struct(F.lit(code).alias("code"), message.alias("message"))
+    # The order within documents is that of occurrences, so both windows share a sort.
+    missing = F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no", "_order")) + 1
+    read = read.withColumn("_missing", F.when((F.col("_occurrence") == 1) & (F.col("line_no") > missing), missing))
+
+    def warning(code: str, message: Column, at: Column = F.col("line_no")):
+        return F.struct(F.lit(code).alias("code"), message.alias("message"), at.cast("int").alias("line_no"))
 
     line = F.col("line_no").cast("string")
     one = [
@@ -254,10 +257,11 @@ def offer_items(rows: DataFrame, order: str, strict: bool = True) -> tuple[DataF
         F.when(F.col("raw_unit").isNotNull() & F.col("unit_of_measure").isNull(), warning("unknown_unit", F.concat(F.lit("unidad no reconocida en la linea "), line, F.lit(': "'), F.col("raw_unit"), F.lit('"')))),
         F.when(F.col("_bad_price"), warning("missing_price", F.concat(F.lit("precio ilegible en la linea "), line))),
         F.when(F.col("unit_price").isNull(), warning("missing_price", F.concat(F.lit("la linea "), line, F.lit(" no trae precio")))),
+        F.when(F.col("_missing").isNotNull(), warning("line_gap", F.concat(F.lit("faltan "), (F.col("line_no") - F.col("_missing")).cast("string"), F.lit(" linea(s) a partir de la "), F.col("_missing").cast("string")), F.col("_missing"))),
     ]
     unknown = F.transform("_n.unrecognized", lambda n: warning("unknown_note", F.concat(F.lit("nota sin flag conocido en la linea "), line, F.lit(': "'), n, F.lit('"'))))
     found = F.concat(F.filter(F.array(*one), lambda w: w.isNotNull()), unknown)
-    warnings = read.select("path", "line_no", "_order", F.inline(found)).select("path", "code", "message", "line_no")
+    warnings = read.select("path", F.inline(found))
     items = read.where("_occurrence = 1").select(
         "path", "line_no", "supplier_code", F.col("_d.description").alias("offered_description"), F.col("offered_quantity").cast("decimal(14,3)").alias("offered_quantity"), "unit_of_measure", "raw_unit",
         F.col("unit_price").cast("decimal(14,4)").alias("unit_price"), "raw_notes", F.array_union("_d.flags", "_n.flags").alias("flags"),
@@ -265,13 +269,6 @@ def offer_items(rows: DataFrame, order: str, strict: bool = True) -> tuple[DataF
     return items, warnings
 
 
-def gap_warnings(items: DataFrame) -> DataFrame:
-    """A warning for each hole in the numbers of a document's lines."""
-    gaps = line_gaps(items.select("path", "line_no"), ["path"])
-    message = F.concat(F.lit("faltan "), F.col("missing").cast("string"), F.lit(" linea(s) a partir de la "), F.col("line_no").cast("string"))
-    return gaps.select("path", F.lit("line_gap").alias("code"), message.alias("message"), F.col("line_no").cast("int").alias("line_no"))
-
-
 def provider_warnings(headers: DataFrame) -> DataFrame:
     """A warning for each document whose provider is taken from its file name."""
     message = F.concat(F.lit("el documento no nombra al proveedor; se usa el nombre del archivo: "), F.col("provider_name"))
@@ -290,7 +287,7 @@ def extract_xlsx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     rows = sheet_rows(read_xlsx_cells(spark, path))
     headers = xlsx_header(rows)
     items, warnings = offer_items(numbered_rows(xlsx_rows(rows)), "row")
-    return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers))
+    return headers, items, warnings.unionByName(provider_warnings(headers))
 
 
 def _has_labels(plain: Column) -> Column:
@@ -355,7 +352,7 @@ def extract_pdf_text(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     items, warnings = offer_items(rows, "order", strict=False)
     named = pages.select("path").distinct().join(pdf_header(lines), "path", "left")
     headers = named.withColumn("provider_from_name", F.col("provider_name").isNull()).withColumn("provider_name", F.coalesce("provider_name", file_provider(F.col("path"))))
-    return headers, items, warnings.unionByName(gap_warnings(items)).unionByName(provider_warnings(headers)), unparsed
+    return headers, items, warnings.unionByName(provider_warnings(headers)), unparsed
 
 
 def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
